@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, quality, sharding
+from . import bpe, decontaminate, html, language, licenses, passages, quality, sharding, simhash, toxicity
 from .common import read
 
 
+def op1_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op2_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = quality.cascade(read(spark, sf_dir, "documents").select("doc_id", "text"))
     q, failed = F.col("_q"), quality.base_failed(F.col("_q"))
@@ -19,6 +23,11 @@ def op2_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
         (~failed & F.col("rejected_by").isNull()).alias("kept"))
 
 
+def op3_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(read(spark, sf_dir, "documents")).withColumn(
+        "n_words", F.col("end_word") - F.col("start_word"))
+
+
 def op4_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     records = read(spark, sf_dir, "documents").select(
@@ -32,4 +41,42 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_cascade, op4_two_pass_shuffle, op7_license_scan)}
+def op5_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op6_simhash_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf_dir, "documents")).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op8_boosted_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return scored.select(
+        "doc_id", (F.coalesce(toxicity.fold(F.col("doc_id")), F.lit(1)) == 0).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op9_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op10_compression_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    fitted = language.fit(docs.where(language.fold(F.col("doc_id")) != 1))
+    return language.classify(docs.select("doc_id", "text"), fitted).select(
+        "doc_id", (F.coalesce(language.fold(F.col("doc_id")), F.lit(0)) == 1).alias("held_out"),
+        "lang_pred", "score", "rejected")
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_template_removal, op2_quality_cascade, op3_compact_windows, op4_two_pass_shuffle, op5_string_tiling,
+    op6_simhash_covering, op7_license_scan, op8_boosted_toxicity, op9_segment_tree_bpe, op10_compression_language)}
