@@ -34,7 +34,7 @@ TRAIN_ROWS = 20_000
 CALIBRATE_SHARE = 0.2
 LEXICON_SIZE = 5_000
 LEAST_DOCS = 3
-LEAST_Z = 4.0
+LEAST_Z = 3.0
 STEM = 5
 NEAR = 5
 ROUNDS, DEPTH = 20, 3
