@@ -1,7 +1,7 @@
 """Quality rules as a short-circuit cascade, in DataFrame expressions only.
 
 Each rule is a Boolean column (true: the text is rejected) over measures of the text. The cascade is
-one CASE WHEN: the first rule that rejects ends the evaluation of a row. Before it is built, every
+one COALESCE: the first rule that rejects ends the evaluation of a row. Before it is built, every
 rule's cost (seconds for the whole sample, in its own job) and rejections are measured on a
 bounded random sample, and rules are ordered by rejections per second. The order changes the time
 only: a row is kept when no rule rejects it, whatever the order.
@@ -131,9 +131,11 @@ def rule_order(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[tuple[st
 
 def cascade(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """``docs`` with ``_q`` (measures) and ``rejected_by`` (the rule that ended the cascade, else null)."""
-    out = measured(docs)
-    tests = rules(F.col("text"), F.col("_q"))
-    chain = None
-    for name, _, _ in rule_order(docs, sample_rows):
-        chain = F.when(tests[name], F.lit(name)) if chain is None else chain.when(tests[name], F.lit(name))
-    return out.withColumn("rejected_by", chain)
+    order = [name for name, _, _ in rule_order(docs, sample_rows)]
+
+    def chain(row: Column) -> Column:
+        tests = rules(row["text"], row["q"])
+        return F.coalesce(*[F.when(tests[name], F.lit(name)) for name in order])
+
+    # One lambda holds the cascade: as generated code its many patterns took the compiler gigabytes.
+    return measured(docs).withColumn("rejected_by", _bind(F.struct("text", F.col("_q").alias("q")), chain))
