@@ -18,7 +18,8 @@ def prediction_pairs(predictions: DataFrame) -> DataFrame:
 
 def truth_pairs(spans: DataFrame) -> DataFrame:
     """Distinct pairs of gold spans; ids are not trimmed and empty references stay."""
-    return spans.select("problem_id", normalize_reference(F.explode("resolved_references")).alias("reference")).distinct()
+    rows = spans.select("problem_id", F.explode("resolved_references").alias("reference"))
+    return rows.select("problem_id", normalize_reference(F.col("reference")).alias("reference")).distinct()
 
 
 def best_scores(scored: DataFrame) -> DataFrame:

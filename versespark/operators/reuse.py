@@ -46,8 +46,8 @@ def records(chunks: DataFrame, verses: DataFrame) -> DataFrame:
 
 def ngrams(rows: DataFrame, n: int) -> DataFrame:
     """(id, group, gram, pos): every character n-gram with its place."""
-    rows = rows.where(F.length("text") >= n)
-    grams = F.transform(F.sequence(F.lit(1), F.length("text") - (n - 1)), lambda i: F.substring(F.col("text"), i, F.lit(n)))
+    places = F.when(F.length("text") >= n, F.sequence(F.lit(1), F.greatest(F.length("text") - (n - 1), F.lit(1))))
+    grams = F.transform(places, lambda i: F.substring(F.col("text"), i, F.lit(n)))
     return rows.select("id", "group", F.posexplode(grams).alias("pos", "gram"))
 
 
