@@ -193,5 +193,7 @@ def first_of_each(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
 
     Rows without a doc_id stay; of rows that repeat a kept doc_id all stay, unless they are equal.
     """
+    rows, ids = docs.agg(F.count("*"), F.countDistinct("doc_id")).first()
+    unlike = docs if rows == ids else docs.distinct()  # equal rows share their doc_id
     gone = similar_documents(docs, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.distinct().join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return unlike.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")

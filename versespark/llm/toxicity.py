@@ -35,7 +35,7 @@ CALIBRATE_SHARE = 0.2
 LEXICON_SIZE = 5_000
 LEAST_DOCS = 3
 LEAST_Z = 3.0
-STEM = 5
+STEMS = (4, 5)
 NEAR = 5
 ROUNDS, DEPTH = 20, 3
 #: Second-person words of the languages at hand, and signs that stand for letters.
@@ -57,6 +57,11 @@ def words_of(text: str) -> list[str]:
     return [w for w in [w.strip(EDGES) for w in text.lower().split()] if w]
 
 
+def stems_of(word: str) -> list[str]:
+    """The beginnings of a longer word, told from words by a leading blank."""
+    return [" " + word[:n] for n in STEMS if len(word) > n]
+
+
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words and stems (marked by a leading blank) that a text holds, once each."""
     for batch in batches:
@@ -64,7 +69,7 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             units, toxic = [], []
             for text, label in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist(), strict=True):
                 held = set(words_of(text or ""))
-                held |= {" " + w[:STEM] for w in held if len(w) > STEM}
+                held |= {s for w in held for s in stems_of(w)}
                 units += held
                 toxic += [label] * len(held)
             yield pa.RecordBatch.from_arrays([pa.array(units, pa.string()), pa.array(toxic, pa.int32())], names=["unit", "toxic"])
@@ -88,7 +93,8 @@ def measured(text: str, known: dict[str, float]) -> list[float]:
     words = words_of(text)
     n = max(1, len(words))
     hits = [(i, known[w]) for i, w in enumerate(words) if w in known]
-    stems = [(i, known[s]) for i, s in enumerate([" " + w[:STEM] for w in words]) if s in known]
+    stems = [(i, max(known[s] for s in stems_of(w) if s in known)) for i, w in enumerate(words)
+             if len(w) > STEMS[0] and any(s in known for s in stems_of(w))]
     places = np.array(sorted({i for i, _ in hits} | {i for i, _ in stems}), np.int64)
     near = 0
     if places.size:
