@@ -55,25 +55,26 @@ def document_frequency(grams: DataFrame) -> DataFrame:
     return grams.select("id", "gram").distinct().groupBy("gram").agg(F.count("*").alias("df"))
 
 
-def _verse_grams_in_range(grams: DataFrame, options: ReuseOptions) -> DataFrame:
-    """Grams of verses with a frequency in range. Chunk grams that no verse has are dropped before they are counted."""
-    wanted = grams.where("group = 'bible'").select("gram").distinct()
-    held = grams.join(wanted, "gram", "left_semi")
-    return document_frequency(held).where(F.col("df").between(options.min_df, options.max_df)).select("gram")
+def grams_of_verses(grams: DataFrame) -> DataFrame:
+    """The n-grams that some verse has. The verse side is the small one, so chunk grams go before any of them is shuffled."""
+    return grams.join(grams.where("group = 'bible'").select("gram").distinct(), "gram", "left_semi")
+
+
+def _joined(held: DataFrame, options: ReuseOptions, *places: str) -> DataFrame:
+    kept = document_frequency(held).where(F.col("df").between(options.min_df, options.max_df)).select("gram")
+    side = lambda group, name: held.where(F.col("group") == group).select(
+        "gram", F.col("id").alias(name), *[F.col(p).alias(f"{name}_{p}") for p in places])
+    return side("bible", "verse").join(kept, "gram").join(side("task", "chunk"), "gram")
 
 
 def shared_grams(grams: DataFrame, options: ReuseOptions) -> DataFrame:
     """(verse, chunk, gram, verse_pos, chunk_pos): verse and chunk places of each shared n-gram."""
-    kept = _verse_grams_in_range(grams, options)
-    side = lambda group, name: grams.where(F.col("group") == group).select(
-        "gram", F.col("id").alias(name), F.col("pos").alias(f"{name}_pos"))
-    return side("bible", "verse").join(kept, "gram").join(side("task", "chunk"), "gram").select(
-        "verse", "chunk", "gram", "verse_pos", "chunk_pos")
+    return _joined(grams_of_verses(grams), options, "pos").select("verse", "chunk", "gram", "verse_pos", "chunk_pos")
 
 
 def candidate_pairs(grams: DataFrame, options: ReuseOptions) -> DataFrame:
     """(verse, chunk, shared): pairs that share at least ``min_match`` distinct n-grams in the frequency range."""
-    pairs = shared_grams(grams.select("id", "group", "gram").distinct().withColumn("pos", F.lit(0)), options)
+    pairs = _joined(grams_of_verses(grams).select("id", "group", "gram").distinct(), options)
     return pairs.groupBy("verse", "chunk").agg(F.count("*").alias("shared")).where(F.col("shared") >= options.min_match)
 
 

@@ -81,9 +81,7 @@ def token_budget(spark, d):
 
 @query
 def ngram_df(spark, d):
-    grams = reuse.ngrams(v.reuse_records(spark, d), 8)
-    wanted = grams.where("group = 'bible'").select("gram").distinct()
-    return reuse.document_frequency(grams.join(wanted, "gram", "left_semi"))
+    return reuse.document_frequency(reuse.grams_of_verses(reuse.ngrams(v.reuse_records(spark, d), 8)))
 
 
 @query
