@@ -44,12 +44,16 @@ FENCES = _words("ul ol dl table html body article section div")
 RAW = _words("script style textarea title iframe noembed noframes xmp")
 #: Elements that are never part of an article, and signs of the same in role, class or id.
 OUTSIDE = _words("""nav footer aside form script style noscript template iframe svg button select textarea dialog
-head object canvas menu search noembed noframes""")
+head title object canvas menu search noembed noframes""")
 ROLES = _words("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar")
 SIGNS = _words("""nav navbar navigation menu breadcrumb breadcrumbs masthead footer sidebar aside widget widgets ad ads
 advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice
 notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related
-recommended comment comments disqus replies reply respond toolbar pagination pager copyright disclaimer""")
+recommended comment comments disqus discussion replies reply respond toolbar pagination pager copyright disclaimer
+announcement privacy topbar subnav crumbs colophon adsense adslot adbox promos banners side rail""")
+#: Class or id values of a page's main part.
+MAIN = _words("""main content main-content maincontent page-content article article-body article-content post post-content
+post-body entry entry-content story story-body""")
 
 TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+|[^>]*)(?:>|\Z)""", re.S)
@@ -65,10 +69,10 @@ class Page:
         self.tag, self.parent, self.out, self.root, self.digest = [""], [-1], [False], [False], [0]
         self.blocks: list[tuple[str, int]] = []
         self._stack, self._parts, self._own = [0], [], [[]]
+        self._before: dict[int, list[str]] = {}  # text that an inline element outside the article interrupts
         self._parse(html)
         self._flush()
-        while len(self._stack) > 1:
-            self._pop()
+        self._pop_to(1)
 
     def _parse(self, html: str) -> None:
         at, n = 0, len(html)
@@ -108,11 +112,19 @@ class Page:
         import xxhash
 
         element, own = self._stack.pop(), self._own.pop()
+        if element in self._before:
+            self._parts = self._before.pop(element)
         if own:
             content = "\x00".join([self.tag[element], *map(str, own)])
             self.digest[element] = xxhash.xxh64_intdigest(content) >> 1
             self._own[-1].append(self.digest[element])
 
+    def _pop_to(self, depth: int) -> None:
+        while len(self._stack) > depth:
+            self._pop()
+            if len(self._stack) > depth:
+                self._flush()
+
     def _start(self, name: str, attributes: str) -> None:
         if name == "br":
             self._parts.append(" ")
@@ -123,8 +135,6 @@ class Page:
                 self._close(_words("p"))
             if name in CLOSES:
                 self._close(CLOSES[name])
-        elif name in RAW or name in OUTSIDE:
-            self._flush()
         if name in VOID or (attributes.endswith("/") and name not in BLOCKS):
             return
         if name not in BLOCKS and name not in OUTSIDE and not attributes.strip():
@@ -135,8 +145,8 @@ class Page:
         self.out.append(out)
         self.root.append(root)
         self.digest.append(0)
-        if out:
-            self._flush()
+        if out and name not in BLOCKS:
+            self._before[len(self.tag) - 1], self._parts = self._parts, []
         self._stack.append(len(self.tag) - 1)
         self._own.append([])
 
@@ -150,13 +160,15 @@ class Page:
         held = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes)}
         role = held.get("role", "").lower()
         tokens = {t.lower() for t in TOKEN.findall(f"{held.get('class', '')} {held.get('id', '')}")}
-        if role == "main" or "articlebody" in held.get("itemprop", "").lower():
+        values = f"{held.get('class', '')} {held.get('id', '')}".lower().split()
+        if role == "main" or "articlebody" in held.get("itemprop", "").lower() or name in BLOCKS and not MAIN.isdisjoint(values):
             root = True
         if name in ("html", "body", "main") or name == "article" and not tokens & {"comment", "comments", "reply", "ad"}:
             return False, root
         hidden = "hidden" in held or held.get("aria-hidden") == "true" or "display:none" in held.get("style", "").replace(" ", "")
         head = (name == "header" or "header" in tokens) and not self._within()
-        return bool(hidden or head or role in ROLES or tokens & SIGNS), root
+        out = bool(hidden or head or role in ROLES or tokens & SIGNS)
+        return out, root and not out
 
     def _within(self) -> bool:
         return any(self.root[e] for e in self._stack)
@@ -166,20 +178,17 @@ class Page:
             name = self.tag[self._stack[depth]]
             if name in names:
                 self._flush()
-                while len(self._stack) > depth:
-                    self._pop()
+                self._pop_to(depth)
                 return
             if name in FENCES:
                 return
 
     def _end(self, name: str) -> None:
-        if name in BLOCKS or name in OUTSIDE:
+        if name in BLOCKS:
             self._flush()
         for depth in range(len(self._stack) - 1, 0, -1):
             if self.tag[self._stack[depth]] == name:
-                self._flush() if self.out[self._stack[depth]] else None
-                while len(self._stack) > depth:
-                    self._pop()
+                self._pop_to(depth)
                 return
 
     def _marks(self, drop: set[int]) -> list[tuple[bool, bool]]:
