@@ -7,8 +7,7 @@ places differ in places whose vectors span at most r dimensions, so some v is or
 and under that mask the two agree: every pair within the radius collides in some table.
 
 Equal fingerprints are one node. A bucket of up to ``PAIRWISE`` nodes is compared pair by pair. A larger one
-is done exactly without pairs: every node also stands at each fingerprint one bit away (outside the
-mask, since inside it the bucket agrees); nodes of radius 2 meet at one in between, and all that meet are
+is done exactly without pairs: its nodes also stand at each fingerprint one bit away; nodes within radius 2 meet at one in between, and all that meet are
 within the radius, so a star to the smallest keeps every link's component. That needs r <= 2.
 
 Defined cases: null and empty texts have fingerprint zero and link like any other; a text with
@@ -96,30 +95,31 @@ def links(nodes: DataFrame, bits: int = BITS, radius: int = 2, prints: int = 1,
     if radius > 2:
         raise ValueError("large buckets are exact up to radius 2")
     cover = [signed(m) for m in masks(bits, radius)]
-    tables = F.explode(F.array(*[
-        F.struct(F.lit(i * len(cover) + j).alias("t"), F.lit(m).alias("mask"), F.get("fps", F.lit(i)).alias("fp"))
-        for i in range(prints) for j, m in enumerate(cover)])).alias("table")
-    rows = nodes.select("node", tables).select(
-        F.xxhash64("table.t", F.col("table.fp").bitwiseAND(F.col("table.mask"))).alias("key"),
-        "node", "table.t", "table.fp")
+    each = nodes.select("node", F.posexplode("fps").alias("print", "fp")).where(F.col("print") < prints)
+    # Nodes of one fingerprint are a star around their first; the search runs over distinct fingerprints only.
+    # Tables that are joined back are written first, so that adaptive execution sees their size and may split hot keys.
+    firsts = written(each.groupBy("print", "fp").agg(F.min("node").alias("first")), "print-firsts")
+    equal = each.join(firsts, ["print", "fp"]).where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+
+    masked = F.explode(F.array(*[F.xxhash64("print", F.lit(j), F.col("fp").bitwiseAND(F.lit(m))) for j, m in enumerate(cover)]))
+    rows = firsts.select(masked.alias("key"), F.col("first").alias("node"), "print", "fp")
     sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    rows = rows.join(sizes, "key")
+    rows = rows.join(written(sizes, "bucket-sizes"), "key")
     far = lambda x, y: F.bit_count(x.bitwiseXOR(y))
 
     small = rows.where(F.col("n") <= pairwise).groupBy("key").agg(
-        F.sort_array(F.collect_list(F.struct("node", "t", "fp"))).alias("m"))
+        F.sort_array(F.collect_list(F.struct("node", "print", "fp"))).alias("m"))
     small = small.select("m", F.explode("m").alias("x")).select("x", F.explode(F.filter("m", lambda y: (
-        (y["node"] > F.col("x.node")) & (y["t"] == F.col("x.t")) & (far(y["fp"], F.col("x.fp")) <= radius)))).alias("y"))
+        (y["node"] > F.col("x.node")) & (y["print"] == F.col("x.print")) & (far(y["fp"], F.col("x.fp")) <= radius)))).alias("y"))
 
     flips = F.array(F.lit(0).cast("long"), *[F.lit(signed(1 << i)) for i in range(bits)])
-    mask_of = F.element_at(F.array(*map(F.lit, cover)), F.col("t") % len(cover) + 1)
-    large = rows.where(F.col("n") > pairwise).select("t", "node", "fp", F.explode(
-        F.filter(flips, lambda b: b.bitwiseAND(mask_of) == 0)).alias("flip"))
-    large = large.select("t", "node", F.col("fp").bitwiseXOR(F.col("flip")).alias("z"))
-    heads = large.groupBy("t", "z").agg(F.min("node").alias("head"), F.count("*").alias("k")).where("k > 1")
-    stars = large.join(heads, ["t", "z"]).where("node <> head")
+    large = rows.where(F.col("n") > pairwise).select("print", "node", "fp").distinct()
+    large = large.select("print", "node", "fp", F.explode(flips).alias("flip"))
+    large = large.select("print", "node", F.col("fp").bitwiseXOR(F.col("flip")).alias("z"))
+    heads = large.groupBy("print", "z").agg(F.min("node").alias("head"), F.count("*").alias("k")).where("k > 1").drop("k")
+    stars = large.join(written(heads, "link-heads"), ["print", "z"]).where("node <> head")
     return (small.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-            .unionByName(stars.select(F.col("head").alias("a"), F.col("node").alias("b"))).distinct())
+            .unionByName(stars.select(F.col("head").alias("a"), F.col("node").alias("b"))).unionByName(equal).distinct())
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
