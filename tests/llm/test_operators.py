@@ -138,6 +138,9 @@ def test_repeated_passages(spark, odd):
             assert 150 - 1 <= r["start_word"] <= 151 and 229 <= r["end_word"] <= 231
     kept = texts_of(passages.strip(docs, passages.repeated_passages(docs)))
     assert shared in kept[1] and shared[:100] not in kept[2] and prose(202, 150)[:-8] in kept[2] and kept[20] == prose(500, 400)
+    twice = docs.unionByName(spark.createDataFrame([(2, "another text of the same doc_id")], docs.schema))
+    assert [r["text"] for r in passages.strip(twice, passages.repeated_passages(twice)).where("doc_id = 2").orderBy("text").collect()] == [
+        "another text of the same doc_id", kept[2]]
     cleaned = passages.strip(odd, passages.repeated_passages(odd))
     assert cleaned.columns == odd.columns and cleaned.count() == odd.count()
     assert passages.repeated_passages(odd.limit(0)).count() == 0
