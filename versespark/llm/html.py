@@ -24,11 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, slices
+from .common import row_key, slices, written
 
 #: A subtree is template from this many different pages of a host on, and this share of them.
 LEAST_PAGES, LEAST_SHARE = 3, 0.10
 INSIDE_PAGES, INSIDE_SHARE = 5, 0.60
+#: The lists of subtrees to delete (about 150 bytes a page) are broadcast up to this many, joined by shuffle beyond.
+BROADCAST_PAGES = 200_000
 
 _words = lambda text: frozenset(text.split())
 #: Fixed values of HTML: elements without content, block elements, elements whose start closes an open p.
@@ -248,8 +250,8 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def templates(pages: DataFrame) -> DataFrame:
     """(key, drop): for each page that has any, the hashes of its template subtrees."""
-    found = pages.where("html <> ''").select("key", host_of(F.col("url")).alias("host"), "html").mapInArrow(
-        _subtree_rows, "key binary, host string, told long, digest long, inside boolean")
+    found = written(pages.where("html <> ''").select("key", host_of(F.col("url")).alias("host"), "html").mapInArrow(
+        _subtree_rows, "key binary, host string, told long, digest long, inside boolean"), "page-subtrees")
     per_host = found.select("host", "told").distinct().groupBy("host").agg(F.count("*").alias("pages"))
     counted = found.select("host", "digest", "inside", "told").distinct().groupBy("host", "digest", "inside").agg(
         F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES)
@@ -263,6 +265,8 @@ def templates(pages: DataFrame) -> DataFrame:
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text) of every page."""
     pages = pages.select("page_id", "url", "html", row_key("page_id", "url", "html").alias("key"))
-    both = pages.join(templates(pages), "key", "left").select("page_id", "url", "html", "drop")
+    drops = written(templates(pages), "page-templates")
+    drops = F.broadcast(drops) if drops.count() <= BROADCAST_PAGES else drops
+    both = pages.join(drops, "key", "left").select("page_id", "url", "html", "drop")
     schema = "page_id {}, url string, text string".format(pages.schema["page_id"].dataType.simpleString())
     return both.mapInArrow(_texts, schema)
