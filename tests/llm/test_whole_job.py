@@ -6,7 +6,7 @@ import random
 
 import numpy as np
 
-from versespark.llm import common, simhash
+from versespark.llm import common, passages, simhash
 
 
 def test_similar_documents_behind_an_unlike_first(spark):
@@ -33,3 +33,17 @@ def test_similar_documents_behind_an_unlike_first(spark):
             want = [min(want[j] for j in np.flatnonzero(near[i])) for i in range(len(want))]
         assert [got.get(i, i) for i in range(len(want))] == want
         assert len(set(want)) < len(want)
+
+
+def test_repeats_behind_an_unlike_first(spark):
+    """A first document that shares only part of a passage does not hide the exact repeat of two later ones."""
+    rows = []
+    for g in range(12):
+        words = [f"w{g}x{i}" for i in range(60)]
+        broken = [f"y{g}z{i}" if i % 25 == 12 else w for i, w in enumerate(words)]
+        filler = lambda d: " ".join(f"f{g}d{d}i{i}" for i in range(60))  # noqa: B023, E731
+        for d, passage in ((0, broken), (1, words), (2, words)):
+            rows.append((10 * g + d, f"{filler(d)} {' '.join(passage)} {filler(d + 5)}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r["doc_id"], r["first_doc_id"]) for r in passages.repeated_passages(docs).collect() if not r["is_first"]}
+    assert {(10 * g + 2, 10 * g + 1) for g in range(12)} == found
