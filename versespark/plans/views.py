@@ -98,9 +98,9 @@ def tei_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.split(normalize_space(F.col("text")), " ")
     part = lambda a, n: escape_markup(F.array_join(F.slice("w", a, n), " "))
     source = F.expr("concat('Bench_', conv_id % 20 + 1, '_', turn + 1, '-', turn + 2)")
-    quoted = F.concat(part(1, 2), F.lit(' <quote source="'), source, F.lit('">'), part(3, 4), F.lit("</quote> "), part(7, 100000))
+    quoted = F.concat(part(1, 2), F.lit(' <quote source="'), source, F.lit('">'), part(3, 4), F.lit("</quote> "), part(7, F.size("w")))
     rows = table(spark, sf_dir, "conversations").withColumn("w", words)
-    rows = rows.select("conv_id", "turn", F.concat(F.lit("<p>"), F.when(F.size("w") >= 8, quoted).otherwise(part(1, 100000)), F.lit("</p>")).alias("p"))
+    rows = rows.select("conv_id", "turn", F.concat(F.lit("<p>"), F.when(F.size("w") >= 8, quoted).otherwise(part(1, F.size("w"))), F.lit("</p>")).alias("p"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "p"))), lambda x: x["p"]), "")
     return rows.groupBy("conv_id").agg(body.alias("body")).select(
         F.expr("concat('conv-', conv_id)").alias("problem_id"),
