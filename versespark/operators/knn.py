@@ -11,60 +11,58 @@ from pyspark.sql import functions as F
 
 from .evaluate import best_scores
 
-#: Vectors of the searched side held by a task at once; a larger side is searched block by block.
-BLOCK_ROWS = 200_000
+#: Rows of the searched side and of the queries that one task holds at once.
+BLOCK_ROWS, QUERY_ROWS = 50_000, 2_000
+#: Scores that a task computes at once.
+SCORES = 1 << 23
 
 
-def _normalised(vectors: np.ndarray) -> np.ndarray:
+def _stacked(column: pd.Series) -> np.ndarray:
+    vectors = np.stack([np.asarray(x, np.float64) for x in column])
     norms = np.linalg.norm(vectors, axis=1, keepdims=True)
     return vectors / np.where(norms == 0, 1, norms)
 
 
-def _stacked(column: pd.Series) -> np.ndarray:
-    return _normalised(np.stack([np.asarray(x, np.float64) for x in column]))
-
-
-def _blocks(side: DataFrame, rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    n = -(-side.count() // rows)
-    for i in range(n):
-        part = side.where(F.pmod(F.xxhash64("reference"), F.lit(n)) == i).select("reference", "embedding").toPandas()
-        if len(part):
-            yield part["reference"].to_numpy(), _stacked(part["embedding"])
+def _dealt(df: DataFrame, column: str, own: str, blocks: int, other: str, copies: int) -> DataFrame:
+    """Rows with a vector, dealt into ``blocks`` by a hash of ``column``, each beside every block of the other side."""
+    return df.select(F.col(column).cast("string").alias(column), "embedding").where("embedding IS NOT NULL").withColumns(
+        {own: F.pmod(F.xxhash64(column), F.lit(blocks)).cast("int"), other: F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))})
 
 
 def top_k(queries: DataFrame, side: DataFrame, k: int = 5, threshold: float = 0.45, exclude_self: bool = False,
-          threshold_first: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
+          threshold_first: bool = False, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """(query_id, reference, similarity, rank): the ``k`` nearest rows of ``side`` of each query.
 
-    ``queries``: (query_id, embedding), ``side``: (reference, embedding). The k nearest are taken first and the
-    threshold applied to them, or the other way round with ``threshold_first``; ties go to the smaller reference. The searched side is broadcast in
-    blocks of ``block_rows``; each task keeps k rows a query and block, so one small window merges them.
+    ``queries``: (query_id, embedding), ``side``: (reference, embedding); rows without a vector take no part. The k nearest
+    are taken first and the threshold applied to them, or the other way round with ``threshold_first``; ties go to the
+    smaller reference. Both sides are dealt into blocks of about ``query_rows`` and ``block_rows``; a task multiplies one
+    block of each and keeps k rows a query, and a window over those merges them. No vector reaches the driver.
     """
     k = max(1, k)
-    found = None
-    for names, vectors in _blocks(side, block_rows):
-        shared = queries.sparkSession.sparkContext.broadcast((names, vectors))
-
-        def search(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            names, vectors = shared.value
-            for frame in frames:
-                for start in range(0, len(frame), 1024):
-                    part = frame.iloc[start:start + 1024]
-                    scores = _stacked(part["embedding"]) @ vectors.T
-                    if exclude_self:
-                        scores[part["query_id"].to_numpy()[:, None] == names[None, :]] = -np.inf
-                    # Ties at the border: everything not below the k-th score is ordered by reference.
-                    edge = np.partition(scores, max(0, scores.shape[1] - k), axis=1)[:, max(0, scores.shape[1] - k)]
-                    rows, columns = np.nonzero(scores >= edge[:, None] - 1e-12)
-                    out = pd.DataFrame({"query_id": part["query_id"].to_numpy()[rows], "reference": names[columns], "similarity": scores[rows, columns]})
-                    out = out[np.isfinite(out["similarity"])].sort_values(["query_id", "similarity", "reference"], ascending=[True, False, True])
-                    yield out.groupby("query_id", sort=False).head(k)
-
-        part = queries.select("query_id", "embedding").where("embedding IS NOT NULL").mapInPandas(
-            search, "query_id string, reference string, similarity double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return queries.select(F.col("query_id").cast("string"), F.lit("").alias("reference"), F.lit(0.0).alias("similarity"), F.lit(1).alias("rank")).where("false")
+    query_blocks, side_blocks = max(1, -(-queries.count() // query_rows)), max(1, -(-side.count() // block_rows))
+
+    def search(part: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        found = [pd.DataFrame({"query_id": [], "reference": [], "similarity": []}).astype({"query_id": str, "reference": str, "similarity": float})]
+        names = rows["reference"].to_numpy()
+        vectors = _stacked(rows["embedding"]) if len(rows) else None
+        step = max(1, SCORES // max(1, len(rows)))
+        for start in range(0, len(part) if len(rows) else 0, step):
+            asked = part.iloc[start:start + step]
+            ids = asked["query_id"].to_numpy()
+            scores = _stacked(asked["embedding"]) @ vectors.T
+            if exclude_self:
+                scores[ids[:, None] == names[None, :]] = -np.inf
+            # Ties at the border: everything not below the k-th score is ordered by reference.
+            edge = np.partition(scores, max(0, scores.shape[1] - k), axis=1)[:, max(0, scores.shape[1] - k)]
+            at, columns = np.nonzero(scores >= edge[:, None] - 1e-12)
+            out = pd.DataFrame({"query_id": ids[at], "reference": names[columns], "similarity": scores[at, columns]})
+            out = out[np.isfinite(out["similarity"])].sort_values(["query_id", "similarity", "reference"], ascending=[True, False, True])
+            found.append(out.groupby("query_id", sort=False).head(k))
+        return pd.concat(found, ignore_index=True)
+
+    asked = _dealt(queries, "query_id", "q", query_blocks, "s", side_blocks).groupBy("q", "s")
+    found = asked.cogroup(_dealt(side, "reference", "s", side_blocks, "q", query_blocks).groupBy("q", "s")).applyInPandas(
+        search, "query_id string, reference string, similarity double")
     near = F.col("similarity") >= threshold
     found = found.where(near) if threshold_first else found
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "reference")

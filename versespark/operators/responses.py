@@ -40,8 +40,10 @@ def match_list(payload: Column) -> Column:
 
 
 def match_reference(match: Column) -> Column:
-    get = lambda key: F.try_variant_get(match, f"$.{key}", "string")
-    return F.when(F.coalesce(get("reference"), F.lit("")) != "", get("reference")).otherwise(get("ref"))
+    """The value of ``reference`` if the key is there, whatever it is, else that of ``ref``; an explicit null is the word None."""
+    held = lambda key: F.try_variant_get(match, f"$.{key}", "variant")
+    text = lambda key: F.when(F.is_variant_null(held(key)), "None").otherwise(F.try_variant_get(match, f"$.{key}", "string"))
+    return F.nullif(strip(F.when(held("reference").isNotNull(), text("reference")).when(held("ref").isNotNull(), text("ref"))), F.lit(""))
 
 
 def match_confidence(match: Column) -> Column:
@@ -67,22 +69,32 @@ def verse_index(verses: DataFrame) -> DataFrame:
         F.regexp_extract(ref, CANONICAL, 3).cast("int").alias("verse")).distinct()
 
 
-def expand_ranges(ranges: DataFrame, index: DataFrame, max_range: int | None = None) -> DataFrame:
+#: Verses of an unknown chapter that one range may name; longer ones are set apart.
+MOST_VERSES = 10_000
+
+
+def long_ranges(ranges: DataFrame, index: DataFrame, max_range: int = MOST_VERSES) -> DataFrame:
+    """The ranges of unknown chapters that ``expand_ranges`` sets apart."""
+    chapters = index.select("book", "chapter").distinct()
+    return ranges.join(chapters, ["book", "chapter"], "left_anti").where(F.col("verse_end").cast("long") - F.col("verse_start") >= max_range)
+
+
+def expand_ranges(ranges: DataFrame, index: DataFrame, max_range: int = MOST_VERSES) -> DataFrame:
     """Add ``reference``: each existing verse of (book, chapter, verse_start, verse_end); all of them if the chapter is unknown.
 
-    ``max_range`` drops ranges of unknown chapters beyond that many verses.
+    A range of an unknown chapter beyond ``max_range`` verses gives none here; ``long_ranges`` has those rows.
     """
     chapters = index.groupBy("book", "chapter").agg(F.collect_set("verse").alias("known"))
     rows = ranges.join(chapters, ["book", "chapter"], "left")
-    span = F.col("verse_end") - F.col("verse_start") + 1
-    rows = rows.where(F.col("known").isNotNull() | (span <= max_range)) if max_range else rows
+    span = F.col("verse_end").cast("long") - F.col("verse_start")
     inside = F.filter("known", lambda v: v.between(F.col("verse_start"), F.col("verse_end")))
-    verses = F.when(F.col("known").isNotNull(), inside).otherwise(F.sequence("verse_start", "verse_end"))
+    verses = F.when(F.col("known").isNotNull(), inside).when(span < max_range, F.sequence("verse_start", "verse_end"))
     rows = rows.withColumn("verse", F.explode(verses)).drop("known")
     return rows.withColumn("reference", F.concat("book", F.lit("_"), F.col("chapter").cast("string"), F.lit(":"), F.col("verse").cast("string")))
 
 
-def score_responses(responses: DataFrame, index: DataFrame, aliases: Mapping[str, str], allowed: Iterable[str], max_range: int | None = None) -> DataFrame:
+def score_responses(responses: DataFrame, index: DataFrame, aliases: Mapping[str, str], allowed: Iterable[str],
+                    max_range: int = MOST_VERSES) -> DataFrame:
     """(problem_id, reference, score, method): the best confidence of every resolved reference."""
     rows = extract_matches(responses).select("problem_id", "confidence", F.explode(split_candidates(F.col("raw_reference"))).alias("raw"))
     rows = rows.select("problem_id", "confidence", parse_free_form(F.col("raw"), aliases, allowed).alias("r")).where("r IS NOT NULL")

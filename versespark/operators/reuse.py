@@ -4,19 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.refs import aligned_end, chunk_id, parse_chunk_id, parse_verse_id, verse_id
+from ..sources.shared import written
 from .evaluate import PAIR, best_scores
 
 
 @dataclass(frozen=True)
 class ReuseOptions:
-    """Parameters of a reuse job. Unset ones keep their default; ``beam`` and ``pcopy`` have no meaning here."""
+    """Parameters of a reuse job. Unset ones keep their default; ``max_df`` 0 is no bound; ``beam`` and ``pcopy`` have no meaning here."""
 
     n: int = 8
     min_match: int = 3
@@ -51,30 +54,88 @@ def ngrams(rows: DataFrame, n: int) -> DataFrame:
     return rows.select("id", "group", F.posexplode(grams).alias("pos", "gram"))
 
 
-def document_frequency(grams: DataFrame) -> DataFrame:
-    return grams.select("id", "gram").distinct().groupBy("gram").agg(F.count("*").alias("df"))
+#: Hashes of verse n-grams up to this number go to the tasks as a bit map of fixed size; beyond, all n-grams meet in a join.
+MAP_GRAMS, MAP_BITS = 8_000_000, 27
+
 
+def gram_hashes(texts: list[str], n: int) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+    """All texts end to end, a hash in ``MAP_BITS`` bits of each n-gram that lies within a text, its row and its place there."""
+    whole = "".join(texts)
+    points = np.frombuffer(whole.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    hashes = np.zeros(max(0, points.size - n + 1), np.uint64)
+    for j in range(n):
+        hashes *= np.uint64(0x9E3779B97F4A7C15)
+        hashes += points[j:j + hashes.size]
+    row = np.repeat(np.arange(sizes.size), sizes)
+    place = np.arange(points.size) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    inside = place[:hashes.size] <= (sizes[row] - n)[:hashes.size]
+    row, place, hashes = row[:hashes.size][inside], place[:hashes.size][inside], hashes[inside]
+    hashes ^= hashes >> np.uint64(31)
+    return whole, hashes * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - MAP_BITS), row, place
 
-def grams_of_verses(grams: DataFrame) -> DataFrame:
-    """The n-grams that some verse has. The verse side is the small one, so chunk grams go before any of them is shuffled."""
-    return grams.join(grams.where("group = 'bible'").select("gram").distinct(), "gram", "left_semi")
+
+def verse_grams(rows: DataFrame, n: int) -> DataFrame:
+    """(id, group, gram, pos): the n-grams that some verse has.
+
+    The verses are the small side. Their n-grams mark a bit map of fixed size, by which a helper leaves out most
+    others before any row is made of them; the join that follows is exact.
+    """
+    bible = ngrams(rows.where("group = 'bible'"), n)
+    marks = rows.where("group = 'bible'").select("text").mapInArrow(_marks(n), "mark int").distinct()
+    spark = rows.sparkSession
+    if bible.count() > MAP_GRAMS:
+        return ngrams(rows, n).join(bible.select("gram").distinct(), "gram", "left_semi")
+    bits = np.zeros(1 << MAP_BITS, bool)
+    for batch in marks.toArrow().to_batches():
+        bits[batch.column(0).to_numpy()] = True
+    packed = spark.sparkContext.broadcast(np.packbits(bits, bitorder="little"))
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = packed.value
+        for batch in batches:
+            whole, hashes, row, place = gram_hashes([t or "" for t in batch.column("text").to_pylist()], n)
+            at = np.flatnonzero(table[hashes >> np.uint64(3)] >> (hashes & np.uint64(7)).astype(np.uint8) & 1)
+            row, place = row[at], place[at]
+            sizes = np.fromiter((len(t or "") for t in batch.column("text").to_pylist()), np.int64, batch.num_rows)
+            starts = (np.cumsum(sizes) - sizes)[row] + place
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id").take(pa.array(row)), batch.column("group").take(pa.array(row)), pa.array(place.astype(np.int32)),
+                 pa.array([whole[k:k + n] for k in starts.tolist()], pa.string())], names=["id", "group", "pos", "gram"])
+
+    held = rows.select("id", "group", "text").mapInArrow(marked, "id string, group string, pos int, gram string")
+    return held.join(bible.select("gram").distinct(), "gram", "left_semi")
+
+
+def _marks(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, hashes, _, _ = gram_hashes([t or "" for t in batch.column("text").to_pylist()], n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(hashes).astype(np.int32))], names=["mark"])
+    return run
+
+
+def document_frequency(grams: DataFrame) -> DataFrame:
+    return grams.select("id", "gram").distinct().groupBy("gram").agg(F.count("*").alias("df"))
 
 
 def _joined(held: DataFrame, options: ReuseOptions, *places: str) -> DataFrame:
-    kept = document_frequency(held).where(F.col("df").between(options.min_df, options.max_df)).select("gram")
+    frequency = F.col("df") >= options.min_df
+    frequency = frequency & (F.col("df") <= options.max_df) if options.max_df else frequency
+    kept = document_frequency(held).where(frequency).select("gram")
     side = lambda group, name: held.where(F.col("group") == group).select(
         "gram", F.col("id").alias(name), *[F.col(p).alias(f"{name}_{p}") for p in places])
     return side("bible", "verse").join(kept, "gram").join(side("task", "chunk"), "gram")
 
 
-def shared_grams(grams: DataFrame, options: ReuseOptions) -> DataFrame:
-    """(verse, chunk, gram, verse_pos, chunk_pos): verse and chunk places of each shared n-gram."""
-    return _joined(grams_of_verses(grams), options, "pos").select("verse", "chunk", "gram", "verse_pos", "chunk_pos")
+def shared_grams(held: DataFrame, options: ReuseOptions) -> DataFrame:
+    """(verse, chunk, gram, verse_pos, chunk_pos): verse and chunk places of each shared n-gram; ``held`` from ``verse_grams``."""
+    return _joined(held, options, "pos").select("verse", "chunk", "gram", "verse_pos", "chunk_pos")
 
 
-def candidate_pairs(grams: DataFrame, options: ReuseOptions) -> DataFrame:
+def candidate_pairs(held: DataFrame, options: ReuseOptions) -> DataFrame:
     """(verse, chunk, shared): pairs that share at least ``min_match`` distinct n-grams in the frequency range."""
-    pairs = _joined(grams_of_verses(grams).select("id", "group", "gram").distinct(), options)
+    pairs = _joined(held.select("id", "group", "gram").distinct(), options)
     return pairs.groupBy("verse", "chunk").agg(F.count("*").alias("shared")).where(F.col("shared") >= options.min_match)
 
 
@@ -121,27 +182,61 @@ def local_alignment(a: str, b: str) -> tuple[int, int, str, str, int]:
     return i, j, "".join(left[::-1]), "".join(right[::-1]), int(equal)
 
 
+def exact_runs(shared: DataFrame, rows: DataFrame, n: int, min_align: int) -> DataFrame:
+    """(verse, chunk, alg, alg2, begin, begin2, matches): the longest run that both texts have in common, as an alignment
+    without gaps. Shared n-grams one place apart on both sides are one run; ties go to the first. Expressions only."""
+    order = Window.partitionBy("verse", "chunk", "shift").orderBy("verse_pos")
+    at = shared.withColumn("shift", F.col("verse_pos") - F.col("chunk_pos"))
+    at = at.withColumn("run", F.col("verse_pos") - F.row_number().over(order))
+    runs = at.groupBy("verse", "chunk", "shift", "run").agg(
+        F.min("verse_pos").alias("begin"), F.min("chunk_pos").alias("begin2"), (F.count("*") + (n - 1)).cast("int").alias("size"))
+    best = runs.where(F.col("size") >= min_align).groupBy("verse", "chunk").agg(
+        F.min(F.struct((-F.col("size")).alias("less"), "begin", "begin2")).alias("r"))
+    texts = rows.select(F.col("id").alias("verse"), "text")
+    part = F.translate(F.substring(F.col("text"), F.col("r.begin") + 1, -F.col("r.less")), "-", " ")
+    return best.join(texts, "verse").select("verse", "chunk", part.alias("alg"), part.alias("alg2"), "r.begin", "r.begin2",
+                                            (-F.col("r.less")).cast("double").alias("matches"))
+
+
 def align(pairs: DataFrame, rows: DataFrame, options: ReuseOptions) -> DataFrame:
-    """(verse, chunk, alg, alg2, begin, begin2, matches): alignments that are long enough.
+    """(verse, chunk, alg, alg2, begin, begin2, matches): alignments of at least ``min_align`` places whose passage covers enough.
 
-    ``src_overlap`` bounds the aligned part of the shorter of both texts from below, ``dst_overlap`` that of the verse. Hyphens of the
-    texts are aligned as blanks, since a hyphen marks a gap.
+    A passage is what a verse's alignments with one problem's chunks make up, cut where they stand more than ``gap`` apart.
+    ``src_overlap`` bounds its part of the shorter of the verse and the chunks' stretch from below, ``dst_overlap`` its part of
+    the verse; a verse longer than a chunk is covered by several. Hyphens of the texts are aligned as blanks, since a
+    hyphen marks a gap.
     """
-    text = lambda name: rows.select(F.col("id").alias(name), F.translate("text", "-", " ").alias(f"{name}_text"))
-    both = pairs.select("verse", "chunk").join(text("verse"), "verse").join(text("chunk"), "chunk")
+    text = lambda name, *more: rows.select(F.col("id").alias(name), F.translate("text", "-", " ").alias(f"{name}_text"), *more)
+    both = pairs.select("verse", "chunk").join(text("verse"), "verse").join(text("chunk", "problem_id", "chunk_start"), "chunk")
+    names = ["verse", "chunk", "problem_id", "at", "verse_size", "chunk_size", "alg", "alg2", "begin", "begin2", "matches"]
 
     def aligned(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for verse, chunk, a, b in frame[["verse", "chunk", "verse_text", "chunk_text"]].itertuples(index=False, name=None):
+            for verse, chunk, problem, start, a, b in frame[["verse", "chunk", "problem_id", "chunk_start", "verse_text", "chunk_text"]].itertuples(
+                    index=False, name=None):
                 begin, begin2, alg, alg2, equal = local_alignment(a, b)
-                size = len(alg.replace("-", ""))
-                if (len(alg) >= options.min_align and size >= options.src_overlap * min(len(a), len(b))
-                        and size >= options.dst_overlap * len(a)):
-                    out.append((verse, chunk, alg, alg2, begin, begin2, float(equal)))
-            yield pd.DataFrame(out, columns=["verse", "chunk", "alg", "alg2", "begin", "begin2", "matches"])
-
-    return both.mapInPandas(aligned, "verse string, chunk string, alg string, alg2 string, begin int, begin2 int, matches double")
+                if len(alg) >= options.min_align:
+                    out.append((verse, chunk, problem, start, len(a), len(b), alg, alg2, begin, begin2, float(equal)))
+            yield pd.DataFrame(out, columns=names)
+
+    found = both.mapInPandas(aligned, "verse string, chunk string, problem_id string, at int, verse_size int, chunk_size int, "
+                                      "alg string, alg2 string, begin int, begin2 int, matches double")
+    end, place, past = aligned_end(F.col("begin"), F.col("alg")), F.col("at") + F.col("begin2"), F.col("at") + aligned_end(F.col("begin2"), F.col("alg2"))
+    one = Window.partitionBy("verse", "problem_id").orderBy("place", "chunk")
+    before = one.rowsBetween(Window.unboundedPreceding, -1)
+    found = found.withColumns({"end": end, "place": place, "past": past})
+    found = found.withColumn("opens", F.coalesce(F.col("place") - F.max("past").over(before) > options.gap, F.lit(False)).cast("int"))
+    found = found.withColumn("passage", F.sum("opens").over(one))
+    inside = Window.partitionBy("verse", "problem_id", "passage")
+    sorted_ = inside.orderBy("begin", "end", "chunk").rowsBetween(Window.unboundedPreceding, -1)
+    fresh = F.greatest(F.col("end") - F.greatest(F.col("begin"), F.coalesce(F.max("end").over(sorted_), F.lit(0))), F.lit(0))
+    found = found.withColumn("fresh", fresh)
+    covered = F.sum("fresh").over(inside)
+    stretch = F.max(F.col("at") + F.col("chunk_size")).over(inside) - F.min("at").over(inside)
+    kept = found.select("*", covered.alias("covered"), stretch.alias("stretch")).where(
+        (F.col("covered") >= options.src_overlap * F.least("verse_size", "stretch")) & (F.col("covered") >= options.dst_overlap * F.col("verse_size")))
+    return kept.select("verse", "chunk", "alg", "alg2", "begin", "begin2", "matches")
 
 
 def nested_output(aligned: DataFrame, rows: DataFrame) -> DataFrame:
@@ -196,7 +291,22 @@ def inspection_filter(matches: DataFrame, hide_gold: bool = False, min_score: fl
     return in_order(rows).limit(most) if most else rows
 
 
+def _some(chunks: DataFrame) -> None:
+    if chunks.isEmpty():
+        raise ValueError("there are no chunks")
+
+
 def detect(chunks: DataFrame, verses: DataFrame, options: ReuseOptions) -> DataFrame:
-    """The whole job up to nested output: n-grams, candidates, alignment."""
+    """The whole job up to nested output: n-grams, candidates, alignment. No chunk at all is an error."""
+    _some(chunks)
     rows = records(chunks, verses)
-    return nested_output(align(candidate_pairs(ngrams(rows, options.n), options), rows, options), rows)
+    pairs = candidate_pairs(written(verse_grams(rows, options.n), "verse-grams"), options)
+    return nested_output(written(align(written(pairs, "reuse-pairs"), rows, options), "alignments"), rows)
+
+
+def run_counts(chunks: DataFrame, verses: DataFrame, pairs: DataFrame, matches: DataFrame) -> DataFrame:
+    """(name, n): chunks, verses, distinct pairs, matches and selected problems of a run."""
+    one = lambda name, df, count=F.count("*"): df.agg(count.alias("n")).select(F.lit(name).alias("name"), "n")
+    parts = [one("chunks", chunks), one("verses", verses), one("pairs", pairs.select(*PAIR).distinct()), one("matches", matches),
+             one("selected_problems", chunks, F.countDistinct("problem_id"))]
+    return reduce(DataFrame.unionByName, parts)

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.refs import CANONICAL, resolve_source
+from ..sources.files import write_dataset
+from ..sources.shared import written
 
 TEI = "{http://www.tei-c.org/ns/1.0}"
 SPAN = "array<struct<start:int,end:int,source:string>>"
@@ -20,21 +22,27 @@ def _local(tag: object) -> str:
     return tag.rsplit("}", 1)[-1] if isinstance(tag, str) else ""
 
 
-def _walk(element: ElementTree.Element, pieces: list) -> None:
-    """Text pieces and (open or close, quote number, source) marks, depth first."""
-    name = _local(element.tag)
-    if name == "note" and element.get("type") == "source":
-        return
-    source = element.get("source") if name == "quote" else None
-    number = len(pieces)
-    if source is not None:
-        pieces.append(("open", number, source))
-    pieces.append(element.text or "" if isinstance(element.tag, str) else "")
-    for child in element:
-        _walk(child, pieces)
-        pieces.append(child.tail or "")
-    if source is not None:
-        pieces.append(("close", number, source))
+def _walk(element: ElementTree.Element) -> list:
+    """Text pieces and (open or close, quote number, source) marks, depth first; nesting of any depth."""
+    pieces: list = []
+    todo: list = [element]  # elements to enter, and pieces that follow them
+    while todo:
+        item = todo.pop()
+        if not isinstance(item, ElementTree.Element):
+            pieces.append(item)
+            continue
+        name = _local(item.tag)
+        if name == "note" and item.get("type") == "source":
+            continue
+        source = item.get("source") if name == "quote" else None
+        if source is not None:
+            number = len(pieces)
+            pieces.append(("open", number, source))
+            todo.append(("close", number, source))
+        pieces.append(item.text or "" if isinstance(item.tag, str) else "")
+        for child in reversed(item):
+            todo += [child.tail or "", child]
+    return pieces
 
 
 def paragraph(element: ElementTree.Element, marked: set[str]) -> tuple[str, list[tuple[int, int, str]]]:
@@ -42,8 +50,7 @@ def paragraph(element: ElementTree.Element, marked: set[str]) -> tuple[str, list
 
     A span starts at the length of the text so far, so the blank that joins it to the text before is inside.
     """
-    pieces: list = []
-    _walk(element, pieces)
+    pieces = _walk(element)
     words, size, open_at, spans, glued = [], 0, {}, [], ""
 
     def flush(text: str) -> None:
@@ -74,7 +81,7 @@ def _parsed(sources_only: bool, marks: dict[str, list[str]] | None):
             for problem, xml, *marked in frame.itertuples(index=False, name=None):
                 try:
                     tree = ElementTree.fromstring(xml)
-                except (ElementTree.ParseError, ValueError, TypeError) as e:
+                except (ElementTree.ParseError, ValueError, TypeError, RecursionError) as e:
                     rows.append((problem, -1, None, [], str(e)))
                     continue
                 if sources_only:
@@ -83,11 +90,10 @@ def _parsed(sources_only: bool, marks: dict[str, list[str]] | None):
                     continue
                 known = set(marked[0]) if marked and marked[0] is not None else set()
                 body = tree.find(f".//{TEI}body")
-                for i, p in enumerate(body.iter(f"{TEI}p") if body is not None else []):
-                    text, spans = paragraph(p, known)
-                    rows.append((problem, i, text, spans, None))
+                texts = [paragraph(p, known) for p in (body.iter(f"{TEI}p") if body is not None else [])]
+                rows += [(problem, i, text, spans, None) for i, (text, spans) in enumerate(texts)] or [(problem, -1, None, [], None)]
             out = pd.DataFrame(rows, columns=["problem_id", "para_no", "text", "spans", "error"])
-            out["spans"] = [[{"start": a, "end": b, "source": s} for a, b, s in x] for x in out["spans"]]
+            out["spans"] = pd.Series([[{"start": a, "end": b, "source": s} for a, b, s in x] for x in out["spans"]], dtype=object)
             yield out
     return run
 
@@ -101,7 +107,8 @@ def quote_sources(documents: DataFrame) -> DataFrame:
 
 
 def paragraphs(documents: DataFrame, books: dict[str, str], codes: list[str], on_error: str = "fail") -> DataFrame:
-    """(problem_id, para_no, text, spans, error); spans carry their resolved references.
+    """(problem_id, para_no, text, spans, error); spans carry their resolved references. A file without paragraphs, or one
+    that does not parse, is one row with ``para_no`` -1 and no text.
 
     Only quotes whose source resolves to references are marked, so sources are resolved first, once per distinct one.
     """
@@ -119,7 +126,7 @@ def paragraphs(documents: DataFrame, books: dict[str, str], codes: list[str], on
 def paragraph_offsets(rows: DataFrame) -> DataFrame:
     """Add ``offset``: where a paragraph starts when all of a document are joined by a newline."""
     before = Window.partitionBy("problem_id").orderBy("para_no").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("offset", F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)).cast("int"))
+    return rows.where("para_no >= 0").withColumn("offset", F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)).cast("int"))
 
 
 def document_spans(rows: DataFrame) -> DataFrame:
@@ -134,7 +141,7 @@ def document_spans(rows: DataFrame) -> DataFrame:
 def document_texts(rows: DataFrame) -> DataFrame:
     """(problem_id, text) of documents with at least one span."""
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("para_no", "text"))), lambda x: x["text"]), "\n")
-    texts = rows.where("error IS NULL").groupBy("problem_id").agg(joined.alias("text"), F.sum(F.size("spans")).alias("n"))
+    texts = rows.where("para_no >= 0").groupBy("problem_id").agg(joined.alias("text"), F.sum(F.size("spans")).alias("n"))
     return texts.where("n > 0").drop("n")
 
 
@@ -153,14 +160,28 @@ def quote_totals(documents: DataFrame, books: dict[str, str]) -> DataFrame:
         F.sum("quotes").alias("quotes"), F.sum("mapped").alias("mapped"), F.count_if(F.col("mapped") > 0).alias("files_mapped"))
 
 
+def files_by_count(statistics: DataFrame, count: str = "quotes") -> DataFrame:
+    """(problem_id, count) of files that have any, most first, then by name."""
+    return statistics.where(F.col(count) > 0).select("problem_id", count).orderBy(F.desc(count), "problem_id")
+
+
 def dataset_statistics(rows: DataFrame) -> DataFrame:
-    """One row: files, files_with_spans, spans, verses, books, pairs, parse_errors."""
-    refs = rows.select("problem_id", "para_no", "error", F.posexplode_outer("spans").alias("pos", "s")).select(
-        "problem_id", "para_no", "error", "pos", F.explode_outer("s.references").alias("reference"))
-    book = F.regexp_extract("reference", CANONICAL, 1)
-    return refs.agg(
-        F.countDistinct("problem_id").alias("files"), F.countDistinct(F.when(F.col("pos").isNotNull(), F.col("problem_id"))).alias("files_with_spans"),
-        F.countDistinct("problem_id", "para_no", "pos").alias("spans"), F.countDistinct("reference").alias("verses"),
-        F.countDistinct(F.when(F.col("reference").isNotNull(), book)).alias("books"),
-        F.countDistinct("problem_id", "reference").alias("pairs"),
-        F.countDistinct(F.when(F.col("error").isNotNull(), F.col("problem_id"))).alias("parse_errors"))
+    """One row: files, files_with_spans, spans, verses, books, pairs, parse_errors. Every file that was read counts.
+
+    Summed by document first, so that each distinct count expands one row per document and reference at most.
+    """
+    files = rows.groupBy("problem_id").agg(F.sum(F.size("spans")).alias("n"), F.count_if(F.col("error").isNotNull()).alias("bad")).agg(
+        F.count("*").alias("files"), F.count_if(F.col("n") > 0).alias("files_with_spans"), F.coalesce(F.sum("n"), F.lit(0)).alias("spans"),
+        F.count_if(F.col("bad") > 0).alias("parse_errors"))
+    refs = rows.select("problem_id", F.explode("spans.references").alias("l")).select("problem_id", F.explode("l").alias("reference")).distinct()
+    verses = refs.groupBy("reference").agg(F.count("*").alias("n")).agg(
+        F.count("*").alias("verses"), F.countDistinct(F.regexp_extract("reference", CANONICAL, 1)).alias("books"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"))
+    return files.join(F.broadcast(verses)).select("files", "files_with_spans", "spans", "verses", "books", "pairs", "parse_errors")
+
+
+def build_dataset(documents: DataFrame, books: dict[str, str], codes: list[str], folder: str, on_error: str = "fail") -> DataFrame:
+    """The whole job: parse, resolve, write problems and spans, and give the statistics of all files read."""
+    rows = written(paragraphs(documents, books, codes, on_error), "tei-paragraphs")
+    write_dataset(document_texts(rows), document_spans(rows), folder)
+    return dataset_statistics(rows)

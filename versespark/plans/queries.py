@@ -81,7 +81,7 @@ def token_budget(spark, d):
 
 @query
 def ngram_df(spark, d):
-    return reuse.document_frequency(reuse.grams_of_verses(reuse.ngrams(v.reuse_records(spark, d), 8)))
+    return reuse.document_frequency(reuse.verse_grams(v.reuse_records(spark, d), 8))
 
 
 @query
@@ -91,14 +91,15 @@ def reuse_candidates(spark, d):
 
 @query
 def passage_groups(spark, d):
-    options = reuse.ReuseOptions(n=16)
-    return reuse.passage_groups(reuse.shared_grams(reuse.ngrams(v.reuse_records(spark, d), options.n), options), gap=20)
+    return reuse.passage_groups(v.shared(spark, d), gap=20)
+
+
+FLAT = ("problem_id", "chunk_index", "reference", "score", "aligned_chunk_start", "aligned_chunk_end", "aligned_verse_start", "aligned_verse_end")
 
 
 @query
 def reuse_flatten(spark, d):
-    return reuse.flatten_output(v.reuse_output(spark, d)).select(
-        "problem_id", "chunk_index", "reference", "score", "aligned_chunk_start", "aligned_chunk_end", "aligned_verse_start", "aligned_verse_end")
+    return reuse.flatten_output(v.reuse_output(spark, d)).select(*FLAT)
 
 
 @query
@@ -106,16 +107,49 @@ def reuse_best(spark, d):
     return reuse.best_pairs(reuse.flatten_output(v.reuse_output(spark, d)))
 
 
+def _inspected(spark, d, output):
+    chunks = v.chunks(spark, d).withColumn("chunk_id", refs.chunk_id(F.col("problem_id"), F.col("chunk_index")))
+    return reuse.match_inspection(reuse.flatten_output(output), chunks, v.verses(spark, d), evaluate.truth_pairs(v.gold_spans(spark, d)))
+
+
 @query
 def match_inspection(spark, d):
-    chunks = v.chunks(spark, d).withColumn("chunk_id", refs.chunk_id(F.col("problem_id"), F.col("chunk_index")))
-    truth = evaluate.truth_pairs(v.gold_spans(spark, d))
-    return reuse.match_inspection(reuse.flatten_output(v.reuse_output(spark, d)), chunks, v.verses(spark, d), truth)
+    return _inspected(spark, d, v.reuse_output(spark, d))
+
+
+@query
+def exact_flatten(spark, d):
+    return reuse.flatten_output(v.exact_output(spark, d)).select(*FLAT)
+
+
+@query
+def exact_best(spark, d):
+    return reuse.best_pairs(reuse.flatten_output(v.exact_output(spark, d)))
+
+
+@query
+def exact_inspection(spark, d):
+    return _inspected(spark, d, v.exact_output(spark, d))
+
+
+@query
+def review_rows(spark, d):
+    """What a reviewer sees: rows that gold does not have, or all above a score, with previews and absolute places."""
+    rows = reuse.inspection_filter(_inspected(spark, d, v.exact_output(spark, d)), min_score=20.0, reference_part="bench_")
+    span = refs.absolute_span(F.col("chunk_start"), F.col("aligned_chunk_start"), F.col("aligned_chunk_end"))
+    return rows.select("problem_id", "chunk_id", "reference", "chunk_preview", "verse_preview", span["span_start"].alias("start"), span["span_end"].alias("end"))
 
 
 @query
 def reuse_detect(spark, d):
-    return reuse.flatten_output(reuse.detect(v.chunks(spark, d), v.verses(spark, d), reuse.ReuseOptions(n=16)))
+    return reuse.flatten_output(v.reuse_output(spark, d))
+
+
+@query
+def run_counts(spark, d):
+    chunks, verses = v.chunks(spark, d), v.verses(spark, d)
+    flat = reuse.flatten_output(v.exact_output(spark, d))
+    return reuse.run_counts(chunks, verses, flat, flat)
 
 
 def _sides(spark, d):
@@ -132,6 +166,13 @@ def knn_topk(spark, d):
     return _rounded(knn.top_k(*_sides(spark, d), k=5, threshold=0.3))
 
 
+@query
+def knn_search(spark, d):
+    """Every hundredth vector against all."""
+    rows = v.vectors(spark, d)
+    return _rounded(knn.top_k(rows.where("vec_id % 100 = 0").withColumn("query_id", F.col("reference")), rows, k=10, threshold=-1.0))
+
+
 @query
 def knn_self(spark, d):
     rows = v.vectors(spark, d)
@@ -177,7 +218,14 @@ def _paragraphs(spark, d):
 
 @query
 def dataset_stats(spark, d):
-    return tei.dataset_statistics(_paragraphs(spark, d))
+    """Over conversations, and documents that do not parse, have no body, or no paragraph."""
+    odd = v.page_documents(spark, d).unionByName(v.bodiless_documents(spark, d))
+    return tei.dataset_statistics(tei.paragraphs(v.tei_documents(spark, d).unionByName(odd), v.BOOKS, v.CODES))
+
+
+@query
+def quote_files(spark, d):
+    return tei.files_by_count(tei.quote_statistics(v.tei_documents(spark, d), v.BOOKS))
 
 
 @query
@@ -279,3 +327,78 @@ def dataset_overview(spark, d):
     spans = v.gold_spans(spark, d)
     return annotations.dataset_overview(problems=v.problems(spark, d), solutions=spans, additions=v.added_entries(spark, d),
                                         merged=annotations.merge(v.base_entries(spark, d), v.added_entries(spark, d)))
+
+
+@query
+def absolute_spans(spark, d):
+    """Places of matches in their problem: a chunk without a known start counts from zero."""
+    rows = v.table(spark, d, "documents").select("doc_id", F.expr("CASE WHEN doc_id % 4 = 0 THEN NULL ELSE int(doc_id % 90) END").alias("c"), F.expr("int(n_chars % 50)").alias("a"))
+    return rows.select("doc_id", refs.absolute_span(F.col("c"), F.col("a"), F.col("a") + 7).alias("s")).select("doc_id", "s.*")
+
+
+@query
+def aligned_ends(spark, d):
+    """Ends of aligned texts, whose gaps take no place."""
+    rows = v.table(spark, d, "documents").select("doc_id", F.expr("int(doc_id % 40)").alias("begin"), F.expr("concat(source, '-', repeat('-', int(doc_id % 5)), lang)").alias("alg"))
+    return rows.select("doc_id", refs.aligned_end(F.col("begin"), F.col("alg")).alias("end"))
+
+
+@query
+def highlight_slice(spark, d):
+    rows = v.table(spark, d, "documents").select("doc_id", F.expr("concat('<', source, '> & \"', lang, '\"')").alias("text"), F.expr("int(doc_id % 12 - 2)").alias("a"), F.expr("int(n_chars % 20)").alias("b"))
+    return rows.select("doc_id", annotations.mark_slice(F.col("text"), F.col("a"), F.col("b")).alias("marked"))
+
+
+@query
+def reference_list(spark, d):
+    raw = F.expr("concat(' BENCH_', doc_id % 4, ':1;', lang, '_1:2, ', lang, '_1:2  bench_0:', n_chars % 3)")
+    return v.table(spark, d, "documents").select("doc_id", F.array_join(refs.parse_reference_list(raw), " ").alias("references"))
+
+
+@query
+def prompt_rows(spark, d):
+    rows = responses.prompts(chunked(v.problems(spark, d), "full"), v.CODES, "Name every verse.")
+    return rows.withColumn("chars", F.length("human")).drop("human")
+
+
+@query
+def message_texts(spark, d):
+    content = F.expr("""CASE doc_id % 3 WHEN 0 THEN '[]' WHEN 1 THEN concat('["', source, '",{"text":"', lang, '"},7]')
+      ELSE concat('"', source, ' ', lang, '"') END""")
+    return v.table(spark, d, "documents").select("doc_id", responses.message_text(F.try_parse_json(content)).alias("message"))
+
+
+@query
+def find_collection(spark, d):
+    rows = v.table(spark, d, "documents").select(F.concat("source", F.lit("-"), "lang").alias("collection_name"), F.col("source").alias("provider"),
+                                                 F.upper("lang").alias("model_name"), F.lit("Base").alias("collection_prefix"))
+    return files.find_collection(rows, "SRC1", "de", "base").unionByName(
+        files.find_collection(rows, "none", "de", "base", "src2-en")).unionByName(files.find_collection(rows, "none", "none", "base", "none", "none"))
+
+
+@query
+def accepted_matches(spark, d):
+    accepted = v.table(spark, d, "documents").where("doc_id % 2 = 0").select(
+        F.expr("concat('doc-', doc_id)").alias("problem_id"), F.expr("int(doc_id % 7 + 1)").alias("span_start"), F.expr("int(doc_id % 7 + 4)").alias("span_end"),
+        F.expr("CASE WHEN doc_id % 3 = 0 THEN '' ELSE ' Bench_2:1, bench_1:9' END").alias("references"), F.lit("bench_7:7").alias("reference"))
+    return _flat_refs(annotations.append_accepted(v.added_entries(spark, d), accepted.withColumn("references", refs.parse_reference_list(F.col("references")))))
+
+
+@query
+def merge_counts(spark, d):
+    return annotations.merge_counts(annotations.merge(v.base_entries(spark, d), v.added_entries(spark, d)))
+
+
+@query
+def predictions_per_problem(spark, d):
+    queries, side = _sides(spark, d)
+    near = knn.top_k(queries, side, k=5, threshold=0.3).join(queries.select("query_id", "problem_id"), "query_id")
+    return files.per_problem(knn.embedding_pairs(near)).select("problem_id", F.array_join("predictions.reference", " ").alias("references"))
+
+
+@query
+def similar_verse_text(spark, d):
+    """The preview's column of similar verses."""
+    rows = v.vectors(spark, d)
+    near = knn.top_k(rows.withColumn("query_id", F.col("reference")), rows, k=2, threshold=0.3, exclude_self=True, threshold_first=True)
+    return annotations.similar_text(near).select("reference", F.regexp_replace("similar", r" \(\d\.\d{3}\)", "").alias("similar"))

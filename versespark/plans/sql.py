@@ -6,9 +6,11 @@ _STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 _PROBLEMS = "problems AS (SELECT 'doc-' || doc_id AS problem_id, text FROM documents)"
 _VERSES = """verses AS (SELECT 'bench' AS book_code, item_id // 10 + 1 AS chapter_number, item_id % 10 + 1 AS verse_index, text,
   'bench_' || (item_id // 10 + 1) || ':' || (item_id % 10 + 1) AS reference FROM benchmark)"""
-_SPANS = """spans AS (SELECT problem_id, position(v.text IN p.text)::INT - 1 AS span_start,
-  (position(v.text IN p.text) - 1 + length(v.text))::INT AS span_end, reference
-  FROM problems p JOIN verses v ON position(v.text IN p.text) > 0)"""
+_SPANS = """pieces AS (SELECT problem_id, reference, length(v.text) AS n, string_split(p.text, v.text) AS parts
+  FROM problems p JOIN verses v ON contains(p.text, v.text)),
+spans AS (SELECT problem_id, (list_sum(list_transform(parts[1:k], lambda x: length(x))) + (k - 1) * n)::INT AS span_start,
+  (list_sum(list_transform(parts[1:k], lambda x: length(x))) + k * n)::INT AS span_end, reference
+  FROM (SELECT *, unnest(generate_series(1, len(parts) - 1)) AS k FROM pieces))"""
 
 
 def _char_chunks(size: int, step: int, least: int) -> str:
@@ -33,11 +35,17 @@ _REUSE = f"""WITH {_PROBLEMS}, {_VERSES}, {_char_chunks(100, 50, 25)}, {_grams(1
 kept AS (SELECT gram FROM df WHERE df BETWEEN 1 AND 750),
 cand AS (SELECT b.id AS verse, t.id AS chunk, count(DISTINCT b.gram) AS shared FROM grams b JOIN grams t ON b.gram = t.gram
   WHERE b.grp = 'bible' AND t.grp = 'task' AND b.gram IN (SELECT gram FROM kept) GROUP BY 1, 2 HAVING count(DISTINCT b.gram) >= 3),
-flat AS (SELECT c.problem_id, 'task::' || c.problem_id || '::chunk::' || c.chunk_index AS chunk_id, c.chunk_index, c.chunk_start, c.chunk_end,
-  substr(verse, 8) AS reference, shared::DOUBLE AS score, c.text AS chunk_text, v.text AS verse_text,
-  replace(left(v.text, 20), '-', ' ') AS alg, replace(left(c.text, 20), '-', ' ') AS alg2
-  FROM cand JOIN chunks c ON cand.chunk = 'task::' || c.problem_id || '::chunk::' || c.chunk_index JOIN verses v ON verse = 'bible::' || v.reference)"""
-_EVAL = f"""{_REUSE}, {_SPANS}, pred AS (SELECT problem_id, reference FROM flat GROUP BY 1, 2 HAVING max(score) >= 20),
+hits AS (SELECT b.id AS verse, t.id AS chunk, b.pos AS vp, t.pos AS cp FROM grams b JOIN grams t ON b.gram = t.gram
+  WHERE b.grp = 'bible' AND t.grp = 'task' AND b.gram IN (SELECT gram FROM kept)),
+runs AS (SELECT verse, chunk, min(vp)::INT AS vp, min(cp)::INT AS cp, (count(*) + 15)::INT AS size FROM (
+  SELECT *, vp - cp AS shift, vp - row_number() OVER (PARTITION BY verse, chunk, vp - cp ORDER BY vp) AS run FROM hits)
+  GROUP BY verse, chunk, shift, run HAVING count(*) + 15 >= 20),
+flat AS (SELECT c.problem_id, r.chunk AS chunk_id, c.chunk_index, c.chunk_start, c.chunk_end, substr(verse, 8) AS reference, size::DOUBLE AS score,
+  c.text AS chunk_text, v.text AS verse_text, vp, cp, size, replace(substring(v.text, vp + 1, size), '-', ' ') AS alg
+  FROM (SELECT *, row_number() OVER (PARTITION BY verse, chunk ORDER BY size DESC, vp, cp) AS k FROM runs) r
+  JOIN chunks c ON r.chunk = 'task::' || c.problem_id || '::chunk::' || c.chunk_index JOIN verses v ON verse = 'bible::' || v.reference WHERE k = 1)"""
+_EVAL = f"""{_REUSE}, {_SPANS}, pred AS (SELECT DISTINCT c.problem_id, substr(verse, 8) AS reference FROM cand
+  JOIN chunks c ON cand.chunk = 'task::' || c.problem_id || '::chunk::' || c.chunk_index WHERE shared >= 20),
 truth AS (SELECT DISTINCT problem_id, reference FROM spans),
 kinds AS (SELECT coalesce(p.problem_id, t.problem_id) AS problem_id, coalesce(p.reference, t.reference) AS reference,
   CASE WHEN p.reference IS NULL THEN 'fn' WHEN t.reference IS NULL THEN 'fp' ELSE 'tp' END AS kind
@@ -107,18 +115,22 @@ w AS (SELECT problem_id, CASE WHEN ceil(length(text) / 4.0) <= 700 THEN [text] E
 SELECT problem_id, 0 AS chunk_index, (generate_subscripts(parts, 1) - 1)::INT AS part_index, unnest(parts) AS text FROM w""",
     "ngram_df": f"WITH {_PROBLEMS}, {_VERSES}, {_char_chunks(100, 50, 25)}, {_grams(8)} SELECT gram, df FROM df",
     "reuse_candidates": f"{_REUSE} SELECT verse, chunk, shared FROM cand",
-    "passage_groups": f"""{_REUSE}, hits AS (SELECT DISTINCT b.id AS verse, t.id AS chunk, t.pos AS mark FROM grams b JOIN grams t ON b.gram = t.gram
-  WHERE b.grp = 'bible' AND t.grp = 'task' AND b.gram IN (SELECT gram FROM kept)),
-g AS (SELECT *, coalesce((mark - lag(mark) OVER (PARTITION BY verse, chunk ORDER BY mark) > 20)::INT, 0) AS new FROM hits),
+    "passage_groups": f"""{_REUSE}, marks AS (SELECT DISTINCT verse, chunk, cp AS mark FROM hits),
+g AS (SELECT *, coalesce((mark - lag(mark) OVER (PARTITION BY verse, chunk ORDER BY mark) > 20)::INT, 0) AS new FROM marks),
 n AS (SELECT *, sum(new) OVER (PARTITION BY verse, chunk ORDER BY mark)::INT AS passage FROM g)
 SELECT verse, chunk, passage, min(mark)::INT AS start, max(mark)::INT AS "end", count(*) AS matches FROM n GROUP BY 1, 2, 3""",
-    "reuse_flatten": f"""{_REUSE} SELECT problem_id, chunk_index, reference, score, 0 AS aligned_chunk_start, length(alg2)::INT AS aligned_chunk_end,
-  0 AS aligned_verse_start, length(alg)::INT AS aligned_verse_end FROM flat""",
-    "reuse_best": f"{_REUSE} SELECT problem_id, reference, max(score) AS score, 'passim' AS method FROM flat GROUP BY 1, 2",
-    "match_inspection": f"""{_REUSE}, {_SPANS}, truth AS (SELECT DISTINCT problem_id, reference FROM spans)
+    "exact_flatten": f"""{_REUSE} SELECT problem_id, chunk_index, reference, score, cp AS aligned_chunk_start, cp + size AS aligned_chunk_end,
+  vp AS aligned_verse_start, vp + size AS aligned_verse_end FROM flat""",
+    "exact_best": f"{_REUSE} SELECT problem_id, reference, max(score) AS score, 'passim' AS method FROM flat GROUP BY 1, 2",
+    "exact_inspection": f"""{_REUSE}, {_SPANS}, truth AS (SELECT DISTINCT problem_id, reference FROM spans)
 SELECT f.problem_id, chunk_id, chunk_index, chunk_start, chunk_end, f.reference, score, t.reference IS NOT NULL AS is_ground_truth_reference, chunk_text, verse_text,
-  0 AS aligned_chunk_start, length(alg2)::INT AS aligned_chunk_end, 0 AS aligned_verse_start, length(alg)::INT AS aligned_verse_end, alg, alg2
+  cp AS aligned_chunk_start, cp + size AS aligned_chunk_end, vp AS aligned_verse_start, vp + size AS aligned_verse_end, alg, alg AS alg2
   FROM flat f LEFT JOIN truth t ON f.problem_id = t.problem_id AND f.reference = t.reference""",
+    "review_rows": f"""{_REUSE} SELECT problem_id, chunk_id, reference, left(chunk_text, 120) AS chunk_preview, left(verse_text, 120) AS verse_preview,
+  chunk_start + cp AS start, chunk_start + cp + size AS "end" FROM flat WHERE score >= 20""",
+    "run_counts": f"""{_REUSE} SELECT 'chunks' AS name, count(*) AS n FROM chunks UNION ALL SELECT 'verses', count(*) FROM verses
+UNION ALL SELECT 'pairs', count(DISTINCT (problem_id, reference)) FROM flat UNION ALL SELECT 'matches', count(*) FROM flat
+UNION ALL SELECT 'selected_problems', count(DISTINCT problem_id) FROM chunks""",
     "knn_topk": f"SELECT query_id, reference, similarity, rank FROM ({_TOP})",
     "knn_self": "SELECT query_id, reference, similarity, rank FROM (" + _PAIRS.format(cos=_COSINE, on="a.vec_id <> b.vec_id", k=2) + " AND sim >= 0.3)",
     "embedding_best": f"SELECT problem_id, reference, max(similarity) AS score, 'embedding' AS method FROM ({_TOP}) GROUP BY 1, 2",
@@ -135,8 +147,43 @@ SELECT problem_id, span_start FROM spans WHERE problem_id IN (SELECT problem_id
 SELECT count(*) + (SELECT count(*) FROM pages) AS files, (SELECT count(*) FROM pages) AS parse_errors, count(*) FILTER (n > 0) AS files_with_quotes,
   sum(n)::BIGINT AS quotes, sum(n)::BIGINT AS mapped, count(*) FILTER (n > 0) AS files_mapped FROM q""",
     "dataset_stats": f"""WITH {_TURNS}, refs AS (SELECT problem_id, r1 AS r FROM quotes UNION ALL SELECT problem_id, r2 FROM quotes)
-SELECT (SELECT count(DISTINCT problem_id) FROM paras) AS files, count(DISTINCT problem_id) AS files_with_spans, (SELECT count(*) FROM quotes) AS spans,
-  count(DISTINCT r) AS verses, count(DISTINCT split_part(r, '_', 1)) AS books, count(DISTINCT (problem_id, r)) AS pairs, 0::BIGINT AS parse_errors FROM refs""",
+SELECT (SELECT count(DISTINCT problem_id) FROM paras) + (SELECT count(*) FROM pages) + (SELECT count(*) FROM conversations WHERE turn = 0) AS files,
+  count(DISTINCT problem_id) AS files_with_spans, (SELECT count(*) FROM quotes) AS spans,
+  count(DISTINCT r) AS verses, count(DISTINCT split_part(r, '_', 1)) AS books, count(DISTINCT (problem_id, r)) AS pairs,
+  (SELECT count(*) FROM pages) AS parse_errors FROM refs""",
+    "quote_files": f"WITH {_TURNS} SELECT problem_id, count(*)::INT AS quotes FROM quotes GROUP BY 1",
+    "absolute_spans": """SELECT doc_id, (CASE WHEN doc_id % 4 = 0 THEN 0 ELSE doc_id % 90 END + n_chars % 50)::INT AS span_start,
+  (CASE WHEN doc_id % 4 = 0 THEN 0 ELSE doc_id % 90 END + n_chars % 50 + 7)::INT AS span_end FROM documents""",
+    "aligned_ends": "SELECT doc_id, (doc_id % 40 + length(source) + length(lang))::INT AS \"end\" FROM documents",
+    "highlight_slice": """WITH t AS (SELECT doc_id, '<' || source || '> & "' || lang || '"' AS t, doc_id % 12 - 2 AS a, n_chars % 20 AS b FROM documents),
+c AS (SELECT doc_id, t, greatest(0, least(a, length(t))) AS a, b FROM t), d AS (SELECT doc_id, t, a, greatest(a, least(b, length(t))) AS b FROM c),
+p AS (SELECT doc_id, unnest([t[:a], t[a+1:b], t[b+1:]]) AS x, unnest([1, 2, 3]) AS k FROM d),
+e AS (SELECT doc_id, k, replace(replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS x FROM p)
+SELECT doc_id, max(CASE k WHEN 1 THEN x END) || '<mark>' || max(CASE k WHEN 2 THEN x END) || '</mark>' || max(CASE k WHEN 3 THEN x END) AS marked FROM e GROUP BY 1""",
+    "reference_list": """SELECT doc_id, array_to_string(list_sort(list_distinct(['bench_' || (doc_id % 4) || ':1', lower(lang) || '_1:2', 'bench_0:' || (n_chars % 3)])), ' ') AS "references"
+FROM documents""",
+    "prompt_rows": rf"""SELECT 'doc-' || doc_id AS problem_id, 0 AS chunk_index, 'Name every verse.' || chr(10) || 'Book codes:' || chr(10) || '1cor, bench, gen' AS system,
+  length({_STRIP.format('text')})::INT AS chars FROM documents WHERE length({_STRIP.format('text')}) >= 30""",
+    "message_texts": r"""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN source || chr(10) || lang ELSE source || ' ' || lang END AS message FROM documents""",
+    "find_collection": """WITH c AS (SELECT source || '-' || lang AS name, source, lang FROM documents)
+SELECT coalesce((SELECT min(name) FROM c WHERE source = 'src1' AND lang = 'de'), (SELECT min(name) FROM c)) AS collection_name
+UNION ALL SELECT coalesce((SELECT min(name) FROM c WHERE name = 'src2-en'), (SELECT min(name) FROM c)) UNION ALL SELECT min(name) FROM c""",
+    "accepted_matches": f"""WITH {_BASE}, a AS (SELECT 'doc-' || doc_id AS problem_id, (doc_id % 7 + 1)::INT AS span_start, (doc_id % 7 + 4)::INT AS span_end,
+  CASE WHEN doc_id % 3 = 0 THEN 'bench_7:7' ELSE 'bench_1:9,bench_2:1' END AS "references" FROM documents WHERE doc_id % 2 = 0)
+SELECT * FROM added UNION SELECT * FROM a""",
+    "merge_counts": f"""WITH {_BASE} SELECT count(DISTINCT problem_id) AS problems, count(*) AS rows FROM (SELECT * FROM base UNION SELECT * FROM added)""",
+    "predictions_per_problem": f"""SELECT problem_id, string_agg(reference, ' ' ORDER BY score DESC, reference) AS "references"
+FROM (SELECT problem_id, reference, max(similarity) AS score FROM ({_TOP}) GROUP BY 1, 2) GROUP BY 1""",
+    "similar_verse_text": "SELECT query_id AS reference, query_id || ' => [' || string_agg(reference, ', ' ORDER BY rank) || ']' AS similar FROM ("
+                          + _PAIRS.format(cos=_COSINE, on="a.vec_id <> b.vec_id", k=2) + " AND sim >= 0.3) GROUP BY query_id",
+    "knn_search": "SELECT query_id, reference, similarity, rank FROM (" + _PAIRS.format(cos=_COSINE, on="a.vec_id % 100 = 0", k=10) + ")",
+    "chunks_window_offsets": f"""WITH RECURSIVE {_PROBLEMS}, {_SENTENCES}, w AS (SELECT problem_id, text, list_filter(list_transform(generate_series(1, len(s)),
+  lambda i: array_to_string(s[i:i+1], ' ')), lambda x: length(x) >= 30) AS c FROM s JOIN problems USING (problem_id) WHERE len(s) > 0),
+walk AS (SELECT problem_id, 0 AS k, 0 AS past, 0 AS spot FROM w UNION ALL
+  SELECT problem_id, k, greatest(past, spot + n) AS past, spot FROM (SELECT problem_id, k + 1 AS k, past, length(c[k + 1]) AS n,
+    CASE WHEN position(c[k + 1] IN substring(text, past + 1)) > 0 THEN past + position(c[k + 1] IN substring(text, past + 1)) - 1
+      WHEN position(c[k + 1] IN text) > 0 THEN position(c[k + 1] IN text) - 1 ELSE past END AS spot FROM walk JOIN w USING (problem_id) WHERE k < len(c)))
+SELECT problem_id, (k - 1)::INT AS chunk_index, spot::INT AS chunk_start, (spot + length(c[k]))::INT AS chunk_end, c[k] AS text FROM walk JOIN w USING (problem_id) WHERE k > 0""",
     "tei_spans": f"""WITH {_TURNS} SELECT problem_id, (row_number() OVER (PARTITION BY problem_id ORDER BY para_no) - 1)::INT AS span_index,
   (offs + length(array_to_string(w[1:2], ' ')))::INT AS span_start, (offs + length(array_to_string(w[1:6], ' ')))::INT AS span_end,
   r1 || ' ' || r2 AS resolved_references FROM quotes""",

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.chunking import chunked_with_offsets
 from ..functions.refs import normalize_space
 from ..operators import reuse
 from ..operators.annotations import escape_markup
+from ..sources.shared import written
 
 BOOKS = {"Bench": "bench", "Gen": "gen", "1Cor": "1cor"}
 CODES = ["bench", "gen", "1cor"]
@@ -30,21 +31,29 @@ def verses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("reference", F.expr("concat('bench_', chapter_number, ':', verse_index)"))
 
 
+#: Length of the n-gram on which gold verses and problems meet; shorter verses meet them on their first character.
+SEED = 8
+
+
 def gold_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(problem_id, span_index, span_start, span_end, resolved_references): first place of each verse that stands verbatim.
-
-    Problems and verses meet on a run of five inner words of the verse (its second to sixth), then the text is searched.
-    Verses have at least seven words.
-    """
-    words = lambda c: F.split(normalize_space(c), " ")
-    seeds = verses(spark, sf_dir).select("reference", F.col("text").alias("verse"), F.xxhash64(F.slice(words(F.col("text")), 2, 5)).alias("seed"))
-    runs = problems(spark, sf_dir).select("problem_id", F.explode(F.array(words(F.col("text")))).alias("w"))
-    places = F.when(F.size("w") >= 5, F.sequence(F.lit(1), F.greatest(F.size("w") - 4, F.lit(1))))
-    runs = runs.select("problem_id", F.array_distinct(F.transform(places, lambda i: F.xxhash64(F.slice("w", i, F.lit(5))))).alias("seeds"))
-    pairs = runs.select("problem_id", F.explode("seeds").alias("seed")).join(seeds, "seed").select("problem_id", "reference", "verse").distinct()
-    found = pairs.join(problems(spark, sf_dir), "problem_id").withColumn("at", F.expr("locate(verse, text)")).where("at > 0")
-    return found.select("problem_id", F.lit(0).alias("span_index"), (F.col("at") - 1).alias("span_start"),
-                        (F.col("at") - 1 + F.length("verse")).alias("span_end"), F.array("reference").alias("resolved_references"))
+    """(problem_id, span_index, span_start, span_end, resolved_references): every place where a verse stands verbatim, left to
+    right without overlaps of one verse. Problems and verses meet on a verse's first characters, then the text is searched."""
+    texts, marks = problems(spark, sf_dir), verses(spark, sf_dir).select("reference", F.col("text").alias("verse")).where("verse <> ''")
+    first = lambda n: marks.select("reference", "verse", F.left("verse", F.lit(n)).alias("gram"))
+    rows = texts.select(F.col("problem_id").alias("id"), F.lit("task").alias("group"), "text").unionByName(
+        first(SEED).where(F.length("verse") >= SEED).select(F.col("reference").alias("id"), F.lit("bible").alias("group"), F.col("gram").alias("text")))
+    long = reuse.verse_grams(rows, SEED).where("group = 'task'").select(F.col("id").alias("problem_id"), "gram").distinct()
+    short = texts.select("problem_id", F.explode(F.array_distinct(F.split("text", ""))).alias("gram"))
+    pairs = long.join(first(SEED).where(F.length("verse") >= SEED), "gram").unionByName(
+        short.join(first(1).where(F.length("verse") < SEED), "gram")).select("problem_id", "reference", "verse")
+    quoted = F.concat(F.lit("\\Q"), F.replace("verse", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    found = pairs.join(texts, "problem_id").where(F.contains("text", "verse")).withColumn("parts", F.split("text", quoted, -1))
+    starts = F.transform(F.sequence(F.lit(1), F.size("parts") - 1), lambda k: F.aggregate(
+        F.slice("parts", 1, k), F.lit(0), lambda n, x: n + F.length(x)) + (k - 1) * F.length("verse"))
+    found = found.select("problem_id", "reference", "verse", F.explode(starts).alias("span_start"))
+    order = Window.partitionBy("problem_id").orderBy("span_start", "reference")
+    return found.select("problem_id", (F.row_number().over(order) - 1).alias("span_index"), "span_start",
+                        (F.col("span_start") + F.length("verse")).alias("span_end"), F.array("reference").alias("resolved_references"))
 
 
 def chunks(spark: SparkSession, sf_dir: str, size: int = 100, overlap: int = 50) -> DataFrame:
@@ -55,24 +64,30 @@ def reuse_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reuse.records(chunks(spark, sf_dir), verses(spark, sf_dir))
 
 
+OPTIONS = reuse.ReuseOptions(n=16)
+
+
+def shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reuse.shared_grams(written(reuse.verse_grams(reuse_records(spark, sf_dir), OPTIONS.n), "verse-grams"), OPTIONS)
+
+
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    options = reuse.ReuseOptions(n=16)
-    return reuse.candidate_pairs(reuse.ngrams(reuse_records(spark, sf_dir), options.n), options)
+    return reuse.candidate_pairs(written(reuse.verse_grams(reuse_records(spark, sf_dir), OPTIONS.n), "verse-grams"), OPTIONS)
 
 
 def reuse_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nested output whose alignments are the first twenty characters of both sides."""
+    """Nested output of the whole job."""
+    return reuse.detect(chunks(spark, sf_dir), verses(spark, sf_dir), OPTIONS)
+
+
+def exact_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested output whose alignments are the longest runs in common."""
     rows = reuse_records(spark, sf_dir)
-    text = lambda name: rows.select(F.col("id").alias(name), F.translate(F.left("text", F.lit(20)), "-", " ").alias(f"{name}_part"))
-    aligned = candidates(spark, sf_dir).join(text("verse"), "verse").join(text("chunk"), "chunk").select(
-        "verse", "chunk", F.col("verse_part").alias("alg"), F.col("chunk_part").alias("alg2"), F.lit(0).alias("begin"), F.lit(0).alias("begin2"),
-        F.col("shared").cast("double").alias("matches"))
-    return reuse.nested_output(aligned, rows)
+    return reuse.nested_output(reuse.exact_runs(shared(spark, sf_dir), rows, OPTIONS.n, OPTIONS.min_align), rows)
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reuse predictions with at least twenty shared n-grams."""
-    return reuse.best_pairs(reuse.flatten_output(reuse_output(spark, sf_dir))).where("score >= 20")
+    return reuse.best_pairs(reuse.flatten_output(reuse_output(spark, sf_dir)))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +100,7 @@ RESPONSE = """CASE conv_id % 4
  WHEN 0 THEN concat('```json\\n{"matches":[{"reference":"bench_', conv_id % 4 + 1, ':', turn + 1, '","confidence":1.7}]}\\n```')
  WHEN 1 THEN concat('{"results":[{"ref":"bench_', conv_id % 7 + 1, ':', turn + 1, '-', turn + 3, '","score":"0.7"}]}')
  WHEN 2 THEN concat('See [{"reference":"Genesis ', conv_id % 9 + 1, ':', turn + 1, '"},{"reference":"bench_1:', turn + 2, '; foo_1:1"}]')
- ELSE left(text, 40) END"""
+ ELSE text END"""
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,6 +127,13 @@ def page_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select(F.expr("concat('page-', page_id)").alias("problem_id"), F.col("html").alias("xml"))
 
 
+def bodiless_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that parse and have no body, or a body without paragraphs."""
+    xml = F.expr("""CASE WHEN conv_id % 2 = 0 THEN '<TEI xmlns="http://www.tei-c.org/ns/1.0"><text/></TEI>'
+      ELSE '<TEI xmlns="http://www.tei-c.org/ns/1.0"><text><body><head>none</head></body></text></TEI>' END""")
+    return table(spark, sf_dir, "conversations").where("turn = 0").select(F.expr("concat('bare-', conv_id)").alias("problem_id"), xml.alias("xml"))
+
+
 def base_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(
         F.expr("concat('doc-', doc_id)").alias("problem_id"), F.expr("int(doc_id % 7)").alias("span_start"), F.expr("int(doc_id % 7 + 5)").alias("span_end"),

@@ -20,22 +20,30 @@ def _stem(extension: str):
     return F.regexp_extract("_metadata.file_name", rf"^(.*)\.{extension}$", 1)
 
 
+def _whole_files(spark: SparkSession, folder: str, extension: str, may_miss: bool = False) -> DataFrame:
+    """One row per file; a folder without such files has none, a missing one is an error unless ``may_miss``."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    if may_miss and not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], "value STRING, _metadata STRUCT<file_name: STRING>")
+    return spark.read.text(folder, wholetext=True, pathGlobFilter=f"*.{extension}")
+
+
 def read_problems(spark: SparkSession, folder: str) -> DataFrame:
     """(problem_id, text): one row per ``*.txt`` file."""
-    return spark.read.text(f"{folder}/*.txt", wholetext=True).select(_stem("txt").alias("problem_id"), F.col("value").alias("text"))
+    return _whole_files(spark, folder, "txt").select(_stem("txt").alias("problem_id"), F.col("value").alias("text"))
 
 
 def read_xml(spark: SparkSession, folder: str) -> DataFrame:
     """(problem_id, xml): one row per ``*.xml`` file; parsing is up to the caller."""
-    return spark.read.text(f"{folder}/*.xml", wholetext=True).select(_stem("xml").alias("problem_id"), F.col("value").alias("xml"))
+    return _whole_files(spark, folder, "xml").select(_stem("xml").alias("problem_id"), F.col("value").alias("xml"))
 
 
 def read_solutions(spark: SparkSession, folder: str, tolerant: bool = False) -> DataFrame:
     """(problem_id, span_index, span_start, span_end, resolved_references) of JSON arrays, one file per problem.
 
-    ``tolerant``: files that do not parse, or hold no array, give no rows; otherwise they end the job.
+    ``tolerant``: a missing folder, and files that do not parse or hold no array, give no rows; otherwise they end the job.
     """
-    whole = spark.read.text(f"{folder}/*.json", wholetext=True).select(_stem("json").alias("problem_id"), "value")
+    whole = _whole_files(spark, folder, "json", tolerant).select(_stem("json").alias("problem_id"), "value")
     spans = F.from_json("value", f"array<struct<{SPAN.replace(' INT', ': INT').replace(' ARRAY', ': ARRAY')}>>",
                         {"mode": "PERMISSIVE" if tolerant else "FAILFAST"})
     rows = whole.where(F.btrim("value").startswith("[")) if tolerant else whole
@@ -70,8 +78,12 @@ def book_aliases(mapping: DataFrame) -> DataFrame:
 
 
 def read_book_mapping(spark: SparkSession, path: str) -> DataFrame:
+    """Aliases of a TSV with header; no book code at all is an error."""
     rows = spark.read.csv(path, sep="\t", header=True, schema="book_code STRING, work_name STRING", enforceSchema=False)
-    return book_aliases(rows.withColumn("row_no", F.monotonically_increasing_id()))
+    aliases = book_aliases(rows.withColumn("row_no", F.monotonically_increasing_id()))
+    if aliases.isEmpty():
+        raise ValueError(f"no book codes in {path}")
+    return aliases
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, skip_bad: bool = False) -> DataFrame:
@@ -96,8 +108,21 @@ def write_tsv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, sep="\t", header=True)
 
 
+def in_prediction_order(predictions: DataFrame, by_score: bool = True) -> DataFrame:
+    """Score descending within a problem, ties by reference; or by (problem_id, reference)."""
+    return predictions.orderBy("problem_id", *([F.desc("score")] if by_score else []), "reference")
+
+
+def per_problem(predictions: DataFrame) -> DataFrame:
+    """(problem_id, predictions): all predictions of a problem, best first."""
+    rows = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("less"), "reference", "score", "method")))
+    return predictions.groupBy("problem_id").agg(F.transform(rows, lambda x: F.struct(
+        x["reference"].alias("reference"), x["score"].alias("score"), x["method"].alias("method"))).alias("predictions"))
+
+
 def write_results(predictions: DataFrame, matches: DataFrame | None, folder: str) -> None:
-    predictions.write.mode("overwrite").json(f"{folder}/predictions")
+    """Predictions in their order, and matches as they come."""
+    in_prediction_order(predictions).write.mode("overwrite").json(f"{folder}/predictions")
     if matches is not None:
         matches.write.mode("overwrite").json(f"{folder}/matches")
 
@@ -126,7 +151,9 @@ def unique_ids(rows: DataFrame) -> DataFrame:
 
 
 def upsert(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """Rows of ``new`` replace those of the same collection and id."""
+    """Rows of ``new`` replace those of the same collection and id; of several in ``new`` the one of the largest row_index stays."""
+    order = Window.partitionBy("collection_name", "id").orderBy(F.desc("row_index"))
+    new = new.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
     return existing.join(new.select("collection_name", "id").distinct(), ["collection_name", "id"], "left_anti").unionByName(new)
 
 
