@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir, written  # noqa: F401
+
 #: ASCII white space of a Java character class; ``bytes.split()`` splits on the same bytes.
 SPACE = r"[\x20\x09-\x0D]"
 SPACE_CHARS = " \t\n\x0b\f\r"
@@ -19,21 +19,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one where none is set, as in tests."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back, which cuts the lineage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def read_on(df: DataFrame, without: DataFrame, columns: list[str], most_rows: int) -> DataFrame:
+    """``df`` without the rows whose ``columns`` stand in the written table ``without``, which is broadcast up to a counted
+    number of rows and joined by shuffle beyond."""
+    gone = without.select(*columns).distinct()
+    return df.join(F.broadcast(gone) if without.count() <= most_rows else gone, columns, "left_anti")
 
 
 def row_key(*columns: str) -> Column:
