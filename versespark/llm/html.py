@@ -2,9 +2,11 @@
 
 Every page is parsed into elements and text blocks. Each element subtree is hashed (its tag, texts and children),
 Spark counts on how many different pages of its host each hash stands, and subtrees that recur on
-many pages of the host are deleted as its template. Copies of one page count once: pages are told apart by their
-longest block. Since a host may have one page only, elements that by tag, role, class or id
-are menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts or styles go as well. Where
+many pages of the host are deleted as its template. Copies of one page count once: a page is told by the block that is longest
+for the number of the host's pages it stands on, so neither a long footer nor a changing advert tells pages apart. Since a host may have one page only, elements that by tag, role, class or id
+are menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts or styles go as well; a class or id is a sign
+as a whole name, not by a word in it (``site-footer``, ``related-posts``; not ``has-sidebar``, ``related-work``), and no sign takes a
+page's only marked article. Where
 a page marks its article (or main part), the text is taken from there, and a subtree inside it needs to be on most pages
 of the host before it counts as template.
 
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -26,11 +29,11 @@ from pyspark.sql import functions as F
 
 from .common import row_key, slices, written
 
-#: A subtree is template from this many different pages of a host on, and this share of them.
-LEAST_PAGES, LEAST_SHARE = 3, 0.10
+#: A subtree is template from this many different pages of a host on, and this share of them or this larger number.
+LEAST_PAGES, LEAST_SHARE, MANY_PAGES = 3, 0.10, 25
 INSIDE_PAGES, INSIDE_SHARE = 5, 0.60
-#: The lists of subtrees to delete (about 150 bytes a page) are broadcast up to this many, joined by shuffle beyond.
-BROADCAST_PAGES = 200_000
+#: The lists of subtrees to delete are broadcast up to this many bytes, joined by shuffle beyond.
+BROADCAST_BYTES = 48 << 20
 
 _words = lambda text: frozenset(text.split())
 #: Fixed values of HTML: elements without content, block elements, elements whose start closes an open p.
@@ -52,7 +55,18 @@ SIGNS = _words("""nav navbar navigation menu breadcrumb breadcrumbs masthead foo
 advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice
 notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related
 recommended comment comments disqus discussion replies reply respond toolbar pagination pager copyright disclaimer
-announcement privacy topbar subnav crumbs colophon adsense adslot adbox promos banners side rail""")
+announcement privacy topbar subnav crumbs colophon adsense adslot adbox promos banners side rail commentlist commentform
+searchform sharebar topnav""")
+#: Names that within an article may be its subject, so that alone they are no sign there.
+SUBJECTS = _words("""ad ads privacy disclaimer announcement discussion promotion recommended related copyright overlay respond reply
+replies rail side social consent banner subscription notice alert menu""")
+#: Words that say which part or place of a sign a name is about, and words that say that something else has or lacks it.
+PARTS = _words("""list lists link links button buttons box bar wrapper wrap container block section area panel inner outer form slot
+unit row column col top bottom left right header title head body site page post posts article articles item items icons icon media
+text message content thread count counter stories story news primary secondary global sticky fixed mobile desktop floating inline
+region zone group card cards grid feed main the js policy bottombar holder""")
+HAVING = _words("has have with without no not is hide show after before under near")
+COMMENTS = _words("comment comments commentlist disqus discussion replies reply respond")
 #: Class or id values of a page's main part.
 MAIN = _words("""main content main-content maincontent page-content article article-body article-content post post-content
 post-body entry entry-content story story-body""")
@@ -64,17 +78,47 @@ TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 END_OF_RAW = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 
 
+@lru_cache(maxsize=1 << 16)
+def sign_of(name: str, within: bool = False) -> frozenset:
+    """The signs of a class or id name, none if the name as a whole is about something else."""
+    tokens = [t.lower() for t in TOKEN.findall(name)]
+    held = frozenset(tokens) & SIGNS
+    if not held or not HAVING.isdisjoint(tokens) or within and len(tokens) == 1 and held <= SUBJECTS:
+        return frozenset()
+    if tokens[-1] in SIGNS and not (within and tokens[-1] in SUBJECTS and tokens[0] not in SIGNS | PARTS):
+        return held
+    return held if all(t in SIGNS or t in PARTS for t in tokens) else frozenset()
+
+
 class Page:
     """Elements (parallel lists) and text blocks of a page."""
 
     def __init__(self, html: str) -> None:
         self.tag, self.parent, self.out, self.root, self.digest = [""], [-1], [False], [False], [0]
+        self.signed: dict[int, frozenset] = {}  # elements that go by a sign alone
         self.blocks: list[tuple[str, int]] = []
         self._stack, self._parts, self._own = [0], [], [[]]
         self._before: dict[int, list[str]] = {}  # text that an inline element outside the article interrupts
         self._parse(html)
         self._flush()
         self._pop_to(1)
+        self._settle()
+
+    def _settle(self) -> None:
+        """Where signs take every marked article, those that are no comments give the elements around it back."""
+        marked = [(e, [a for a in self._above(e) if self.out[a]]) for e in range(len(self.tag)) if self.root[e]]
+        if marked and all(outside for _, outside in marked):
+            for _, outside in marked:
+                if all(a in self.signed and COMMENTS.isdisjoint(self.signed[a]) for a in outside):
+                    for a in outside:
+                        self.out[a] = False
+
+    def _above(self, element: int) -> list[int]:
+        found = []
+        while element > 0:
+            found.append(element)
+            element = self.parent[element]
+        return found
 
     def _parse(self, html: str) -> None:
         at, n = 0, len(html)
@@ -141,7 +185,9 @@ class Page:
             return
         if name not in BLOCKS and name not in OUTSIDE and not attributes.strip():
             return  # plain inline markup
-        out, root = self._kind(name, attributes)
+        out, root, signs = self._kind(name, attributes)
+        if signs:
+            self.signed[len(self.tag)] = signs
         self.tag.append(name)
         self.parent.append(self._stack[-1])
         self.out.append(out)
@@ -152,25 +198,27 @@ class Page:
         self._stack.append(len(self.tag) - 1)
         self._own.append([])
 
-    def _kind(self, name: str, attributes: str) -> tuple[bool, bool]:
-        """(is outside any article, marks the article)."""
+    def _kind(self, name: str, attributes: str) -> tuple[bool, bool, frozenset]:
+        """(is outside any article, marks the article, the signs by which alone it is outside)."""
+        none: frozenset = frozenset()
         if name in OUTSIDE:
-            return True, False
+            return True, False, none
         root = name in ("article", "main")
         if not attributes or attributes.isspace():
-            return name == "header" and not self._within(), root
+            return name == "header" and not self._within(), root, none
         held = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes)}
         role = held.get("role", "").lower()
-        tokens = {t.lower() for t in TOKEN.findall(f"{held.get('class', '')} {held.get('id', '')}")}
-        values = f"{held.get('class', '')} {held.get('id', '')}".lower().split()
-        if role == "main" or "articlebody" in held.get("itemprop", "").lower() or name in BLOCKS and not MAIN.isdisjoint(values):
+        names = f"{held.get('class', '')} {held.get('id', '')}".split()
+        within = self._within()
+        signs = frozenset().union(*[sign_of(x, within) for x in names])
+        if role == "main" or "articlebody" in held.get("itemprop", "").lower() or name in BLOCKS and not MAIN.isdisjoint(x.lower() for x in names):
             root = True
-        if name in ("html", "body", "main") or name == "article" and not tokens & {"comment", "comments", "reply", "ad"}:
-            return False, root
+        if name in ("html", "body", "main") or name == "article" and not signs & (COMMENTS | {"ad", "ads"}):
+            return False, root, none
         hidden = "hidden" in held or held.get("aria-hidden") == "true" or "display:none" in held.get("style", "").replace(" ", "")
-        head = (name == "header" or "header" in tokens) and not self._within()
-        out = bool(hidden or head or role in ROLES or tokens & SIGNS)
-        return out, root and not out
+        head = (name == "header" or any(TOKEN.findall(x)[-1:] == ["header"] for x in names)) and not within
+        other = bool(hidden or head or role in ROLES)
+        return other or bool(signs), root and not other and not signs, none if other else signs
 
     def _within(self) -> bool:
         return any(self.root[e] for e in self._stack)
@@ -201,14 +249,18 @@ class Page:
             marks.append((deleted or self.out[e] or self.digest[e] in drop, inside or self.root[e]))
         return marks
 
-    def subtrees(self) -> list[tuple[int, bool]]:
-        """(hash, inside) of the subtrees with text that no sign has deleted already."""
-        return list({(self.digest[e], inside): None for e, (deleted, inside) in enumerate(self._marks(set()))
-                     if self.digest[e] and not deleted and not self.root[e]
-                     and self.tag[e] not in ("html", "body")})
-
-    def longest(self) -> str:
-        return max((text for text, _ in self.blocks), key=len, default="")
+    def subtrees(self) -> list[tuple[int, bool | None, int]]:
+        """(hash, inside, longest own block) of the subtrees with text that no sign has deleted already; inside is null for
+        those that are never deleted: the marked parts and the page as a whole."""
+        longest: dict[int, int] = {}
+        for text, e in self.blocks:
+            longest[e] = max(longest.get(e, 0), len(text))
+        found: dict[tuple, int] = {}
+        for e, (deleted, inside) in enumerate(self._marks(set())):
+            if self.digest[e] and not deleted:
+                key = (self.digest[e], None if self.root[e] or self.tag[e] in ("html", "body", "") else inside)
+                found[key] = max(found.get(key, 0), longest.get(e, 0))
+        return [(*key, n) for key, n in found.items() if key[1] is not None or n]
 
     def text(self, drop: set[int]) -> str:
         marks = self._marks(drop)
@@ -223,20 +275,15 @@ def host_of(url):
 
 
 def _subtree_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import xxhash
-
     for batch in batches:
         for part in slices(batch, "html"):
-            rows = []
-            for key, host, html in zip(*[part.column(c).to_pylist() for c in ("key", "host", "html")], strict=True):
-                page = Page(html)
-                told = xxhash.xxh64_intdigest(page.longest()) >> 1
-                rows += [(key, host, told, digest, inside) for digest, inside in page.subtrees()]
+            rows = [(key, host, *found) for key, host, html in zip(*[part.column(c).to_pylist() for c in ("key", "host", "html")], strict=True)
+                    for found in Page(html).subtrees()]
             columns = list(zip(*rows, strict=True)) or [()] * 5
-            kinds = (pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.bool_())
+            kinds = (pa.binary(), pa.string(), pa.int64(), pa.bool_(), pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-                names=["key", "host", "told", "digest", "inside"])
+                names=["key", "host", "digest", "inside", "size"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,13 +298,20 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def templates(pages: DataFrame) -> DataFrame:
     """(key, drop): for each page that has any, the hashes of its template subtrees."""
     found = written(pages.where("html <> ''").select("key", host_of(F.col("url")).alias("host"), "html").mapInArrow(
-        _subtree_rows, "key binary, host string, told long, digest long, inside boolean"), "page-subtrees")
+        _subtree_rows, "key binary, host string, digest long, inside boolean, size int"), "page-subtrees")
+    # Joined back, the counts are plain written tables, so that adaptive execution may split hot hosts and blocks.
+    own = found.where("size > 0").select("key", "host", "digest", "size").groupBy("key", "host", "digest").agg(F.max("size").alias("size"))
+    often = written(own.groupBy("host", "digest").agg(F.count("*").alias("n")).where("n > 1"), "page-blocks")
+    weight = F.col("size") / F.coalesce("n", F.lit(1))
+    told = own.join(often, ["host", "digest"], "left").groupBy("key").agg(F.max(F.struct(weight.alias("w"), "digest"))["digest"].alias("told"))
+    found = found.join(told, "key").select("key", "host", "digest", "inside", "told")
     per_host = found.select("host", "told").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    found = found.where("inside IS NOT NULL")
     counted = found.select("host", "digest", "inside", "told").distinct().groupBy("host", "digest", "inside").agg(
         F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES)
     enough = F.when(F.col("inside"), (F.col("n") >= INSIDE_PAGES) & (F.col("n") >= INSIDE_SHARE * F.col("pages"))).otherwise(
-        F.col("n") >= LEAST_SHARE * F.col("pages"))
-    recurring = counted.join(per_host, "host").where(enough).select("host", "digest", "inside")
+        (F.col("n") >= LEAST_SHARE * F.col("pages")) | (F.col("n") >= MANY_PAGES))
+    recurring = written(counted.join(per_host, "host").where(enough).select("host", "digest", "inside"), "page-recurring")
     return found.join(recurring, ["host", "digest", "inside"]).groupBy("key").agg(
         F.collect_set("digest").alias("drop"))
 
@@ -266,7 +320,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text) of every page."""
     pages = pages.select("page_id", "url", "html", row_key("page_id", "url", "html").alias("key"))
     drops = written(templates(pages), "page-templates")
-    drops = F.broadcast(drops) if drops.count() <= BROADCAST_PAGES else drops
+    held = drops.agg(F.count("*"), F.sum(F.size("drop"))).first()
+    drops = F.broadcast(drops) if 64 * held[0] + 8 * (held[1] or 0) <= BROADCAST_BYTES else drops
     both = pages.join(drops, "key", "left").select("page_id", "url", "html", "drop")
     schema = "page_id {}, url string, text string".format(pages.schema["page_id"].dataType.simpleString())
     return both.mapInArrow(_texts, schema)
