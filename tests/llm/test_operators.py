@@ -150,18 +150,23 @@ def test_repeated_passages(spark, odd):
 def test_sharding(spark, odd, tmp_path):
     docs = odd.select("doc_id", "key", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).unionByName(
         spark.range(500).selectExpr("0 AS doc_id", "'same' AS key", "1000 AS size"))
-    out = sharding.shuffled(docs, ["doc_id"], "size", n_shards=7, bucket_bytes=1 << 16).collect()
+    out = sharding.shuffled(docs, ["doc_id"], n_shards=7, bucket_bytes=1 << 10).collect()
     slots = defaultdict(list)
     for r in out:
         slots[r["shard"]].append(r["slot"])
     assert len(out) == docs.count() and set(slots) == set(range(7))
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
-    again = sharding.shuffled(docs, ["doc_id"], "size", n_shards=7, bucket_bytes=1 << 16).collect()
+    again = sharding.shuffled(docs, ["doc_id"], n_shards=7, bucket_bytes=1 << 10).collect()
     assert sorted(map(str, out)) == sorted(map(str, again))
-    assert sharding.shuffled(docs.limit(0), ["doc_id"], "size").count() == 0
-    sharding.write_shards(docs, ["doc_id"], "size", f"{tmp_path}/shards", n_shards=3)
+    assert sharding.shuffled(docs.limit(0), ["doc_id"]).count() == 0
+    sharding.write_shards(docs, ["doc_id"], f"{tmp_path}/shards", n_shards=3)
     assert spark.read.parquet(f"{tmp_path}/shards").count() == docs.count()
+    table, n = sharding.scatter(docs, ["doc_id"], 42, 1 << 10)
+    assert n > 8 and {r["bucket"] for r in table.collect()} <= set(range(n))
+    counts = [(b, 3 + b % 5) for b in range(0, 95) if b % 9]
+    got = {r["bucket"]: r["offset"] for r in sharding.offsets_of(spark.createDataFrame(counts, "bucket int, n long"), 95).collect()}
+    assert got == {b: sum(x for c, x in counts if c < b) for b, _ in counts}
 
 
 # 5 ---------------------------------------------------------------------------------------------------------------

@@ -32,7 +32,7 @@ def op4_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     records = read(spark, sf_dir, "documents").select(
         "doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    return sharding.shuffled(records, ["doc_id", "text_crc32"], "size").select(
+    return sharding.shuffled(records, ["doc_id", "text_crc32"]).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"))
 
