@@ -85,30 +85,55 @@ def _free(marks: np.ndarray, size: int) -> np.ndarray:
     return np.flatnonzero(sums[size:] == sums[:-size]) if marks.size >= size else np.empty(0, np.int64)
 
 
+def _runs(places: list[int], size: int) -> list[tuple[int, int]]:
+    """(first, last) of the runs of places with one gap of at most ``size``: the equal windows of a text that repeats itself."""
+    out = [[places[0], places[0], 0]]
+    for place in places[1:]:
+        gap = place - out[-1][1]
+        if gap <= size and out[-1][2] in (0, gap):
+            out[-1][1:] = place, gap
+        else:
+            out.append([place, place, 0])
+    return [(first, last) for first, last, _ in out]
+
+
+def _length(same: np.ndarray) -> int:
+    """How many values are true before the first that is not."""
+    return same.size if same.all() else int(np.argmin(same))
+
+
 def _matches(item, text, used, taken, size) -> list[tuple[int, int, int]]:
-    """Maximal matches of unmarked words, of at least ``size``, by Karp-Rabin over windows of ``size``."""
+    """Maximal matches of unmarked words, of at least ``size``, by Karp-Rabin over windows of ``size``.
+
+    Of two runs of equal windows only the places that align their first or their last windows can belong to the
+    longest, leftmost match, so texts that repeat themselves need no pairs of all their places.
+    """
     here, there = _free(used, size), _free(taken, size)
     if not here.size or not there.size:
         return []
     mine, theirs = window_hashes(item, size)[here], window_hashes(text, size)[there]
     common = np.isin(theirs, mine)
-    places = defaultdict(list)
+    places, own = defaultdict(list), defaultdict(list)
     for t, h in zip(there[common].tolist(), theirs[common].tolist(), strict=True):
         places[h].append(t)
-    out, seen = [], set()
     for p, h in zip(here.tolist(), mine.tolist(), strict=True):
-        for t in places.get(h, ()):
-            if (p - 1, t - 1) in seen:  # inside a match that began before
-                seen.add((p, t))
-                continue
-            n = 0
-            while (p + n < item.size and t + n < text.size and item[p + n] == text[t + n]
-                   and not used[p + n] and not taken[t + n]):
-                n += 1
-            if n >= size:
-                seen.add((p, t))
-                out.append((p, t, n))
-    return out
+        if h in places:
+            own[h].append(p)
+    out, ends = [], {}  # ends: of the last match found on each diagonal
+    for h, starts in own.items():
+        others = _runs(places[h], size)
+        for first, last in _runs(starts, size):
+            for t_first, t_last in others:
+                for p, t in {(first, t_first), (last, t_last)}:
+                    if p < ends.get(t - p, 0):
+                        continue
+                    back, ahead = min(p, t), min(item.size - p, text.size - t)
+                    left = _length(((item[p - back:p] == text[t - back:t]) & ~used[p - back:p] & ~taken[t - back:t])[::-1])
+                    right = _length((item[p:p + ahead] == text[t:t + ahead]) & ~used[p:p + ahead] & ~taken[t:t + ahead])
+                    if left + right >= size:
+                        ends[t - p] = p + right
+                        out.append((p - left, t - left, left + right))
+    return list(dict.fromkeys(out))
 
 
 class Benchmark:
@@ -122,7 +147,11 @@ class Benchmark:
         at = np.concatenate([np.arange(g.size) for g in grams]) if grams else np.empty(0, np.int64)
         flat = np.concatenate(grams) if grams else np.empty(0, np.uint64)
         order = np.argsort(flat, kind="stable")
-        self.seeds, self.of, self.at = flat[order], of[order], at[order]
+        self.of, self.at = of[order], at[order]
+        self.seeds = np.unique(flat)
+        self.bounds = np.searchsorted(flat[order], np.append(self.seeds, self.seeds[-1:])) if flat.size else np.zeros(1, np.int64)
+        self.bounds[-1] = flat.size
+        self.seeds_of = [np.unique(np.searchsorted(self.seeds, g)) for g in grams]
 
     def found(self, data: bytes) -> list[tuple[int, float, int, int, int]]:
         """(item id, coverage, tiles, first word, end word) of the items that a text covers enough."""
@@ -130,24 +159,22 @@ class Benchmark:
         grams = window_hashes(words, self.least)
         if not grams.size or not self.seeds.size:
             return []
-        low = np.searchsorted(self.seeds, grams)
-        hits = np.flatnonzero(self.seeds[np.minimum(low, self.seeds.size - 1)] == grams)
-        if not hits.size:
+        near = np.minimum(np.searchsorted(self.seeds, grams), self.seeds.size - 1)
+        near[self.seeds[near] != grams] = -1
+        held_seeds = np.unique(near[near >= 0])
+        if not held_seeds.size:
             return []
-        per_item: dict[int, tuple[set, set]] = {}
-        for place, first in zip(hits.tolist(), low[hits].tolist(), strict=True):
-            i = first
-            while i < self.seeds.size and self.seeds[i] == grams[place]:
-                mine = per_item.setdefault(int(self.of[i]), (set(), set()))
-                mine[0].add(int(self.at[i]))
-                mine[1].add(place)
-                i += 1
+        low, high = self.bounds[held_seeds], self.bounds[held_seeds + 1]
+        entries = np.arange((high - low).sum()) + np.repeat(low - np.cumsum(high - low) + (high - low), high - low)
+        entries = entries[np.argsort(self.of[entries], kind="stable")]
+        items, begin = np.unique(self.of[entries], return_index=True)
         out = []
-        for k, (in_item, in_text) in per_item.items():
+        for k, places in zip(items.tolist(), np.split(self.at[entries], begin[1:]), strict=True):
             item_id, item = self.items[k]
             need = self.coverage * item.size
-            if self._covered(in_item, item.size).sum() < need:
+            if self._covered(places, item.size).sum() < need:
                 continue
+            in_text = np.flatnonzero(np.isin(near, self.seeds_of[k]))
             held = self._covered(in_text, words.size)
             spans = np.flatnonzero(held)
             new_run = np.concatenate([[True], np.diff(spans) > 1])
@@ -163,11 +190,10 @@ class Benchmark:
                             int(max(origin[t + n - 1] for _, t, n in found)) + 1))
         return sorted(out)
 
-    def _covered(self, places: set, n: int) -> np.ndarray:
+    def _covered(self, places: np.ndarray, n: int) -> np.ndarray:
         edges = np.zeros(n + 1, np.int64)
-        at = np.fromiter(places, np.int64, len(places))
-        np.add.at(edges, at, 1)
-        np.add.at(edges, at + self.least, -1)
+        np.add.at(edges, places, 1)
+        np.add.at(edges, places + self.least, -1)
         return np.cumsum(edges[:-1]) > 0
 
 
