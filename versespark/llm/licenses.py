@@ -1,13 +1,15 @@
 """Licence scan: phrases in place, and an exact containment join of text blocks with templates.
 
-Blocks are the lines of a text, as sets of words. A block carries a template's label when it holds at
-least ``CONTAINMENT`` of the template's distinct words. The join is exact and prefix-filtered: words of the
+Blocks are the lines of a text, and the windows of a paragraph's words that are twice as long as a template, so that a
+statement wrapped over several lines is one block too; both as sets of words. A block carries a template's label when it holds at
+least ``CONTAINMENT`` of the template's distinct words. Paragraphs are joined as a whole, which loses no window of theirs, and the
+windows of the pairs found decide. The join is exact and prefix-filtered: words of the
 templates are ranked by their frequency over all blocks of the corpus, rarest first; a block and a
 template that overlap in ``need`` words share one of the first ``size - need + 1`` of either side;
 length and place bound the overlap still possible; what is left is verified by intersection.
 Words outside every template cannot overlap, so blocks are cut down to template words first.
 
-Everything is DataFrame expressions. The templates are a parameter; only their words' counts, bounded
+Everything is DataFrame expressions. The templates are a parameter, statements or whole licence texts; only their words' counts, bounded
 by that list, reach the driver.
 
 Defined cases: null and empty texts give no words, no labels, score 0; repeated rows get equal
@@ -82,14 +84,25 @@ def template_words(templates: list[tuple[str, str]]) -> list[tuple[str, list[str
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
-    lines = docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("digest"),
-                        F.posexplode(F.split(_lines(F.col("text")), "\n")).alias("line", "words"))
-    return lines.withColumn("words", F.array_distinct(F.split(F.btrim("words"), " ")))
+    """(doc_id, digest, line, kind, run, words): the lines, and the paragraphs of several lines with their words in order."""
+    text = _lines(F.col("text"))
+    paragraphs = F.filter(F.transform(F.split(text, r"\n *(?:\n *)+"), lambda x: F.btrim(x, F.lit(" \n"))), lambda x: F.contains(x, F.lit("\n")))
+    parts = F.concat(F.transform(F.split(text, "\n"), lambda x: F.struct(F.lit(0).alias("kind"), F.btrim(x).alias("run"))),
+                     F.transform(paragraphs, lambda x: F.struct(F.lit(1).alias("kind"), F.regexp_replace(x, "[ \n]+", " ").alias("run"))))
+    rows = docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("digest"), F.posexplode(parts).alias("line", "p"))
+    return rows.select("doc_id", "digest", "line", "p.kind", "p.run", F.array_distinct(F.split("p.run", " ")).alias("words"))
+
+
+def _in_a_window(run: Column, words: Column, size: Column, need: Column) -> Column:
+    """Does some window of ``size`` words of ``run`` hold ``need`` of ``words``? Only words of theirs open one."""
+    return F.element_at(F.transform(F.array(F.split(run, " ")), lambda w: F.exists(
+        F.sequence(F.lit(1), F.size(w)), lambda i: F.array_contains(words, F.element_at(w, i)) & (
+            F.size(F.array_intersect(F.slice(w, i, size), words)) >= need))), 1)
 
 
 def contained_templates(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
                         containment: float = CONTAINMENT) -> DataFrame:
-    """(doc_id, digest, line, label, score) of each block (line) and template label it contains."""
+    """(doc_id, digest, line, label, score) of each block and template label it contains."""
     sets = template_words(templates)
     vocabulary = sorted({w for _, words in sets for w in words})
     known = F.array(*map(F.lit, vocabulary))
@@ -103,14 +116,14 @@ def contained_templates(docs: DataFrame, templates: list[tuple[str, str]] = TEMP
 
     rows = F.array(*[F.struct(
         F.lit(i).alias("template"), F.lit(label).alias("label"), F.lit(need).alias("need"),
-        F.array(*[F.lit(rank[w]) for w in sorted(words, key=rank.get)]).alias("b"))
+        F.array(*[F.lit(w) for w in words]).alias("own"), F.array(*[F.lit(rank[w]) for w in sorted(words, key=rank.get)]).alias("b"))
         for i, ((label, words), need) in enumerate(zip(sets, needs, strict=True))])
     wanted = docs.sparkSession.range(1).select(F.inline(rows))
     wanted = wanted.select("*", F.posexplode(F.slice("b", F.lit(1), F.size("b") - F.col("need") + 1)).alias("j", "r"))
 
     ranks = F.create_map(*[F.lit(x) for pair in rank.items() for x in pair])
     held = blocks.where(F.arrays_overlap("words", F.array(*map(F.lit, sorted(rare))))).select(
-        "doc_id", "digest", "line",
+        "doc_id", "digest", "line", "kind", "run",
         F.sort_array(F.transform(F.array_intersect("words", known), lambda w: ranks[w])).alias("a"))
     held = held.where(F.size("a") >= min(needs)).select(
         "*", F.posexplode(F.slice("a", F.lit(1), F.size("a") - (min(needs) - 1))).alias("i", "r"))
@@ -118,8 +131,9 @@ def contained_templates(docs: DataFrame, templates: list[tuple[str, str]] = TEMP
     pairs = held.join(F.broadcast(wanted), "r").where(
         (F.size("a") >= F.col("need")) & (F.col("i") <= F.size("a") - F.col("need")) & (left >= F.col("need")))
     shared = F.size(F.array_intersect("a", "b"))
-    return pairs.where(shared >= F.col("need")).select(
-        "doc_id", "digest", "line", "label", (shared / F.size("b")).alias("score"))
+    pairs = pairs.where(shared >= F.col("need")).where(
+        (F.col("kind") == 0) | _in_a_window(F.col("run"), F.col("own"), 2 * F.size("own"), F.col("need")))
+    return pairs.select("doc_id", "digest", "line", "label", (shared / F.size("b")).alias("score"))
 
 
 def scan(docs: DataFrame, **options) -> DataFrame:
