@@ -3,7 +3,7 @@
 A text is normalised and cut into words as the tokenizer file says. Each word's symbols lie under a
 segment tree whose leaves are (rank, place) of adjacent pairs, so the root is the leftmost
 lowest-rank merge; a merge changes three leaves and their ancestors, until the root is infinite.
-Words of one length go through their trees together, one numpy row each. Words are
+Words of one length go through their trees together, one numpy row each, the last few one by one. Words are
 encoded once per slice of a partition and kept in a bounded table.
 
 Defined cases: null texts count as empty (no tokens, empty strings); texts of any length, and single words
@@ -27,6 +27,8 @@ from .common import slices
 
 #: Words kept between slices; the table is emptied beyond this.
 MOST_WORDS = 200_000
+#: Rows that are still merging, down to which a numpy step serves them together; the last go one by one.
+FEW_ROWS = 3
 INFINITE = np.iinfo(np.int64).max
 
 
@@ -57,6 +59,7 @@ class WordBpe:
         keys = np.array([vocab[a] * self.base + vocab[b] for a, b in merges], np.int64)
         order = np.argsort(keys)
         self.keys, self.ranks = keys[order], order
+        self.pairs = dict(zip(keys.tolist(), range(len(merges)), strict=True))
         self.made = np.array([vocab[a + b] for a, b in merges], np.int64)
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -90,7 +93,7 @@ class WordBpe:
         before = np.tile(np.arange(-1, n), (rows, 1))
         symbols = np.concatenate([symbols, np.full((rows, 1), -1)], axis=1)
         active = np.flatnonzero(tree[:, 1] < INFINITE)
-        while active.size:
+        while active.size > FEW_ROWS:
             root = tree[active, 1]
             at, rank = root & ((1 << bits) - 1), root >> bits
             gone = after[active, at]
@@ -106,8 +109,35 @@ class WordBpe:
             some = prior >= 0
             self._set(tree, active[some], width, prior[some], leaf(self.rank(left, new), prior)[some])
             active = active[tree[active, 1] < INFINITE]
+        for row in active.tolist():
+            symbols[row] = self._merge_one(tree[row].tolist(), symbols[row].tolist(), before[row].tolist(), after[row].tolist(), width, bits)
         return symbols[:, :n]
 
+    def _merge_one(self, tree: list, symbols: list, before: list, after: list, width: int, bits: int) -> list:
+        """The rest of one row's merges: the same tree in plain lists, which numpy steps on one row would only slow down."""
+        def put(place: int, left: int, right: int) -> None:
+            if place >= width:
+                return
+            found = self.pairs.get(left * self.base + right) if left >= 0 and right >= 0 else None
+            node = place + width
+            tree[node] = INFINITE if found is None else (found << bits) | place
+            while node > 1:
+                node >>= 1
+                a, b = tree[2 * node], tree[2 * node + 1]
+                tree[node] = a if a < b else b
+
+        while tree[1] < INFINITE:
+            at, new = tree[1] & ((1 << bits) - 1), int(self.made[tree[1] >> bits])
+            gone = after[at]
+            follow, prior = after[gone], before[at]
+            symbols[at], symbols[gone] = new, -1
+            after[at], before[follow] = follow, at
+            put(gone, -1, -1)
+            put(at, new, symbols[follow])
+            if prior >= 0:
+                put(prior, symbols[prior], new)
+        return symbols
+
     @staticmethod
     def _set(tree: np.ndarray, rows: np.ndarray, width: int, place: np.ndarray, value: np.ndarray) -> None:
         """Point update: a leaf and its ancestors. A place beyond the last pair has no leaf."""
