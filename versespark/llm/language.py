@@ -1,14 +1,14 @@
 """Language ID by compression: the language whose raw-content dictionary packs a text smallest.
 
 ``fit`` builds one zstandard raw-content dictionary per language from a bounded sample of labelled
-rows (``SAMPLE_BYTES`` a language, whole texts in hash order; ``MOST_LANGUAGES`` most frequent labels). ``classify``
+rows (whole texts in hash order, ``SAMPLE_BYTES`` a language, or an equal share of ``ALL_BYTES`` where there are very many). ``classify``
 cuts every whole text into pieces of ``PIECE`` bytes, so that a long text does not become its own
 dictionary, compresses each piece with every dictionary and adds up. The smallest total wins, ties go to
 the label with more training rows; ``score`` is the saving against the runner-up, and a row is rejected under ``MIN_MARGIN``.
 
 Defined cases: null texts and texts without a letter are ``und``, score 0, rejected; without training rows
-every row is ``und``; with one language its score is 1; repeated rows agree; the result keeps the input's columns,
-an input column of the same name as a result column is replaced; an empty table gives no rows.
+every row is ``und``; with one language its score is 1; repeated rows agree; ``classify`` keeps the input's columns,
+those named like a result column are replaced, and ``confident`` keeps all of them as they are; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from .common import slices
 
 SAMPLE_BYTES = 128 << 10
 SAMPLE_ROWS = 600
-MOST_LANGUAGES = 64
+ALL_BYTES = 64 << 20
 PIECE = 4096
 LEVEL = 9
 MIN_MARGIN = 0.005
@@ -40,26 +40,25 @@ def fit(labelled: DataFrame) -> dict[str, bytes]:
     """Language -> dictionary, most frequent first, from (doc_id, text, lang) rows; only the bounded sample reaches the driver."""
     rows = labelled.where("text IS NOT NULL AND lang IS NOT NULL AND length(text) > 0").select(
         "lang", "text", F.xxhash64("doc_id", "lang").alias("h"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     if not counts:
         return {}
+    most = min(SAMPLE_BYTES, ALL_BYTES // len(counts))
     share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, SAMPLE_ROWS / r["count"])))])
     drawn = rows.where(F.pmod("h", F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
     upto = Window.partitionBy("lang").orderBy("h", "text").rowsBetween(Window.unboundedPreceding, -1)
     drawn = drawn.withColumn("before", F.coalesce(F.sum(F.octet_length("text")).over(upto), F.lit(0)))
     out: dict[str, bytes] = {r["lang"]: b"" for r in counts}
-    for lang, text in drawn.where(F.col("before") < SAMPLE_BYTES).select("lang", "text").sort("lang", "h").toLocalIterator():
+    for lang, text in drawn.where(F.col("before") < most).select("lang", "text").sort("lang", "h").toLocalIterator():
         out[lang] += text.lower().encode() + b"\n"
-    return {k: v[:SAMPLE_BYTES] for k, v in out.items() if v}
+    return {k: v[:most] for k, v in out.items() if v}
 
 
-def classify(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
-    """``docs`` with ``lang_pred``, ``score`` and ``rejected``."""
-    names = ("lang_pred", "score", "rejected", "has_letter")
-    docs = docs.drop(*names).withColumn("has_letter", F.coalesce(F.col("text").rlike(LETTER), F.lit(False)))
-    schema = T.StructType([f for f in docs.schema if f.name != "has_letter"] + [
-        T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
-        T.StructField("rejected", T.BooleanType())])
+def judged_rows(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
+    """(row, lang_pred, score, rejected): every row of ``docs`` as one struct, so that no name of its columns clashes."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"),
+                       F.coalesce(F.col("text").rlike(LETTER), F.lit(False)).alias("has_letter"))
+    schema = T.StructType([rows.schema["row"], *T.StructType.fromDDL("lang_pred string, score double, rejected boolean")])
     shared = docs.sparkSession.sparkContext.broadcast(list(dictionaries.items()))
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,13 +82,24 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
             for part in slices(batch, "text"):
                 found = [judge(f" {text.as_py().lower()} ".encode()) if ok.as_py() and packers else ("und", 0.0)
                          for text, ok in zip(part.column("text"), part.column("has_letter"), strict=True)]
-                kept = [part.column(f.name) for f in schema if f.name not in names]
                 yield pa.RecordBatch.from_arrays(
-                    [*kept, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64()),
+                    [part.column("row"), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64()),
                      pa.array([x == "und" or s < MIN_MARGIN for x, s in found], pa.bool_())],
-                    names=[f.name for f in schema])
+                    names=schema.names)
+
+    return rows.mapInArrow(judged, schema)
+
+
+def classify(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
+    """``docs`` with ``lang_pred``, ``score`` and ``rejected``."""
+    names = ("lang_pred", "score", "rejected")
+    return judged_rows(docs, dictionaries).select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in names], *names)
+
 
-    return docs.mapInArrow(judged, schema)
+def confident(docs: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose language the compressors cannot tell, columns as they are."""
+    fitted = fit(docs.where(fold(F.col("doc_id")) != 1))
+    return judged_rows(docs, fitted).where("NOT rejected").select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def identify(docs: DataFrame) -> DataFrame:
