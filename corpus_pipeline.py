@@ -17,27 +17,31 @@ ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents whose language the compressors cannot tell."""
-    return language.identify(docs).where("NOT rejected").select(*docs.columns)
+    """Drop documents whose language the compressors cannot tell. Null and empty texts and texts without a letter go; equal rows
+    share their fate; columns of any name stay as they are; an empty table gives no rows."""
+    return language.confident(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each near-duplicate group."""
+    """Keep one document of each group of five-word shingle similarity 0.8: the one of the smallest doc_id. Rows without a
+    doc_id stay; null, empty and wordless texts are one group; of rows that repeat a kept doc_id only equal ones go."""
     return simhash.first_of_each(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut passages that an earlier document holds already."""
+    """Cut passages that an earlier document holds already. Null texts and rows without a doc_id stay as they are; a text that
+    is repeated as a whole becomes empty and its row stays; ``n_chars`` follows the text."""
     return passages.strip(docs, passages.repeated_passages(docs))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark item."""
+    """Drop documents that hold a benchmark item. Null and empty texts hold none; equal rows share their fate; without a
+    benchmark all stay."""
     return decontaminate.clean(docs, read(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encode and decode what is left."""
+    """Encode and decode what is left, one row each. Null and empty texts have no tokens and the digests of the empty string."""
     coded = bpe.encode(docs.select("doc_id", "text", "lang", "source"), tokenizer_path())
     return coded.select("doc_id", "lang", "source", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
                         F.sha2("decoded", 256).alias("decoded_sha256"))
