@@ -220,3 +220,29 @@ def test_readers(spark, tmp_path):
         files.append_run(spark, str(tmp_path / "runs"), "reuse", {"n": 8}, metrics, 1)
     runs = spark.read.parquet(str(tmp_path / "runs"))
     assert runs.count() == 2 and {r["predictions_produced"] for r in runs.collect()} == {1}
+
+
+def test_ids_of_a_frequent_reference(spark, monkeypatch):
+    monkeypatch.setattr(files, "NUMBERED_ROWS", 7)
+    rows = [(i, None if i % 10 == 3 else "r" if i % 3 else "s") for i in range(60)]
+    got = {r["row_index"]: r["id"] for r in files.unique_ids(spark.createDataFrame(rows, "row_index long, reference string")).collect()}
+    seen: dict[str, int] = {}
+    for i, ref in rows:
+        base = ref or f"row_{i}"
+        n = seen.get(base, 0)
+        seen[base] = n + 1
+        assert got[i] == (f"{base}__{n}" if n else base)
+
+
+def test_preview_with_verses_and_neighbours(spark):
+    from versespark.operators import annotations
+
+    problems = spark.createDataFrame([("p", "say light here"), ("q", "x")], "problem_id string, text string")
+    spans = spark.createDataFrame([("p", 0, 4, 9, ["gen_1:1", "gen_1:2"]), ("q", 0, 5, 9, ["gen_1:3"])],
+                                  "problem_id string, span_index int, span_start int, span_end int, resolved_references array<string>")
+    verses = spark.createDataFrame([("gen_1:1", "light")], "reference string, text string")
+    near = spark.createDataFrame([("gen_1:1", "gen_1:9", 0.8732, 1), ("gen_1:1", "gen_1:8", 0.8, 2)], "query_id string, reference string, similarity double, rank int")
+    got = annotations.validation_preview(spans, problems, 4, verses, near, most=5).collect()
+    assert [(r["document"], r["valid_span"], r["span_length"], r["visual_snippet"]) for r in got] == [("p", True, 5, "say [light] her"), ("q", False, None, "")]
+    assert got[0]["resolved_reference_text_pairs"] == "gen_1:1 :: light || gen_1:2 :: [MISSING]"
+    assert got[0]["resolved_reference_top_similar"] == "gen_1:1 => [gen_1:9 (0.873), gen_1:8 (0.800)] || gen_1:2 => []"

@@ -7,7 +7,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Characters cut from both ends of a source token.
+#: Characters cut from both ends of a source token, and the patterns of canonical and free-form references.
 TOKEN_EDGES = r""" ,;:.()\[\]{}<>"'"""
 CANONICAL = r"^([1-3]?[a-z]+)_(\d+):(\d+)$"
 FREE_FORM = r"^([1-3]?[a-z]+)(?:[_\s-]?)(\d+):(\d+)(?:-(\d+))?$"

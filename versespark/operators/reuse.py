@@ -300,8 +300,11 @@ def detect(chunks: DataFrame, verses: DataFrame, options: ReuseOptions) -> DataF
     """The whole job up to nested output: n-grams, candidates, alignment. No chunk at all is an error."""
     _some(chunks)
     rows = records(chunks, verses)
-    pairs = candidate_pairs(written(verse_grams(rows, options.n), "verse-grams"), options)
-    return nested_output(written(align(written(pairs, "reuse-pairs"), rows, options), "alignments"), rows)
+    pairs = written(candidate_pairs(written(verse_grams(rows, options.n), "verse-grams"), options), "reuse-pairs")
+    # Chunks are made twice in all: for their n-grams, and those of some pair for their texts.
+    ids = pairs.select(F.col("verse").alias("id")).unionByName(pairs.select(F.col("chunk").alias("id"))).distinct()
+    held = written(rows.join(ids, "id", "left_semi"), "reuse-rows")
+    return nested_output(written(align(pairs, held, options), "alignments"), held)
 
 
 def run_counts(chunks: DataFrame, verses: DataFrame, pairs: DataFrame, matches: DataFrame) -> DataFrame:

@@ -142,12 +142,25 @@ def write_report(statistics: DataFrame, path: str) -> None:
     statistics.coalesce(1).write.mode("overwrite").json(path)
 
 
+#: Rows of one reference that one task numbers, where row_index is dense.
+NUMBERED_ROWS = 1_000_000
+
+
 def unique_ids(rows: DataFrame) -> DataFrame:
-    """Add ``id``: the reference, ``ref__1``, ``ref__2`` for repeats by row_index; an empty one is ``row_<i>``."""
+    """Add ``id``: the reference, ``ref__1``, ``ref__2`` for repeats by row_index; an empty one is ``row_<i>``.
+
+    Rows of a reference are numbered within stretches of row_index, and the counts of earlier stretches are added, so that
+    a reference that many rows share is no single task.
+    """
     base = F.when(F.coalesce("reference", F.lit("")) == "", F.concat(F.lit("row_"), F.col("row_index").cast("string"))).otherwise(F.col("reference"))
-    n = F.row_number().over(Window.partitionBy("_base").orderBy("row_index")) - 1
-    return rows.withColumn("_base", base).withColumn(
-        "id", F.when(n == 0, F.col("_base")).otherwise(F.concat("_base", F.lit("__"), n.cast("string")))).drop("_base")
+    packed = rows.select(F.struct(*rows.columns).alias("row"), base.alias("base"), F.floor(F.col("row_index") / NUMBERED_ROWS).alias("stretch"))
+    before = Window.partitionBy("base").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    counts = packed.groupBy("base", "stretch").agg(F.count("*").alias("n")).where("base IS NOT NULL")
+    earlier = counts.select("base", "stretch", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier")).where("earlier > 0")
+    inside = F.row_number().over(Window.partitionBy("base", "stretch").orderBy("row.row_index")) - 1
+    numbered = packed.withColumn("inside", inside).join(earlier, ["base", "stretch"], "left")
+    n = F.col("inside") + F.coalesce("earlier", F.lit(0))
+    return numbered.select("row.*", F.when(n == 0, F.col("base")).otherwise(F.concat("base", F.lit("__"), n.cast("string"))).alias("id"))
 
 
 def upsert(existing: DataFrame, new: DataFrame) -> DataFrame:
