@@ -5,36 +5,132 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 from versespark.llm import common, passages, simhash
 
 
-def test_similar_documents_behind_an_unlike_first(spark):
-    """Nodes of one fingerprint link by their own sketches, whatever the smallest node of the bucket looks like."""
+def test_similar_pairs_behind_an_unlike_first(spark):
+    """Rows of one key link by their own sketches, whatever the first row looks like; in blocks of any size."""
     draw = random.Random(6)
     bits = lambda n: sum(1 << i for i in draw.sample(range(64), n))
     far = [[draw.getrandbits(64) for _ in range(8)] for _ in range(40)]
-    for pairwise in (24, 4):
-        sketches = [far[0], far[1], [w ^ bits(2) for w in far[1]], *far[2:12]]
-        # A chain: each next to the one before it, and far from the smallest.
-        for _ in range(12):
-            sketches.append([w ^ bits(7) for w in sketches[-1]])
-        order = list(range(len(sketches)))
-        draw.shuffle(order)
-        sketches = [sketches[0], *[sketches[i] for i in order if i]]
-        rows = [(i, [77] * 11, [simhash.signed(w) for w in s]) for i, s in enumerate(sketches)]
-        nodes = spark.createDataFrame(rows, "node long, fps array<long>, sketch array<long>")
-        edges = simhash.verified_links(nodes, 89, 40, 2, 11, pairwise=pairwise)
-        got = {r["node"]: r["component"] for r in common.components(edges).collect()}
-        arrays = np.array(sketches, np.uint64)
-        near = np.bitwise_count(arrays[:, None] ^ arrays[None]).sum(axis=2) <= 89
+    sketches = [far[0], far[1], [w ^ bits(2) for w in far[1]], *far[2:12]]
+    # A chain: each next to the one before it, and far from the smallest.
+    for _ in range(12):
+        sketches.append([w ^ bits(7) for w in sketches[-1]])
+    order = list(range(len(sketches)))
+    draw.shuffle(order)
+    sketches = [sketches[0], *[sketches[i] for i in order if i]]
+    rows = spark.createDataFrame([(k, i, *[simhash.signed(w) for w in s]) for k in (7, 8) for i, s in enumerate(sketches)],
+                                 "key long, node long, " + ", ".join(f"s{i} long" for i in range(8)))
+    arrays = np.array(sketches, np.uint64)
+    apart = np.bitwise_count(arrays[:, None] ^ arrays[None]).sum(axis=2)
+    for pairwise in (30, 4):
+        pairs = simhash.candidate_pairs(rows, 57, 98, pairwise=pairwise)
+        found = {(r["a"], r["b"]): r["d"] for r in pairs.collect()}
+        assert all(d == apart[a][b] <= 98 for (a, b), d in found.items())
+        if pairwise > len(sketches):
+            assert set(found) == {(a, b) for a in range(len(sketches)) for b in range(a + 1, len(sketches)) if apart[a][b] <= 98}
+        sure = pairs.where("d <= 57").select("a", "b")
+        got = {r["node"]: r["component"] for r in common.components(sure).collect()}
         want = list(range(len(sketches)))
         for _ in want:
-            want = [min(want[j] for j in np.flatnonzero(near[i])) for i in range(len(want))]
+            want = [min(want[j] for j in np.flatnonzero(apart[i] <= 57)) for i in range(len(want))]
         assert [got.get(i, i) for i in range(len(want))] == want
         assert len(set(want)) < len(want)
 
 
+def edited(words, kind, share, draw):
+    n = max(1, round(share * len(words)))
+    if kind == "words":
+        places = set(draw.sample(range(len(words)), n))
+        return [f"e{draw.random()}" if i in places else w for i, w in enumerate(words)]
+    if kind == "appended":
+        return words + [f"e{draw.random()}" for _ in range(n)]
+    if kind == "cut":
+        return words[n:]
+    at = draw.randrange(len(words) - n)
+    return words[:at] + [f"e{draw.random()}" for _ in range(n)] + words[at + n:]
+
+
+def test_similar_documents_against_brute_force(spark):
+    """Links and their components at the exact similarity of 0.8, for edits of all kinds and sizes."""
+    draw, rows = random.Random(11), []
+    for g in range(150):
+        words = [f"w{draw.randrange(40)}" for _ in range(draw.randrange(60, 400))]
+        rows.append((len(rows), words))
+        for kind in ("words", "appended", "cut", "replaced"):
+            rows.append((len(rows), edited(words, kind, draw.choice((0.005, 0.01, 0.02, 0.03) if kind == "words" else (0.02, 0.08, 0.15, 0.3)), draw)))
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    sets = [{tuple(w[i:i + 5]) for i in range(len(w) - 4)} for _, w in rows]
+    links = [(i, j) for g in range(0, len(rows), 5) for i in range(g, g + 5) for j in range(i + 1, g + 5)
+             if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9]
+    want = list(range(len(rows)))
+    for _ in range(5):
+        for i, j in links:
+            want[i] = want[j] = min(want[i], want[j])
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs).collect()}
+    assert all(want[i] <= c for i, c in got.items())  # no component joins what the similarity does not
+    assert sum(got[i] == got[j] for i, j in links) >= 0.97 * len(links)
+
+
+def test_passages_against_brute_force(spark):
+    """Passages that stand whole, edited once, or behind two documents that hold a half each."""
+    draw, rows, planted = random.Random(12), [], []
+    fill = lambda n: [f"f{draw.randrange(10 ** 9)}" for _ in range(n)]
+    for g in range(60):
+        passage = [f"p{g}x{draw.randrange(30)}" for _ in range(draw.randrange(56, 90))]
+        half = len(passage) // 2
+        once = list(passage)
+        once[draw.randrange(10, len(once) - 10)] = "edited"
+        for k, part in enumerate((passage[:half], passage[half:], passage, passage, once if len(once) > 75 else passage)):
+            rows.append((10 * g + k, " ".join(fill(40 + draw.randrange(40)) + part + fill(30 + draw.randrange(40)))))
+        planted += [10 * g + 3, 10 * g + 4]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = passages.repeated_passages(docs).collect()
+    repeats = {r["doc_id"] for r in found if not r["is_first"]}
+    assert repeats <= set(planted)
+    assert len(repeats & set(planted)) >= 0.98 * len(planted)
+    assert {r["doc_id"] for r in found if r["is_first"]} <= {10 * g + k for g in range(60) for k in (2, 3)}
+
+
+def test_passages_of_the_first_document(spark):
+    """A first document's passages are told apart, and each stands once; a copy repeats its first as a whole."""
+    draw = random.Random(13)
+    fill = lambda n: " ".join(f"f{draw.randrange(10 ** 9)}" for _ in range(n))
+    one, two = fill(60), fill(60)
+    rows = [(1, f"{one} {fill(15)} {two}"), (2, f"{one} {fill(40)}"), (3, f"{fill(30)} {two}"), (4, "x " * 70), (5, "x " * 70), (6, "y " * 9), (7, "y " * 9)]
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {(r["doc_id"], r["first_doc_id"], r["start_word"], r["end_word"]) for r in found}
+    assert got == {(1, 1, 0, 60), (1, 1, 75, 135), (2, 1, 0, 60), (3, 1, 30, 90), (4, 4, 0, 70), (5, 4, 0, 70)}
+
+
+def test_a_hash_in_many_blocks(spark, monkeypatch):
+    """The windows of one hash are compared in blocks, and the firsts of earlier blocks go on."""
+    draw = random.Random(14)
+    passage = " ".join(f"p{draw.randrange(10 ** 9)}" for _ in range(60))
+    texts = [f"{' '.join(f'f{draw.randrange(10 ** 9)}' for _ in range(30))} {passage} end{i}" for i in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc long, text string").withColumn("digest", F.xxhash64("text"))
+    table = pa.Table.from_pandas(passages.windows_of(docs).orderBy("key", "doc", "c").toPandas(), preserve_index=False)
+    table = table.cast(pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("digest", pa.int64()), ("c", pa.int32()), ("left", pa.int8()), ("content", pa.binary())]))
+    results = []
+    for block in (1 << 15, 64):
+        monkeypatch.setattr(passages, "BLOCK", block)
+        out = pa.Table.from_batches(list(passages._verified(iter(table.to_batches(max_chunksize=50)))))
+        results.append({tuple(r.values()) for r in out.to_pylist() if r["first_doc_id"] is not None})
+    assert results[0] == results[1] and {r[0] for r in results[0]} == set(range(1, 300)) and {r[2] for r in results[0]} == {0}
+
+
+def test_strip_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a " * 60, 5, 6, 7), (2, "a " * 60, 5, 6, 7), (None, None, None, None, None)],
+                                 "doc_id long, text string, spans int, digest int, _doc int")
+    out = passages.strip(docs, passages.repeated_passages(docs))
+    assert out.columns == docs.columns
+    assert {(r["doc_id"], r["text"], r["spans"], r["digest"]) for r in out.collect()} == {(1, "a " * 60, 5, 6), (2, "", 5, 6), (None, None, None, None)}
+
+
 def test_repeats_behind_an_unlike_first(spark):
     """A first document that shares only part of a passage does not hide the exact repeat of two later ones."""
     rows = []
