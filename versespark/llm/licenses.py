@@ -4,7 +4,7 @@ Blocks are the lines of a text, and the windows of a paragraph's words that are
 statement wrapped over several lines is one block too; both as sets of words. A block carries a template's label when it holds at
 least ``CONTAINMENT`` of the template's distinct words. Paragraphs are joined as a whole, which loses no window of theirs, and the
 windows of the pairs found decide. The join is exact and prefix-filtered: words of the
-templates are ranked by their frequency over all blocks of the corpus, rarest first; a block and a
+templates are ranked by their frequency over all lines of the corpus, rarest first; a block and a
 template that overlap in ``need`` words share one of the first ``size - need + 1`` of either side;
 length and place bound the overlap still possible; what is left is verified by intersection.
 Words outside every template cannot overlap, so blocks are cut down to template words first.
@@ -83,12 +83,13 @@ def template_words(templates: list[tuple[str, str]]) -> list[tuple[str, list[str
             for label, text in templates]
 
 
-def _blocks(docs: DataFrame) -> DataFrame:
+def _blocks(docs: DataFrame, lines_only: bool = False) -> DataFrame:
     """(doc_id, digest, line, kind, run, words): the lines, and the paragraphs of several lines with their words in order."""
     text = _lines(F.col("text"))
     paragraphs = F.filter(F.transform(F.split(text, r"\n *(?:\n *)+"), lambda x: F.btrim(x, F.lit(" \n"))), lambda x: F.contains(x, F.lit("\n")))
-    parts = F.concat(F.transform(F.split(text, "\n"), lambda x: F.struct(F.lit(0).alias("kind"), F.btrim(x).alias("run"))),
-                     F.transform(paragraphs, lambda x: F.struct(F.lit(1).alias("kind"), F.regexp_replace(x, "[ \n]+", " ").alias("run"))))
+    parts = F.transform(F.split(text, "\n"), lambda x: F.struct(F.lit(0).alias("kind"), F.btrim(x).alias("run")))
+    if not lines_only:
+        parts = F.concat(parts, F.transform(paragraphs, lambda x: F.struct(F.lit(1).alias("kind"), F.regexp_replace(x, "[ \n]+", " ").alias("run"))))
     rows = docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("digest"), F.posexplode(parts).alias("line", "p"))
     return rows.select("doc_id", "digest", "line", "p.kind", "p.run", F.array_distinct(F.split("p.run", " ")).alias("words"))
 
@@ -107,8 +108,8 @@ def contained_templates(docs: DataFrame, templates: list[tuple[str, str]] = TEMP
     vocabulary = sorted({w for _, words in sets for w in words})
     known = F.array(*map(F.lit, vocabulary))
     blocks = _blocks(docs)
-    counts = dict(
-        blocks.select(F.explode(F.array_intersect("words", known)).alias("word")).groupBy("word").count().collect())
+    counts = dict(  # every word of a paragraph stands in a line too
+        _blocks(docs, lines_only=True).select(F.explode(F.array_intersect("words", known)).alias("word")).groupBy("word").count().collect())
     rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
     needs = [max(1, math.ceil(containment * len(words) - 1e-9)) for _, words in sets]
     rare = {w for (_, words), need in zip(sets, needs, strict=True)
