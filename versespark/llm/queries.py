@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html, language, licenses, passages, quality, sharding, simhash, toxicity
+from . import bpe, decontaminate, html, language, licenses, passages, periodic, pieces, quality, sharding, simhash, toxicity, whitening
 from .common import read
 
 
@@ -77,6 +77,32 @@ def op10_compression_language(spark: SparkSession, sf_dir: str) -> DataFrame:
         "lang_pred", "score", "rejected")
 
 
+def op11_whitened_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def piece_model_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op12_backtracking_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = pieces.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), piece_model_path())
+    return coded.select("doc_id", "n_tokens", F.sha2("packed", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``runs`` stand by start, then period, so of equal exponents the first is kept."""
+    found = periodic.detect(read(spark, sf_dir, "documents").select("doc_id", "text"), periodic.folded)
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), lambda a, x: F.when(x["length"] * a["period"] > a["length"] * x["period"], x).otherwise(a))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("b"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+                        F.sha2("collapsed", 256).alias("collapsed_sha256")).select(
+        "doc_id", "n_runs", "b.start", "b.length", "b.period", F.expr("1000 * b.length div b.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_template_removal, op2_quality_cascade, op3_compact_windows, op4_two_pass_shuffle, op5_string_tiling,
-    op6_simhash_covering, op7_license_scan, op8_boosted_toxicity, op9_segment_tree_bpe, op10_compression_language)}
+    op6_simhash_covering, op7_license_scan, op8_boosted_toxicity, op9_segment_tree_bpe, op10_compression_language,
+    op11_whitened_embeddings, op12_backtracking_pieces, op13_periodic_runs)}
