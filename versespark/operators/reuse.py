@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.refs import aligned_end, chunk_id, parse_chunk_id, parse_verse_id, verse_id
 from ..sources.shared import written
+from .alignment import Alignment, chains, local_alignment, local_alignments  # noqa: F401
 from .evaluate import PAIR, best_scores
 
 
@@ -82,9 +83,10 @@ def verse_grams(rows: DataFrame, n: int) -> DataFrame:
     others before any row is made of them; the join that follows is exact.
     """
     bible = ngrams(rows.where("group = 'bible'"), n)
+    places = rows.where("group = 'bible'").agg(F.sum(F.greatest(F.length("text") - (n - 1), F.lit(0)))).first()[0] or 0
     marks = rows.where("group = 'bible'").select("text").mapInArrow(_marks(n), "mark int").distinct()
     spark = rows.sparkSession
-    if bible.count() > MAP_GRAMS:
+    if places > MAP_GRAMS:
         return ngrams(rows, n).join(bible.select("gram").distinct(), "gram", "left_semi")
     bits = np.zeros(1 << MAP_BITS, bool)
     for batch in marks.toArrow().to_batches():
@@ -119,13 +121,23 @@ def document_frequency(grams: DataFrame) -> DataFrame:
     return grams.select("id", "gram").distinct().groupBy("gram").agg(F.count("*").alias("df"))
 
 
+#: Ids that share a frequent n-gram meet in groups of about this size.
+POSTINGS = 10_000
+
+
+def _frequent(held: DataFrame, options: ReuseOptions) -> DataFrame:
+    """(gram, df) of the n-grams in the frequency range."""
+    inside = F.col("df") >= options.min_df
+    return document_frequency(held).where(inside & (F.col("df") <= options.max_df) if options.max_df else inside)
+
+
+def _side(held: DataFrame, group: str, name: str, *places: str) -> DataFrame:
+    return held.where(F.col("group") == group).select("gram", F.col("id").alias(name), *[F.col(p).alias(f"{name}_{p}") for p in places])
+
+
 def _joined(held: DataFrame, options: ReuseOptions, *places: str) -> DataFrame:
-    frequency = F.col("df") >= options.min_df
-    frequency = frequency & (F.col("df") <= options.max_df) if options.max_df else frequency
-    kept = document_frequency(held).where(frequency).select("gram")
-    side = lambda group, name: held.where(F.col("group") == group).select(
-        "gram", F.col("id").alias(name), *[F.col(p).alias(f"{name}_{p}") for p in places])
-    return side("bible", "verse").join(kept, "gram").join(side("task", "chunk"), "gram")
+    kept = _frequent(held, options).select("gram")
+    return _side(held, "bible", "verse", *places).join(kept, "gram").join(_side(held, "task", "chunk", *places), "gram")
 
 
 def shared_grams(held: DataFrame, options: ReuseOptions) -> DataFrame:
@@ -133,10 +145,47 @@ def shared_grams(held: DataFrame, options: ReuseOptions) -> DataFrame:
     return _joined(held, options, "pos").select("verse", "chunk", "gram", "verse_pos", "chunk_pos")
 
 
+def _rare_first(held: DataFrame, options: ReuseOptions) -> DataFrame:
+    """(id, group, grams): the n-grams of each text that has ``min_match`` of them, the rarest first, as structs of df and gram."""
+    rows = held.select("id", "group", "gram").distinct().join(_frequent(held, options), "gram")
+    return rows.groupBy("id", "group").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("grams")).where(
+        F.size("grams") >= options.min_match)
+
+
 def candidate_pairs(held: DataFrame, options: ReuseOptions) -> DataFrame:
-    """(verse, chunk, shared): pairs that share at least ``min_match`` distinct n-grams in the frequency range."""
-    pairs = _joined(held.select("id", "group", "gram").distinct(), options)
-    return pairs.groupBy("verse", "chunk").agg(F.count("*").alias("shared")).where(F.col("shared") >= options.min_match)
+    """(verse, chunk, shared): pairs that share at least ``min_match`` distinct n-grams in the frequency range.
+
+    With a bound on the frequency all n-grams meet. Without one (``max_df`` 0) the result is as exact, and the frequent n-grams do not meet
+    as a rule: all texts order their n-grams by rarity, and two that share ``min_match`` share one besides the last ``min_match`` - 1 of
+    either. Pairs are found by those before, and all n-grams of a pair found are then counted. The texts of a
+    frequent n-gram are dealt into groups of about ``POSTINGS``.
+    """
+    if options.max_df:
+        pairs = _joined(held.select("id", "group", "gram").distinct(), options)
+        return pairs.groupBy("verse", "chunk").agg(F.count("*").alias("shared")).where(F.col("shared") >= options.min_match)
+    texts = written(_rare_first(held, options), "rare-first")
+    verse, chunk = (texts.where(F.col("group") == g).select(F.col("id").alias(name), F.col("grams").alias(f"{name}_grams"))
+                    for g, name in (("bible", "verse"), ("task", "chunk")))
+    groups = F.expr(f"int(g.df div {POSTINGS})")
+    first = lambda side, name: side.select(name, F.explode(F.slice(f"{name}_grams", 1, F.size(f"{name}_grams") - (max(1, options.min_match) - 1))).alias("g"))
+    dealt = first(chunk, "chunk").select("chunk", "g.gram", F.pmod(F.xxhash64("chunk"), groups + 1).cast("int").alias("part"))
+    copied = first(verse, "verse").select("verse", "g.gram", F.explode(F.sequence(F.lit(0), groups)).alias("part"))
+    found = copied.join(dealt, ["gram", "part"]).select("verse", "chunk").distinct()
+    counted = found.join(verse, "verse").join(chunk, "chunk").select(
+        "verse", "chunk", F.size(F.array_intersect("verse_grams.gram", "chunk_grams.gram")).cast("long").alias("shared"))
+    return counted.where(F.col("shared") >= options.min_match)
+
+
+def pair_hits(held: DataFrame, options: ReuseOptions) -> DataFrame:
+    """(verse, chunk, hits): the candidate pairs with all places at which they share an n-gram in the frequency range, as chunk place * 2^32 + verse place."""
+    if options.max_df:
+        shared = _joined(held, options, "pos")
+    else:
+        pairs = written(candidate_pairs(held, options).select("verse", "chunk"), "pairs")
+        shared = pairs.join(_side(held, "bible", "verse", "pos"), "verse").join(_side(held, "task", "chunk", "pos"), ["chunk", "gram"])
+    hit = F.shiftleft(F.col("chunk_pos").cast("long"), 32) + F.col("verse_pos")
+    return shared.groupBy("verse", "chunk").agg(F.collect_list(hit).alias("hits"), F.size(F.collect_set("gram")).alias("shared")).where(
+        F.col("shared") >= options.min_match).drop("shared")
 
 
 def passage_groups(shared: DataFrame, gap: int) -> DataFrame:
@@ -149,39 +198,6 @@ def passage_groups(shared: DataFrame, gap: int) -> DataFrame:
         F.min("at").alias("start"), F.max("at").alias("end"), F.count("*").alias("matches"))
 
 
-def local_alignment(a: str, b: str) -> tuple[int, int, str, str, int]:
-    """(begin in a, begin in b, aligned a, aligned b, equal characters) of the best local alignment.
-
-    Match 2, mismatch -1, gap -2. Rows are filled with numpy; gaps along a row are a running maximum.
-    """
-    if not a or not b:
-        return 0, 0, "", "", 0
-    x, y = np.array([ord(c) for c in a]), np.array([ord(c) for c in b])
-    score = np.zeros((x.size + 1, y.size + 1), np.int32)
-    step = 2 * np.arange(y.size + 1)
-    for i in range(1, x.size + 1):
-        diagonal = score[i - 1, :-1] + np.where(y == x[i - 1], 2, -1)
-        row = np.maximum(np.concatenate([[0], np.maximum(diagonal, score[i - 1, 1:] - 2)]), 0)
-        score[i] = np.maximum.accumulate(row + step) - step
-    i, j = (int(k) for k in np.unravel_index(np.argmax(score), score.shape))
-    left, right, equal = [], [], 0
-    while score[i, j] > 0:
-        if i and j and score[i, j] == score[i - 1, j - 1] + (2 if a[i - 1] == b[j - 1] else -1):
-            i, j = i - 1, j - 1
-            left.append(a[i])
-            right.append(b[j])
-            equal += a[i] == b[j]
-        elif i and score[i, j] == score[i - 1, j] - 2:
-            i -= 1
-            left.append(a[i])
-            right.append("-")
-        else:
-            j -= 1
-            left.append("-")
-            right.append(b[j])
-    return i, j, "".join(left[::-1]), "".join(right[::-1]), int(equal)
-
-
 def exact_runs(shared: DataFrame, rows: DataFrame, n: int, min_align: int) -> DataFrame:
     """(verse, chunk, alg, alg2, begin, begin2, matches): the longest run that both texts have in common, as an alignment
     without gaps. Shared n-grams one place apart on both sides are one run; ties go to the first. Expressions only."""
@@ -198,30 +214,77 @@ def exact_runs(shared: DataFrame, rows: DataFrame, n: int, min_align: int) -> Da
                                             (-F.col("r.less")).cast("double").alias("matches"))
 
 
-def align(pairs: DataFrame, rows: DataFrame, options: ReuseOptions) -> DataFrame:
-    """(verse, chunk, alg, alg2, begin, begin2, matches): alignments of at least ``min_align`` places whose passage covers enough.
+def chained(hits: DataFrame, options: ReuseOptions) -> DataFrame:
+    """(verse, chunk, chains): the colinear chains of each pair's hits, as arrays of hits; pairs without a chain go."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [[[(c << 32) + v for c, v in chain] for chain in chains([(h >> 32, h & 0xFFFFFFFF) for h in some], options.gap, options.min_match)]
+                     for some in batch.column("hits").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("verse"), batch.column("chunk"), pa.array(found, pa.list_(pa.list_(pa.int64())))],
+                                             names=["verse", "chunk", "chains"])
+
+    return hits.select("verse", "chunk", "hits").mapInArrow(run, "verse string, chunk string, chains array<array<long>>").where(F.size("chains") > 0)
 
-    A passage is what a verse's alignments with one problem's chunks make up, cut where they stand more than ``gap`` apart.
-    ``src_overlap`` bounds its part of the shorter of the verse and the chunks' stretch from below, ``dst_overlap`` its part of
-    the verse; a verse longer than a chunk is covered by several. Hyphens of the texts are aligned as blanks, since a
-    hyphen marks a gap.
-    """
+
+def _windows(pairs: DataFrame, rows: DataFrame, n: int) -> DataFrame:
+    """Pairs with both texts' parts to align: for each chain the stretch of the chunk that any alignment through it lies in. Before the first hit an
+    alignment has at most as many further characters as the verse has there, so it goes back at most twice that, and so after the last."""
+    place, verse_place = (lambda h: F.shiftright(h, 32).cast("int")), (lambda h: h.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int"))
     text = lambda name, *more: rows.select(F.col("id").alias(name), F.translate("text", "-", " ").alias(f"{name}_text"), *more)
-    both = pairs.select("verse", "chunk").join(text("verse"), "verse").join(text("chunk", "problem_id", "chunk_start"), "chunk")
+    both = pairs.join(text("verse"), "verse").join(text("chunk", "problem_id", "chunk_start"), "chunk")
+
+    def window(chain):
+        first, last = F.get(chain, F.lit(0)), F.element_at(chain, -1)
+        low = F.greatest(place(first) - 2 * verse_place(first), F.lit(0))
+        high = place(last) + n + 2 * F.greatest(F.length("verse_text") - verse_place(last) - n, F.lit(0))
+        return F.struct(low.alias("low"), F.substring(F.col("chunk_text"), low + 1, high - low).alias("part"), chain.alias("hits"))
+
+    return both.select("verse", "chunk", "problem_id", F.col("chunk_start").alias("at"), "verse_text", F.length("chunk_text").alias("chunk_size"),
+                       F.transform("chains", window).alias("windows"))
+
+
+def _aligned(row: tuple, found: list[list[Alignment]]) -> list[Alignment]:
+    """The alignments of a pair's windows, in places of the chunk: those that go through a hit of their window's chain, each once."""
+    kept: dict[Alignment, None] = {}
+    for window, some in zip(row, found, strict=True):
+        low = window["low"]
+        hits = [((h >> 32) - low, h & 0xFFFFFFFF) for h in window["hits"]]
+        for x in some:
+            end, end2 = x.begin + len(x.alg.replace("-", "")), x.begin2 + len(x.alg2.replace("-", ""))
+            if any(x.begin <= v < end and x.begin2 <= c < end2 for c, v in hits):
+                kept[x._replace(begin2=x.begin2 + low)] = None
+    return list(kept)
+
+
+#: Pairs whose windows a task aligns together.
+ALIGNED_ROWS = 512
+
+
+def align(hits: DataFrame, rows: DataFrame, options: ReuseOptions) -> DataFrame:
+    """(verse, chunk, alg, alg2, begin, begin2, matches): alignments of at least ``min_align`` places and points whose passage covers enough.
+
+    ``hits`` from ``pair_hits``. Only the stretches around chains of hits are aligned, so a chunk may be a whole text. A verse that stands in a chunk
+    several times has an alignment for each time. A passage is what a verse's alignments with one problem's chunks make up, cut
+    where they stand more than ``gap`` apart. ``src_overlap`` bounds its part of the shorter of the verse and the chunks'
+    stretch from below, ``dst_overlap`` its part of the verse; a verse longer than a chunk is covered by several. Hyphens of the
+    texts are aligned as blanks, since a hyphen marks a gap.
+    """
     names = ["verse", "chunk", "problem_id", "at", "verse_size", "chunk_size", "alg", "alg2", "begin", "begin2", "matches"]
 
-    def aligned(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for verse, chunk, problem, start, a, b in frame[["verse", "chunk", "problem_id", "chunk_start", "verse_text", "chunk_text"]].itertuples(
-                    index=False, name=None):
-                begin, begin2, alg, alg2, equal = local_alignment(a, b)
-                if len(alg) >= options.min_align:
-                    out.append((verse, chunk, problem, start, len(a), len(b), alg, alg2, begin, begin2, float(equal)))
-            yield pd.DataFrame(out, columns=names)
-
-    found = both.mapInPandas(aligned, "verse string, chunk string, problem_id string, at int, verse_size int, chunk_size int, "
-                                      "alg string, alg2 string, begin int, begin2 int, matches double")
+    def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, ALIGNED_ROWS):
+                pairs = batch.slice(start, ALIGNED_ROWS).to_pylist()
+                found = iter(local_alignments([(p["verse_text"], w["part"]) for p in pairs for w in p["windows"]], options.min_align))
+                out = [(p["verse"], p["chunk"], p["problem_id"], p["at"], len(p["verse_text"]), p["chunk_size"], x.alg, x.alg2, x.begin, x.begin2, float(x.equal))
+                       for p in pairs for x in _aligned(p["windows"], [next(found) for _ in p["windows"]])]
+                yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=names), schema=shape, preserve_index=False)
+
+    kinds = [pa.string()] * 3 + [pa.int32()] * 3 + [pa.string()] * 2 + [pa.int32()] * 2 + [pa.float64()]
+    shape = pa.schema(list(zip(names, kinds, strict=True)))
+    found = _windows(chained(hits, options), rows, options.n).mapInArrow(
+        aligned, "verse string, chunk string, problem_id string, at int, verse_size int, chunk_size int, "
+                 "alg string, alg2 string, begin int, begin2 int, matches double")
     end, place, past = aligned_end(F.col("begin"), F.col("alg")), F.col("at") + F.col("begin2"), F.col("at") + aligned_end(F.col("begin2"), F.col("alg2"))
     one = Window.partitionBy("verse", "problem_id").orderBy("place", "chunk")
     before = one.rowsBetween(Window.unboundedPreceding, -1)
@@ -297,14 +360,14 @@ def _some(chunks: DataFrame) -> None:
 
 
 def detect(chunks: DataFrame, verses: DataFrame, options: ReuseOptions) -> DataFrame:
-    """The whole job up to nested output: n-grams, candidates, alignment. No chunk at all is an error."""
+    """The whole job up to nested output: n-grams, hits of candidate pairs, chains, alignment. No chunk at all is an error."""
     _some(chunks)
     rows = records(chunks, verses)
-    pairs = written(candidate_pairs(written(verse_grams(rows, options.n), "verse-grams"), options), "reuse-pairs")
+    hits = written(pair_hits(written(verse_grams(rows, options.n), "verse-grams"), options), "reuse-hits")
     # Chunks are made twice in all: for their n-grams, and those of some pair for their texts.
-    ids = pairs.select(F.col("verse").alias("id")).unionByName(pairs.select(F.col("chunk").alias("id"))).distinct()
+    ids = hits.select(F.col("verse").alias("id")).unionByName(hits.select(F.col("chunk").alias("id"))).distinct()
     held = written(rows.join(ids, "id", "left_semi"), "reuse-rows")
-    return nested_output(written(align(pairs, held, options), "alignments"), held)
+    return nested_output(written(align(hits, held, options), "alignments"), held)
 
 
 def run_counts(chunks: DataFrame, verses: DataFrame, pairs: DataFrame, matches: DataFrame) -> DataFrame:
