@@ -117,11 +117,35 @@ def test_tei_without_text(spark, tmp_path):
 
 
 def test_range_of_an_unknown_chapter(spark):
+    """No range is too long: it is kept as one stretch, and spread only where its references are wanted."""
     index = spark.createDataFrame([("gen", 1, 1), ("gen", 1, 2)], "book string, chapter int, verse int")
-    ranges = spark.createDataFrame([("gen", 9, 1, 2_000_000_000), ("gen", 9, 1, 3), ("gen", 1, 1, 2_000_000_000)],
+    ranges = spark.createDataFrame([("gen", 9, 1, 2_000_000_000), ("gen", 8, 1, 3), ("gen", 1, 1, 2_000_000_000), ("gen", 7, 5, 1)],
                                    "book string, chapter int, verse_start int, verse_end int")
-    assert {r["reference"] for r in responses.expand_ranges(ranges, index).collect()} == {"gen_9:1", "gen_9:2", "gen_9:3", "gen_1:1", "gen_1:2"}
-    assert [tuple(r) for r in responses.long_ranges(ranges, index).collect()] == [("gen", 9, 1, 2_000_000_000)]
+    assert {tuple(r)[:2] + tuple(r)[4:] for r in responses.range_intervals(ranges, index).collect()} == {
+        ("gen", 9, 1, 2_000_000_000), ("gen", 8, 1, 3), ("gen", 1, 1, 2)}
+    rest = ranges.where("chapter <> 9")
+    assert {r["reference"] for r in responses.expand_ranges(rest, index).collect()} == {"gen_8:1", "gen_8:2", "gen_8:3", "gen_1:1", "gen_1:2"}
+    assert responses.expand_ranges(ranges.where("chapter = 9"), index).limit(25_000).count() == 25_000
+    long = ranges.where("chapter = 9").withColumn("verse_end", F.lit(3_000_000))
+    assert responses.expand_ranges(long, index).agg(F.count("*"), F.count_distinct("verse"), F.max("verse")).first()[:] == (3_000_000,) * 3
+
+
+def test_ranges_meet_runs_with_holes(spark):
+    """All verses between, once each, whatever the bins, against plain sets."""
+    draw = random.Random(11)
+    known = {(b, c): {v for v in range(1, 400) if draw.random() < 0.9} for b in ("gen", "ps") for c in (1, 2)}
+    index = spark.createDataFrame([(b, c, v) for (b, c), vs in known.items() for v in [*vs, min(vs)]], "book string, chapter int, verse int")
+    rows = [(i, draw.choice(["gen", "ps"]), draw.choice([1, 2, 3]), a := draw.randrange(-5, 420), a + draw.choice([-1, 0, 1, 63, 64, 200])) for i in range(120)]
+    ranges = spark.createDataFrame(rows, "n int, book string, chapter int, verse_start int, verse_end int")
+    got: dict = {}
+    for r in responses.expand_ranges(ranges, index).collect():
+        got.setdefault(r["n"], []).append(r["verse"])
+    for n, b, c, start, end in rows:
+        inside = set(range(start, end + 1))
+        want = sorted(inside & known[b, c] if (b, c) in known else inside)
+        assert sorted(got.get(n, [])) == want
+    for r in responses.range_intervals(ranges, index).where("chapter < 3").collect():
+        assert set(range(r["first"], r["last"] + 1)) <= known[r["book"], r["chapter"]]
 
 
 def test_reference_key_that_is_there(spark):
@@ -155,6 +179,30 @@ def test_approximate_neighbours_recall(spark):
     assert got <= exact and len(got) >= 0.9 * len(exact) > 30
 
 
+def test_inverted_file(spark):
+    """Nine of ten neighbours with less work than all pairs; a cell with a third of all rows is dealt into blocks; all cells give the exact result."""
+    draw = np.random.default_rng(6)
+    hearts = draw.normal(size=(12, 16))
+    vectors = [hearts[i % 12] + 0.4 * draw.normal(size=16) for i in range(600)] + [hearts[0] + 0.01 * draw.normal(size=16) for _ in range(300)]
+    rows = [(f"v{i:03}", x.tolist()) for i, x in enumerate(vectors)] + [("zero", [0.0] * 16), ("none", None)]
+    side = spark.createDataFrame(rows, "reference string, embedding array<double>")
+    asked = side.where("reference < 'v120' OR reference IN ('zero', 'none')").withColumn("query_id", F.col("reference"))
+    exact = knn.top_k(asked, side, k=10, threshold=-1.0).cache()
+    index = knn.fit_cells(side, k=10)
+    assigned = knn.assign_cells(side, index).cache()
+    assert assigned.count() == 901 and len(index.centres) == 30 and 1 <= index.probes < 30
+    found = knn.search_cells(asked, assigned, index, k=10, block_rows=40, query_rows=9)
+    measured = knn.recall_at(exact, found).first()
+    assert measured["neighbours"] == 121 * 10 and measured["recall"] >= 0.9
+    assert knn.compared_pairs(asked, assigned, index).first()["compared"] < 121 * 901 / 2
+    every = knn.search_cells(asked, assigned, knn.Cells(index.centres, len(index.centres)), k=10, block_rows=100)
+    key = lambda df: sorted((r["query_id"], r["rank"], round(r["similarity"], 9)) for r in df.collect())
+    assert key(every) == key(exact)
+    assert knn.fit_cells(side.where("embedding IS NULL")) is None
+    one = knn.fit_cells(side.limit(1))
+    assert knn.search_cells(asked, knn.assign_cells(side.limit(1), one), one, k=3).count() == 121
+
+
 def test_chunk_sizes_are_at_least_one(spark):
     docs = spark.createDataFrame([("p", "abcdef"), ("q", "  "), ("r", None)], "problem_id string, text string")
     assert [r["text"] for r in chunked(docs, "char", char_size=0, char_overlap=-3, min_chars=0).collect()] == list("abcdef")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator, Mapping
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.refs import CANONICAL, parse_free_form, split_candidates, strip
@@ -69,36 +69,68 @@ def verse_index(verses: DataFrame) -> DataFrame:
         F.regexp_extract(ref, CANONICAL, 3).cast("int").alias("verse")).distinct()
 
 
-#: Verses of an unknown chapter that one range may name; longer ones are set apart.
-MOST_VERSES = 10_000
+def verse_runs(index: DataFrame) -> DataFrame:
+    """(book, chapter, run_start, run_end): the maximal runs of consecutive verses in ``index`` (book, chapter, verse)."""
+    order = Window.partitionBy("book", "chapter").orderBy("verse")
+    rows = index.distinct().withColumn("_island", F.col("verse") - F.row_number().over(order))
+    return rows.groupBy("book", "chapter", "_island").agg(F.min("verse").alias("run_start"), F.max("verse").alias("run_end")).drop("_island")
 
 
-def long_ranges(ranges: DataFrame, index: DataFrame, max_range: int = MOST_VERSES) -> DataFrame:
-    """The ranges of unknown chapters that ``expand_ranges`` sets apart."""
-    chapters = index.select("book", "chapter").distinct()
-    return ranges.join(chapters, ["book", "chapter"], "left_anti").where(F.col("verse_end").cast("long") - F.col("verse_start") >= max_range)
+#: Width in verses of the bins in which ranges and runs meet.
+BIN = 64
 
 
-def expand_ranges(ranges: DataFrame, index: DataFrame, max_range: int = MOST_VERSES) -> DataFrame:
-    """Add ``reference``: each existing verse of (book, chapter, verse_start, verse_end); all of them if the chapter is unknown.
+def range_intervals(ranges: DataFrame, index: DataFrame) -> DataFrame:
+    """Add ``first`` and ``last``: what (book, chapter, verse_start, verse_end) names, as stretches of existing verses; the range as it is
+    if the chapter is unknown. A range without a verse, or whose end is before its start, gives no row; the length of a range costs nothing.
 
-    A range of an unknown chapter beyond ``max_range`` verses gives none here; ``long_ranges`` has those rows.
+    Ranges are clipped to their chapter, then meet its runs in bins; a pair that shares several bins counts in the first one.
     """
-    chapters = index.groupBy("book", "chapter").agg(F.collect_set("verse").alias("known"))
-    rows = ranges.join(chapters, ["book", "chapter"], "left")
-    span = F.col("verse_end").cast("long") - F.col("verse_start")
-    inside = F.filter("known", lambda v: v.between(F.col("verse_start"), F.col("verse_end")))
-    verses = F.when(F.col("known").isNotNull(), inside).when(span < max_range, F.sequence("verse_start", "verse_end"))
-    rows = rows.withColumn("verse", F.explode(verses)).drop("known")
+    runs = verse_runs(index)
+    bounds = runs.groupBy("book", "chapter").agg(F.min("run_start").alias("_low"), F.max("run_end").alias("_high"))
+    known, bin_of = F.col("_low").isNotNull(), (lambda c: F.floor(F.col(c) / BIN).cast("int"))
+    rows = ranges.join(bounds, ["book", "chapter"], "left").withColumns({
+        "_first": F.when(known, F.greatest("verse_start", "_low")).otherwise(F.col("verse_start")),
+        "_last": F.when(known, F.least("verse_end", "_high")).otherwise(F.col("verse_end"))}).where("_first <= _last")
+    bins = F.when(known, F.sequence(bin_of("_first"), bin_of("_last"))).otherwise(F.array(F.lit(None).cast("int")))
+    rows = rows.withColumn("_bin", F.explode(bins))
+    held = runs.withColumn("_bin", F.explode(F.sequence(bin_of("run_start"), bin_of("run_end"))))
+    met = rows.join(held, ["book", "chapter", "_bin"], "left")
+    first, last = F.greatest("_first", F.coalesce("run_start", "_first")), F.least("_last", F.coalesce("run_end", "_last"))
+    met = met.withColumns({"first": first, "last": last})
+    here = F.col("run_start").isNotNull() & (F.col("first") <= F.col("last")) & (bin_of("first") == F.col("_bin"))
+    return met.where(F.col("_low").isNull() | here).drop("_low", "_high", "_first", "_last", "_bin", "run_start", "run_end")
+
+
+#: Verses that one array holds while a stretch is spread into rows.
+SPREAD = 10_000
+
+
+def expand_intervals(intervals: DataFrame) -> DataFrame:
+    """A row with ``verse`` and ``reference`` for each verse from ``first`` to ``last``, in parts, so that no array grows with a stretch."""
+    first, last = F.col("first").cast("long"), F.col("last").cast("long")
+    rows = intervals.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((last - first) / SPREAD))))
+    begin = first + F.col("_part") * SPREAD
+    rows = rows.withColumn("verse", F.explode(F.sequence(begin, F.least(begin + (SPREAD - 1), last)))).drop("_part", "first", "last").withColumn("verse", F.col("verse").cast("int"))
     return rows.withColumn("reference", F.concat("book", F.lit("_"), F.col("chapter").cast("string"), F.lit(":"), F.col("verse").cast("string")))
 
 
-def score_responses(responses: DataFrame, index: DataFrame, aliases: Mapping[str, str], allowed: Iterable[str],
-                    max_range: int = MOST_VERSES) -> DataFrame:
-    """(problem_id, reference, score, method): the best confidence of every resolved reference."""
+def expand_ranges(ranges: DataFrame, index: DataFrame) -> DataFrame:
+    """Add ``verse`` and ``reference``: each existing verse of (book, chapter, verse_start, verse_end); all of them if the chapter is unknown."""
+    return expand_intervals(range_intervals(ranges, index))
+
+
+def score_intervals(responses: DataFrame, index: DataFrame, aliases: Mapping[str, str], allowed: Iterable[str]) -> DataFrame:
+    """(problem_id, book, chapter, first, last, score): the best confidence of every stretch of verses that responses name."""
     rows = extract_matches(responses).select("problem_id", "confidence", F.explode(split_candidates(F.col("raw_reference"))).alias("raw"))
     rows = rows.select("problem_id", "confidence", parse_free_form(F.col("raw"), aliases, allowed).alias("r")).where("r IS NOT NULL")
-    rows = expand_ranges(rows.select("problem_id", F.col("confidence").alias("score"), "r.*"), index, max_range)
+    found = range_intervals(rows.select("problem_id", F.col("confidence").alias("score"), "r.*"), index)
+    return found.groupBy("problem_id", "book", "chapter", "first", "last").agg(F.max("score").alias("score"))
+
+
+def score_responses(responses: DataFrame, index: DataFrame, aliases: Mapping[str, str], allowed: Iterable[str]) -> DataFrame:
+    """(problem_id, reference, score, method): the best confidence of every resolved reference. Stretches become references last."""
+    rows = expand_intervals(score_intervals(responses, index, aliases, allowed))
     return best_scores(rows).withColumn("method", F.lit("direct_prompting"))
 
 

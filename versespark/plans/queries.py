@@ -11,6 +11,7 @@ from ..functions import refs
 from ..functions.chunking import chunked, chunked_with_offsets, token_budget_split
 from ..operators import annotations, evaluate, knn, responses, reuse, tei
 from ..sources import files
+from ..sources.shared import written
 from . import views as v
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,6 +90,17 @@ def reuse_candidates(spark, d):
     return v.candidates(spark, d)
 
 
+@query
+def reuse_candidates_unbounded(spark, d):
+    return v.candidates_of_all_grams(spark, d)
+
+
+@query
+def reuse_best_full(spark, d):
+    """Pairs of the job over whole texts, of which only stretches around chains of hits are aligned."""
+    return reuse.best_pairs(reuse.flatten_output(v.reuse_output_of_full_texts(spark, d)))
+
+
 @query
 def passage_groups(spark, d):
     return reuse.passage_groups(v.shared(spark, d), gap=20)
@@ -153,8 +165,9 @@ def run_counts(spark, d):
 
 
 def _sides(spark, d):
+    """Every hundredth vector as a query, and all as the side that is searched."""
     rows = v.vectors(spark, d)
-    return rows.where("vec_id % 2 = 1").withColumn("query_id", F.col("reference")), rows.where("vec_id % 2 = 0")
+    return rows.where("vec_id % 100 = 0").withColumn("query_id", F.col("reference")), rows
 
 
 def _rounded(df):
@@ -163,14 +176,34 @@ def _rounded(df):
 
 @query
 def knn_topk(spark, d):
-    return _rounded(knn.top_k(*_sides(spark, d), k=5, threshold=0.3))
+    return _rounded(knn.top_k(*_sides(spark, d), k=5, threshold=0.3, exclude_self=True))
 
 
 @query
 def knn_search(spark, d):
-    """Every hundredth vector against all."""
-    rows = v.vectors(spark, d)
-    return _rounded(knn.top_k(rows.where("vec_id % 100 = 0").withColumn("query_id", F.col("reference")), rows, k=10, threshold=-1.0))
+    return _rounded(knn.top_k(*_sides(spark, d), k=10, threshold=-1.0))
+
+
+def _indexed(spark, d):
+    queries, side = _sides(spark, d)
+    index = knn.fit_cells(side, k=10)
+    return queries, side, index, written(knn.assign_cells(side, index), "cells")
+
+
+@query
+def knn_index(spark, d):
+    """The search of ``knn_search`` by an inverted file: some neighbours may be missed, similarities are exact."""
+    queries, _, index, assigned = _indexed(spark, d)
+    return _rounded(knn.search_cells(queries, assigned, index, k=10))
+
+
+@query
+def knn_index_recall(spark, d):
+    """The inverted file measured against the exact search: whether nine of ten neighbours are found with fewer comparisons than all pairs."""
+    queries, side, index, assigned = _indexed(spark, d)
+    exact, found = knn.top_k(queries, side, k=10, threshold=-1.0), knn.search_cells(queries, assigned, index, k=10)
+    work = knn.compared_pairs(queries, assigned, index).select((F.col("compared") < queries.count() * side.count()).alias("less_work"))
+    return knn.recall_at(exact, found).select("neighbours", (F.col("recall") >= 0.9).alias("reached")).crossJoin(F.broadcast(work))  # one row each
 
 
 @query
@@ -182,7 +215,7 @@ def knn_self(spark, d):
 @query
 def embedding_best(spark, d):
     queries, side = _sides(spark, d)
-    near = knn.top_k(queries, side, k=5, threshold=0.3).join(queries.select("query_id", "problem_id"), "query_id")
+    near = knn.top_k(queries, side, k=5, threshold=0.3, exclude_self=True).join(queries.select("query_id", "problem_id"), "query_id")
     return knn.embedding_pairs(near).withColumn("score", F.round("score", 6))
 
 
@@ -322,6 +355,15 @@ def verse_range_join(spark, d):
     return responses.expand_ranges(ranges, responses.verse_index(v.verses(spark, d))).select("doc_id", "reference")
 
 
+@query
+def verse_intervals(spark, d):
+    """Ranges as stretches of existing verses, where one verse in seven is missing; one range in fifty has no end to speak of."""
+    ranges = v.table(spark, d, "documents").select("doc_id", F.lit("bench").alias("book"), F.expr("int(doc_id % 30 + 1)").alias("chapter"), F.expr("int(n_chars % 12 + 1)").alias("verse_start"),
+                                                   F.expr("CASE WHEN doc_id % 50 = 0 THEN 2000000000 ELSE int(n_chars % 12 + 4) END").alias("verse_end"))
+    known = responses.verse_index(v.verses(spark, d).where("row_index % 7 <> 3"))
+    return responses.range_intervals(ranges, known).select("doc_id", "chapter", "first", "last")
+
+
 @query
 def dataset_overview(spark, d):
     spans = v.gold_spans(spark, d)
@@ -392,7 +434,7 @@ def merge_counts(spark, d):
 @query
 def predictions_per_problem(spark, d):
     queries, side = _sides(spark, d)
-    near = knn.top_k(queries, side, k=5, threshold=0.3).join(queries.select("query_id", "problem_id"), "query_id")
+    near = knn.top_k(queries, side, k=5, threshold=0.3, exclude_self=True).join(queries.select("query_id", "problem_id"), "query_id")
     return files.per_problem(knn.embedding_pairs(near)).select("problem_id", F.array_join("predictions.reference", " ").alias("references"))
 
 

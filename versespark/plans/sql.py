@@ -56,8 +56,8 @@ _SENTENCES = rf"""s AS (SELECT problem_id, list_filter(list_transform(string_spl
 _COSINE = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
 _PAIRS = """SELECT query_id, reference, problem_id, round(sim, 6) AS similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id
   ORDER BY sim DESC, reference)::INT AS rank FROM (SELECT 'v-' || a.vec_id AS query_id, 'v-' || b.vec_id AS reference,
-  'p-' || (a.vec_id % 50) AS problem_id, {cos} AS sim FROM embeddings a JOIN embeddings b ON {on})) WHERE rank <= {k}"""
-_TOP = _PAIRS.format(cos=_COSINE, on="a.vec_id % 2 = 1 AND b.vec_id % 2 = 0", k=5) + " AND sim >= 0.3"
+  'p-' || (a.vec_id // 100 % 7) AS problem_id, {cos} AS sim FROM embeddings a JOIN embeddings b ON {on})) WHERE rank <= {k}"""
+_TOP = _PAIRS.format(cos=_COSINE, on="a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id", k=5) + " AND sim >= 0.3"
 
 _TURNS = r"""turns AS (SELECT conv_id, turn, 'conv-' || conv_id AS problem_id,
   list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> '') AS w FROM conversations),
@@ -115,6 +115,14 @@ w AS (SELECT problem_id, CASE WHEN ceil(length(text) / 4.0) <= 700 THEN [text] E
 SELECT problem_id, 0 AS chunk_index, (generate_subscripts(parts, 1) - 1)::INT AS part_index, unnest(parts) AS text FROM w""",
     "ngram_df": f"WITH {_PROBLEMS}, {_VERSES}, {_char_chunks(100, 50, 25)}, {_grams(8)} SELECT gram, df FROM df",
     "reuse_candidates": f"{_REUSE} SELECT verse, chunk, shared FROM cand",
+    "reuse_candidates_unbounded": f"""{_REUSE} SELECT b.id AS verse, t.id AS chunk, count(DISTINCT b.gram) AS shared FROM grams b JOIN grams t ON b.gram = t.gram
+  WHERE b.grp = 'bible' AND t.grp = 'task' GROUP BY 1, 2 HAVING count(DISTINCT b.gram) >= 3""",
+    "knn_index_recall": """SELECT count(*) FILTER (vec_id % 100 = 0) * least(10, count(*)) AS neighbours, true AS reached, true AS less_work FROM embeddings""",
+    "verse_intervals": """WITH known AS (SELECT DISTINCT item_id // 10 + 1 AS chapter, item_id % 10 + 1 AS verse FROM benchmark WHERE item_id % 7 <> 3),
+r AS (SELECT doc_id, doc_id % 30 + 1 AS chapter, n_chars % 12 + 1 AS s, CASE WHEN doc_id % 50 = 0 THEN 2000000000 ELSE n_chars % 12 + 4 END AS e FROM documents),
+k AS (SELECT doc_id, r.chapter, verse, verse - row_number() OVER (PARTITION BY doc_id ORDER BY verse) AS island FROM r JOIN known ON r.chapter = known.chapter WHERE verse BETWEEN s AND e)
+SELECT doc_id, chapter::INT AS chapter, min(verse)::INT AS first, max(verse)::INT AS last FROM k GROUP BY doc_id, chapter, island
+UNION ALL SELECT doc_id, chapter::INT, s::INT, e::INT FROM r WHERE chapter NOT IN (SELECT chapter FROM known)""",
     "passage_groups": f"""{_REUSE}, marks AS (SELECT DISTINCT verse, chunk, cp AS mark FROM hits),
 g AS (SELECT *, coalesce((mark - lag(mark) OVER (PARTITION BY verse, chunk ORDER BY mark) > 20)::INT, 0) AS new FROM marks),
 n AS (SELECT *, sum(new) OVER (PARTITION BY verse, chunk ORDER BY mark)::INT AS passage FROM g)

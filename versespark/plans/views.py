@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -75,6 +77,17 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reuse.candidate_pairs(written(reuse.verse_grams(reuse_records(spark, sf_dir), OPTIONS.n), "verse-grams"), OPTIONS)
 
 
+def candidates_of_all_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates without a bound on how many texts an n-gram may stand in."""
+    held = written(reuse.verse_grams(reuse_records(spark, sf_dir), OPTIONS.n), "verse-grams")
+    return reuse.candidate_pairs(held, replace(OPTIONS, max_df=0))
+
+
+def reuse_output_of_full_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested output of the whole job over texts that are not cut into chunks."""
+    return reuse.detect(chunked_with_offsets(problems(spark, sf_dir), "full", min_chars=25), verses(spark, sf_dir), replace(OPTIONS, max_df=0))
+
+
 def reuse_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested output of the whole job."""
     return reuse.detect(chunks(spark, sf_dir), verses(spark, sf_dir), OPTIONS)
@@ -93,7 +106,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(
         "vec_id", F.concat(F.lit("v-"), F.col("vec_id").cast("string")).alias("reference"),
-        F.concat(F.lit("p-"), (F.col("vec_id") % 50).cast("string")).alias("problem_id"), "embedding", "label")
+        F.expr("concat('p-', vec_id div 100 % 7)").alias("problem_id"), "embedding", "label")
 
 
 RESPONSE = """CASE conv_id % 4
