@@ -56,6 +56,37 @@ def test_page_text(spark):
     assert (texts[2], texts[3], texts[4]) == ([""], [""], ["plain"])
 
 
+def test_adverts_and_notices_inside_an_article():
+    inside = ('<article><p>Two</p><div class="ad">Buy</div><div class="banner">B</div><div class="alert">A</div><section class="subscription">S</section>'
+              '<div id="respond">Leave a reply</div><p class="alert">Kept</p><h2 class="banner">Kept too</h2></article>')
+    assert html.Page(inside).extracted(set()) == ("Two\n\nKept\n\nKept too", 0, 5)
+    assert html.Page('<div class="modal-dialog">x</div><div class="note">n</div><p>text').text(set()) == ("text", 0, 2)
+    assert html.Page('<div class="comments"><article><p>c</p></article></div>').text(set()) == ""
+    assert html.Page('<div class="sidebar"><article><p>c</p></article></div>').text(set()) == "c"
+
+
+def test_recurrence_decides_before_signs(spark):
+    """Menus, adverts and footers that stand on many pages of their host go by recurrence; what changes goes by its sign; the report tells them apart."""
+    page = '<nav><a>Home</a></nav><div class="advert">Buy now</div><div class="promo">Deal %d</div><article><p>%s</p></article><footer>Legal</footer>'
+    rows = [(i, f"http://h.example/{i}", page % (i, prose(i, 30))) for i in range(6)] + [(9, "http://single.example/", page % (9, "one page"))]
+    got = {r["page_id"]: r for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all((got[i]["text"], got[i]["n_recurring"], got[i]["n_signed"]) == (prose(i, 30), 3, 1) for i in range(6))
+    assert (got[9]["text"], got[9]["n_recurring"], got[9]["n_signed"]) == ("one page", 0, 4)
+
+
+@pytest.mark.parametrize("make", [lambda n: "<div class='x'>" * n + "t" + "</div>" * n, lambda n: "<p>t" + "</span>" * n, lambda n: "<article>" * n + "t",
+                                  lambda n: "<div><b class=q>" * n + "t</i>" * n, lambda n: "<li class=a><span class=b>" * n])
+def test_deep_nesting_takes_linear_time(make):
+    import time
+
+    times = []
+    for n in (4_000, 16_000):
+        began = time.perf_counter()
+        html.Page(make(n)).text(set())
+        times.append(time.perf_counter() - began)
+    assert times[1] < 10 * times[0] + 0.3
+
+
 def test_template_removal_without_signs(spark):
     """Blocks that recur on different pages of a host go, copies of one page do not count, other hosts keep theirs."""
     body = lambda i: f"<body><div class=top><p>Buy our goods now</p></div><div><p>{prose(i, 40)}</p></div></body>"

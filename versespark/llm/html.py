@@ -2,7 +2,7 @@
 
 Every page is parsed into elements and text blocks. Each element subtree is hashed (its tag, texts and children),
 Spark counts on how many different pages of its host each hash stands, and subtrees that recur on
-many pages of the host are deleted as its template. Copies of one page count once: a page is told by the block that is longest
+many pages of the host are deleted as its template; elements that a sign (below) would take are counted like others, and what recurs counts as template. Copies of one page count once: a page is told by the block that is longest
 for the number of the host's pages it stands on, so neither a long footer nor a changing advert tells pages apart. Since a host may have one page only, elements that by tag, role, class or id
 are menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts or styles go as well; a class or id is a sign
 as a whole name, not by a word in it (``site-footer``, ``related-posts``; not ``has-sidebar``, ``related-work``), and no sign takes a
@@ -19,6 +19,7 @@ rows; extra columns are not read.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
@@ -54,12 +55,15 @@ ROLES = _words("navigation banner contentinfo complementary search form dialog a
 SIGNS = _words("""nav navbar navigation menu breadcrumb breadcrumbs masthead footer sidebar aside widget widgets ad ads
 advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice
 notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related
-recommended comment comments disqus discussion replies reply respond toolbar pagination pager copyright disclaimer
+recommended note dialog comment comments disqus discussion replies reply respond toolbar pagination pager copyright disclaimer
 announcement privacy topbar subnav crumbs colophon adsense adslot adbox promos banners side rail commentlist commentform
 searchform sharebar topnav""")
 #: Names that within an article may be its subject, so that alone they are no sign there.
 SUBJECTS = _words("""ad ads privacy disclaimer announcement discussion promotion recommended related copyright overlay respond reply
-replies rail side social consent banner subscription notice alert menu""")
+replies rail side social consent banner subscription notice alert menu note""")
+#: Those of them that are a sign there too where they name a box, not a paragraph, heading or part of one.
+BOXED = _words("ad ads banner alert notice respond reply replies subscription consent overlay social rail")
+BOXES = _words("div section aside ul ol dl table iframe form fieldset details dialog header footer")
 #: Words that say which part or place of a sign a name is about, and words that say that something else has or lacks it.
 PARTS = _words("""list lists link links button buttons box bar wrapper wrap container block section area panel inner outer form slot
 unit row column col top bottom left right header title head body site page post posts article articles item items icons icon media
@@ -79,13 +83,15 @@ END_OF_RAW = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 
 
 @lru_cache(maxsize=1 << 16)
-def sign_of(name: str, within: bool = False) -> frozenset:
-    """The signs of a class or id name, none if the name as a whole is about something else."""
+def sign_of(name: str, within: bool = False, box: bool = False) -> frozenset:
+    """The signs of a class or id name, none if the name as a whole is about something else. ``within``: it stands in an article, ``box``: on an
+    element that holds others."""
     tokens = [t.lower() for t in TOKEN.findall(name)]
     held = frozenset(tokens) & SIGNS
-    if not held or not HAVING.isdisjoint(tokens) or within and len(tokens) == 1 and held <= SUBJECTS:
+    subjects = SUBJECTS - BOXED if box else SUBJECTS
+    if not held or not HAVING.isdisjoint(tokens) or within and len(tokens) == 1 and held <= subjects:
         return frozenset()
-    if tokens[-1] in SIGNS and not (within and tokens[-1] in SUBJECTS and tokens[0] not in SIGNS | PARTS):
+    if tokens[-1] in SIGNS and not (within and tokens[-1] in subjects and tokens[0] not in SIGNS | PARTS):
         return held
     return held if all(t in SIGNS or t in PARTS for t in tokens) else frozenset()
 
@@ -98,6 +104,7 @@ class Page:
         self.signed: dict[int, frozenset] = {}  # elements that go by a sign alone
         self.blocks: list[tuple[str, int]] = []
         self._stack, self._parts, self._own = [0], [], [[]]
+        self._open, self._roots = Counter(), 0  # open elements by name, and open marked parts
         self._before: dict[int, list[str]] = {}  # text that an inline element outside the article interrupts
         self._parse(html)
         self._flush()
@@ -106,19 +113,20 @@ class Page:
 
     def _settle(self) -> None:
         """Where signs take every marked article, those that are no comments give the elements around it back."""
-        marked = [(e, [a for a in self._above(e) if self.out[a]]) for e in range(len(self.tag)) if self.root[e]]
-        if marked and all(outside for _, outside in marked):
-            for _, outside in marked:
-                if all(a in self.signed and COMMENTS.isdisjoint(self.signed[a]) for a in outside):
-                    for a in outside:
-                        self.out[a] = False
-
-    def _above(self, element: int) -> list[int]:
-        found = []
-        while element > 0:
-            found.append(element)
-            element = self.parent[element]
-        return found
+        n = len(self.tag)
+        covered, kept_out = [False] * n, [False] * n  # by any element outside the article; by one that no sign alone put there, or comments
+        for e in range(1, n):
+            up = self.parent[e]
+            covered[e] = covered[up] or self.out[e]
+            kept_out[e] = kept_out[up] or self.out[e] and not (e in self.signed and COMMENTS.isdisjoint(self.signed[e]))
+        roots = [e for e in range(n) if self.root[e]]
+        if roots and all(covered[e] for e in roots):
+            seen: set[int] = set()
+            for e in roots:
+                while not kept_out[e] and e > 0 and e not in seen:
+                    seen.add(e)
+                    self.out[e] = False
+                    e = self.parent[e]
 
     def _parse(self, html: str) -> None:
         at, n = 0, len(html)
@@ -158,6 +166,8 @@ class Page:
         import xxhash
 
         element, own = self._stack.pop(), self._own.pop()
+        self._open[self.tag[element]] -= 1
+        self._roots -= self.root[element]
         if element in self._before:
             self._parts = self._before.pop(element)
         if own:
@@ -197,6 +207,8 @@ class Page:
             self._before[len(self.tag) - 1], self._parts = self._parts, []
         self._stack.append(len(self.tag) - 1)
         self._own.append([])
+        self._open[name] += 1
+        self._roots += root
 
     def _kind(self, name: str, attributes: str) -> tuple[bool, bool, frozenset]:
         """(is outside any article, marks the article, the signs by which alone it is outside)."""
@@ -210,7 +222,7 @@ class Page:
         role = held.get("role", "").lower()
         names = f"{held.get('class', '')} {held.get('id', '')}".split()
         within = self._within()
-        signs = frozenset().union(*[sign_of(x, within) for x in names])
+        signs = frozenset().union(*[sign_of(x, within, name in BOXES) for x in names])
         if role == "main" or "articlebody" in held.get("itemprop", "").lower() or name in BLOCKS and not MAIN.isdisjoint(x.lower() for x in names):
             root = True
         if name in ("html", "body", "main") or name == "article" and not signs & (COMMENTS | {"ad", "ads"}):
@@ -221,9 +233,11 @@ class Page:
         return other or bool(signs), root and not other and not signs, none if other else signs
 
     def _within(self) -> bool:
-        return any(self.root[e] for e in self._stack)
+        return self._roots > 0
 
     def _close(self, names: frozenset) -> None:
+        if not any(self._open[name] for name in names):
+            return
         for depth in range(len(self._stack) - 1, 0, -1):
             name = self.tag[self._stack[depth]]
             if name in names:
@@ -236,6 +250,8 @@ class Page:
     def _end(self, name: str) -> None:
         if name in BLOCKS:
             self._flush()
+        if not self._open[name]:
+            return
         for depth in range(len(self._stack) - 1, 0, -1):
             if self.tag[self._stack[depth]] == name:
                 self._pop_to(depth)
@@ -250,24 +266,33 @@ class Page:
         return marks
 
     def subtrees(self) -> list[tuple[int, bool | None, int]]:
-        """(hash, inside, longest own block) of the subtrees with text that no sign has deleted already; inside is null for
-        those that are never deleted: the marked parts and the page as a whole."""
+        """(hash, inside, longest own block) of the subtrees with text, those that a sign takes included, what lies in them not; inside is null for
+        those that are never deleted by recurrence: the marked parts and the page as a whole."""
         longest: dict[int, int] = {}
         for text, e in self.blocks:
             longest[e] = max(longest.get(e, 0), len(text))
         found: dict[tuple, int] = {}
-        for e, (deleted, inside) in enumerate(self._marks(set())):
-            if self.digest[e] and not deleted:
+        marks = self._marks(set())
+        for e, (deleted, inside) in enumerate(marks):
+            if self.digest[e] and not (e and marks[self.parent[e]][0]):
                 key = (self.digest[e], None if self.root[e] or self.tag[e] in ("html", "body", "") else inside)
-                found[key] = max(found.get(key, 0), longest.get(e, 0))
+                # Blocks that a sign takes do not tell pages apart.
+                found[key] = max(found.get(key, 0), 0 if deleted else longest.get(e, 0))
         return [(*key, n) for key, n in found.items() if key[1] is not None or n]
 
     def text(self, drop: set[int]) -> str:
-        marks = self._marks(drop)
+        return self.extracted(drop)[0]
+
+    def extracted(self, drop: set[int]) -> tuple[str, int, int]:
+        """(text, subtrees deleted because they recur, subtrees with text deleted by a sign alone)."""
+        marks, recurring, signed = self._marks(drop), 0, 0
+        for e in range(1, len(self.tag)):
+            if self.digest[e] and marks[e][0] and not marks[self.parent[e]][0]:
+                recurring, signed = (recurring + 1, signed) if self.digest[e] in drop else (recurring, signed + 1)
         kept = [(text, marks[e][1]) for text, e in self.blocks if not marks[e][0]]
         if any(inside for _, inside in kept):
             kept = [x for x in kept if x[1]]
-        return "\n\n".join(text for text, _ in kept)
+        return "\n\n".join(text for text, _ in kept), recurring, signed
 
 
 def host_of(url):
@@ -289,10 +314,11 @@ def _subtree_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "html"):
-            texts = [Page(html).text(set(drop or ())) if html else ""
+            found = [Page(html).extracted(set(drop or ())) if html else ("", 0, 0)
                      for html, drop in zip(part.column("html").to_pylist(), part.column("drop").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [part.column("page_id"), part.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+                [part.column("page_id"), part.column("url"), *[pa.array(c, k) for c, k in zip(
+                    zip(*found, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)]], names=["page_id", "url", "text", "n_recurring", "n_signed"])
 
 
 def templates(pages: DataFrame) -> DataFrame:
@@ -317,11 +343,12 @@ def templates(pages: DataFrame) -> DataFrame:
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text) of every page."""
+    """(page_id, url, text, n_recurring, n_signed) of every page: its text, how many of its subtrees were deleted because they recur on the host, and
+    how many others with text by a sign alone."""
     pages = pages.select("page_id", "url", "html", row_key("page_id", "url", "html").alias("key"))
     drops = written(templates(pages), "page-templates")
     held = drops.agg(F.count("*"), F.sum(F.size("drop"))).first()
     drops = F.broadcast(drops) if 64 * held[0] + 8 * (held[1] or 0) <= BROADCAST_BYTES else drops
     both = pages.join(drops, "key", "left").select("page_id", "url", "html", "drop")
-    schema = "page_id {}, url string, text string".format(pages.schema["page_id"].dataType.simpleString())
+    schema = "page_id {}, url string, text string, n_recurring long, n_signed long".format(pages.schema["page_id"].dataType.simpleString())
     return both.mapInArrow(_texts, schema)
