@@ -60,7 +60,7 @@ def test_adverts_and_notices_inside_an_article():
     inside = ('<article><p>Two</p><div class="ad">Buy</div><div class="banner">B</div><div class="alert">A</div><section class="subscription">S</section>'
               '<div id="respond">Leave a reply</div><p class="alert">Kept</p><h2 class="banner">Kept too</h2></article>')
     assert html.Page(inside).extracted(set()) == ("Two\n\nKept\n\nKept too", 0, 5)
-    assert html.Page('<div class="modal-dialog">x</div><div class="note">n</div><p>text').text(set()) == ("text", 0, 2)
+    assert html.Page('<div class="modal-dialog">x</div><div class="note">n</div><p>text').extracted(set()) == ("text", 0, 2)
     assert html.Page('<div class="comments"><article><p>c</p></article></div>').text(set()) == ""
     assert html.Page('<div class="sidebar"><article><p>c</p></article></div>').text(set()) == "c"
 

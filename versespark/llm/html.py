@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import row_key, slices, written
 
-#: A subtree is template from this many different pages of a host on, and this share of them or this larger number.
+#: A subtree is template from this many different pages of a host on, and this share of them or this larger number; one with a sign needs no share.
 LEAST_PAGES, LEAST_SHARE, MANY_PAGES = 3, 0.10, 25
 INSIDE_PAGES, INSIDE_SHARE = 5, 0.60
 #: The lists of subtrees to delete are broadcast up to this many bytes, joined by shuffle beyond.
@@ -265,20 +265,21 @@ class Page:
             marks.append((deleted or self.out[e] or self.digest[e] in drop, inside or self.root[e]))
         return marks
 
-    def subtrees(self) -> list[tuple[int, bool | None, int]]:
-        """(hash, inside, longest own block) of the subtrees with text, those that a sign takes included, what lies in them not; inside is null for
-        those that are never deleted by recurrence: the marked parts and the page as a whole."""
+    def subtrees(self) -> list[tuple[int, bool | None, int, bool]]:
+        """(hash, inside, longest own block, has a sign) of the subtrees with text, those that a sign takes included, what lies in them not; inside is
+        null for those that are never deleted by recurrence: the marked parts and the page as a whole."""
         longest: dict[int, int] = {}
         for text, e in self.blocks:
             longest[e] = max(longest.get(e, 0), len(text))
-        found: dict[tuple, int] = {}
+        found: dict[tuple, tuple[int, bool]] = {}
         marks = self._marks(set())
         for e, (deleted, inside) in enumerate(marks):
             if self.digest[e] and not (e and marks[self.parent[e]][0]):
                 key = (self.digest[e], None if self.root[e] or self.tag[e] in ("html", "body", "") else inside)
                 # Blocks that a sign takes do not tell pages apart.
-                found[key] = max(found.get(key, 0), 0 if deleted else longest.get(e, 0))
-        return [(*key, n) for key, n in found.items() if key[1] is not None or n]
+                size, signed = found.get(key, (0, False))
+                found[key] = max(size, 0 if deleted else longest.get(e, 0)), signed or deleted
+        return [(*key, *x) for key, x in found.items() if key[1] is not None or x[0]]
 
     def text(self, drop: set[int]) -> str:
         return self.extracted(drop)[0]
@@ -304,11 +305,11 @@ def _subtree_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for part in slices(batch, "html"):
             rows = [(key, host, *found) for key, host, html in zip(*[part.column(c).to_pylist() for c in ("key", "host", "html")], strict=True)
                     for found in Page(html).subtrees()]
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            kinds = (pa.binary(), pa.string(), pa.int64(), pa.bool_(), pa.int32())
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            kinds = (pa.binary(), pa.string(), pa.int64(), pa.bool_(), pa.int32(), pa.bool_())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-                names=["key", "host", "digest", "inside", "size"])
+                names=["key", "host", "digest", "inside", "size", "signed"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,19 +325,19 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def templates(pages: DataFrame) -> DataFrame:
     """(key, drop): for each page that has any, the hashes of its template subtrees."""
     found = written(pages.where("html <> ''").select("key", host_of(F.col("url")).alias("host"), "html").mapInArrow(
-        _subtree_rows, "key binary, host string, digest long, inside boolean, size int"), "page-subtrees")
+        _subtree_rows, "key binary, host string, digest long, inside boolean, size int, signed boolean"), "page-subtrees")
     # Joined back, the counts are plain written tables, so that adaptive execution may split hot hosts and blocks.
     own = found.where("size > 0").select("key", "host", "digest", "size").groupBy("key", "host", "digest").agg(F.max("size").alias("size"))
     often = written(own.groupBy("host", "digest").agg(F.count("*").alias("n")).where("n > 1"), "page-blocks")
     weight = F.col("size") / F.coalesce("n", F.lit(1))
     told = own.join(often, ["host", "digest"], "left").groupBy("key").agg(F.max(F.struct(weight.alias("w"), "digest"))["digest"].alias("told"))
-    found = found.join(told, "key").select("key", "host", "digest", "inside", "told")
+    found = found.join(told, "key").select("key", "host", "digest", "inside", "signed", "told")
     per_host = found.select("host", "told").distinct().groupBy("host").agg(F.count("*").alias("pages"))
     found = found.where("inside IS NOT NULL")
-    counted = found.select("host", "digest", "inside", "told").distinct().groupBy("host", "digest", "inside").agg(
-        F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES)
+    counted = found.groupBy("host", "digest", "inside", "told").agg(F.max("signed").alias("signed")).groupBy("host", "digest", "inside").agg(
+        F.count("*").alias("n"), F.max("signed").alias("signed")).where(F.col("n") >= LEAST_PAGES)
     enough = F.when(F.col("inside"), (F.col("n") >= INSIDE_PAGES) & (F.col("n") >= INSIDE_SHARE * F.col("pages"))).otherwise(
-        (F.col("n") >= LEAST_SHARE * F.col("pages")) | (F.col("n") >= MANY_PAGES))
+        F.col("signed") | (F.col("n") >= LEAST_SHARE * F.col("pages")) | (F.col("n") >= MANY_PAGES))
     recurring = written(counted.join(per_host, "host").where(enough).select("host", "digest", "inside"), "page-recurring")
     return found.join(recurring, ["host", "digest", "inside"]).groupBy("key").agg(
         F.collect_set("digest").alias("drop"))
