@@ -309,10 +309,11 @@ def brute_licences(text):
     places = [(i, label) for i in range(len(words)) for phrase, label in licenses.PHRASES.items() if words[i:i + len(phrase.split())] == phrase.split()]
     base = {label for _, label in places}
     labels, best = set(base), 1.0 if places else 0.0
-    for line in (text or "").split("\n"):
-        held = set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", line.lower()))
-        for label, wanted in licenses.template_words(licenses.TEMPLATES):
-            share = len(held & set(wanted)) / len(wanted)
+    for block in re.split(r"\n[\x00-\x2F\x3A-\x60\x7B-\x7F]*\n", text or ""):
+        held = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", block.lower())
+        for label, wanted in licenses.template_words(licenses.TEMPLATES + licenses.WHOLE_TEXTS):
+            size = 2 * len(wanted)
+            share = max((len(set(held[i:i + size]) & set(wanted)) for i in range(len(held)) if held[i] in wanted), default=0) / len(wanted)
             if share >= licenses.CONTAINMENT - 1e-9:
                 labels.add(label)
                 best = max(best, share)
@@ -324,11 +325,23 @@ def test_licence_scan(spark, odd):
     lines = [t for _, t in licenses.TEMPLATES] + ["cc by cc by, CC-BY", "ALL rights  reserved!", "Released by us under the fine MIT open License",
                                                  "general\npublic\nlicense", "Licensed under Apache License 2.0 the", "rights reserved"]
     rows = [(i, f"{prose(i, 10)}\n{t}\n{prose(i + 50, 10)}") for i, t in enumerate(lines)] + [(99, " ".join(lines)), (99, " ".join(lines))]
+    draw = random.Random(7)
+    for i, (_, t) in enumerate(licenses.TEMPLATES + licenses.WHOLE_TEXTS):
+        w = t.split()
+        scattered = [x for word in w for x in [word, *prose(draw.randrange(10**6), 40).split()]]
+        some = [x for x in w if draw.random() < 0.93]
+        wrapped = "\n".join(" ".join(w[k:k + 5]) for k in range(0, len(w), 5))
+        rows += [(200 + 4 * i, " ".join(scattered)), (201 + 4 * i, "\n".join(scattered)), (202 + 4 * i, f"{prose(i, 30)} {' '.join(some)} {prose(i, 9)}"),
+                 (203 + 4 * i, f"{prose(i, 30)}\n \n{wrapped}\n\n{prose(i, 9)}")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").unionByName(odd.select("doc_id", "text"))
     got = sorted((tuple(r[1:7]) + (round(r[7], 9),) for r in licenses.scan(docs).collect()), key=str)
     want = sorted((brute_licences(r["text"])[:6] + (round(brute_licences(r["text"])[6], 9),) for r in docs.collect()), key=str)
     assert got == want
     assert licenses.scan(docs.limit(0)).count() == 0
+    by = {r["doc_id"]: (r["base_labels"], r["labels"]) for r in licenses.scan(docs).collect()}
+    for i, (label, _) in enumerate(licenses.TEMPLATES + licenses.WHOLE_TEXTS):
+        assert label in by[203 + 4 * i][1].split(",")
+        assert by[200 + 4 * i][0] == by[200 + 4 * i][1] and by[201 + 4 * i][0] == by[201 + 4 * i][1]  # scattered words are no statement
 
 
 # 8 ---------------------------------------------------------------------------------------------------------------

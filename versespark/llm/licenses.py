@@ -1,12 +1,11 @@
 """Licence scan: phrases in place, and an exact containment join of text blocks with templates.
 
-Blocks are the lines of a text, and the windows of a paragraph's words that are twice as long as a template, so that a
-statement wrapped over several lines is one block too; both as sets of words. A block carries a template's label when it holds at
-least ``CONTAINMENT`` of the template's distinct words. Paragraphs are joined as a whole, which loses no window of theirs, and the
-windows of the pairs found decide. The join is exact and prefix-filtered: words of the
-templates are ranked by their frequency over all lines of the corpus, rarest first; a block and a
+Blocks are the paragraphs of a text, that is its stretches between blank lines, so that a statement wrapped over several lines is in one block. A
+block carries a template's label when some window of its words, twice as long as the template has distinct ones, holds at least ``CONTAINMENT`` of
+these. Blocks are joined as sets of words, which loses no window of theirs, and the windows of the pairs found decide. The join
+is exact and prefix-filtered: words of the templates are ranked by their frequency over all blocks of the corpus, rarest first; a block and a
 template that overlap in ``need`` words share one of the first ``size - need + 1`` of either side;
-length and place bound the overlap still possible; what is left is verified by intersection.
+length and place bound the overlap still possible; what is left is verified by intersection, then by windows.
 Words outside every template cannot overlap, so blocks are cut down to template words first.
 
 Everything is DataFrame expressions. The templates are a parameter, statements or whole licence texts; only their words' counts, bounded
@@ -40,8 +39,26 @@ TEMPLATES = [
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("public-domain", "This work is dedicated to the public domain"),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("reserved", "All rights reserved"),
 ]
+#: Whole licence texts.
+WHOLE_TEXTS = [
+    ("mit", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the
+"Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute,
+sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS
+IN THE SOFTWARE."""),
+    ("isc", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the
+above copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES
+WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN
+CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
+]
 CONTAINMENT = 0.85
 
 
@@ -83,33 +100,28 @@ def template_words(templates: list[tuple[str, str]]) -> list[tuple[str, list[str
             for label, text in templates]
 
 
-def _blocks(docs: DataFrame, lines_only: bool = False) -> DataFrame:
-    """(doc_id, digest, line, kind, run, words): the lines, and the paragraphs of several lines with their words in order."""
-    text = _lines(F.col("text"))
-    paragraphs = F.filter(F.transform(F.split(text, r"\n *(?:\n *)+"), lambda x: F.btrim(x, F.lit(" \n"))), lambda x: F.contains(x, F.lit("\n")))
-    parts = F.transform(F.split(text, "\n"), lambda x: F.struct(F.lit(0).alias("kind"), F.btrim(x).alias("run")))
-    if not lines_only:
-        parts = F.concat(parts, F.transform(paragraphs, lambda x: F.struct(F.lit(1).alias("kind"), F.regexp_replace(x, "[ \n]+", " ").alias("run"))))
-    rows = docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("digest"), F.posexplode(parts).alias("line", "p"))
-    return rows.select("doc_id", "digest", "line", "p.kind", "p.run", F.array_distinct(F.split("p.run", " ")).alias("words"))
+def _blocks(docs: DataFrame) -> DataFrame:
+    """(doc_id, digest, block, run, words): the paragraphs, their words in order and as a set."""
+    runs = F.transform(F.split(_lines(F.col("text")), r"\n *(?:\n *)+"), lambda x: F.btrim(F.translate(x, "\n", " ")))
+    rows = docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("digest"), F.posexplode(F.filter(runs, lambda x: x != "")).alias("block", "run"))
+    return rows.select("doc_id", "digest", "block", "run", F.array_distinct(F.split("run", " +")).alias("words"))
 
 
-def _in_a_window(run: Column, words: Column, size: Column, need: Column) -> Column:
-    """Does some window of ``size`` words of ``run`` hold ``need`` of ``words``? Only words of theirs open one."""
-    return F.element_at(F.transform(F.array(F.split(run, " ")), lambda w: F.exists(
-        F.sequence(F.lit(1), F.size(w)), lambda i: F.array_contains(words, F.element_at(w, i)) & (
-            F.size(F.array_intersect(F.slice(w, i, size), words)) >= need))), 1)
+def _best_window(run: Column, words: Column, size: Column) -> Column:
+    """The most of ``words`` in a window of ``size`` words of ``run``. Only words of theirs open one."""
+    return F.element_at(F.transform(F.array(F.split(run, " +")), lambda w: F.array_max(F.transform(
+        F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: F.array_contains(words, F.element_at(w, i))),
+        lambda i: F.size(F.array_intersect(F.slice(w, i, size), words))))), 1)
 
 
-def contained_templates(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
+def contained_templates(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES + WHOLE_TEXTS,
                         containment: float = CONTAINMENT) -> DataFrame:
-    """(doc_id, digest, line, label, score) of each block and template label it contains."""
+    """(doc_id, digest, block, label, score) of each block and template label it contains."""
     sets = template_words(templates)
     vocabulary = sorted({w for _, words in sets for w in words})
     known = F.array(*map(F.lit, vocabulary))
     blocks = _blocks(docs)
-    counts = dict(  # every word of a paragraph stands in a line too
-        _blocks(docs, lines_only=True).select(F.explode(F.array_intersect("words", known)).alias("word")).groupBy("word").count().collect())
+    counts = dict(blocks.select(F.explode(F.array_intersect("words", known)).alias("word")).groupBy("word").count().collect())
     rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
     needs = [max(1, math.ceil(containment * len(words) - 1e-9)) for _, words in sets]
     rare = {w for (_, words), need in zip(sets, needs, strict=True)
@@ -124,17 +136,16 @@ def contained_templates(docs: DataFrame, templates: list[tuple[str, str]] = TEMP
 
     ranks = F.create_map(*[F.lit(x) for pair in rank.items() for x in pair])
     held = blocks.where(F.arrays_overlap("words", F.array(*map(F.lit, sorted(rare))))).select(
-        "doc_id", "digest", "line", "kind", "run",
+        "doc_id", "digest", "block", "run",
         F.sort_array(F.transform(F.array_intersect("words", known), lambda w: ranks[w])).alias("a"))
     held = held.where(F.size("a") >= min(needs)).select(
         "*", F.posexplode(F.slice("a", F.lit(1), F.size("a") - (min(needs) - 1))).alias("i", "r"))
     left = F.least(F.size("a") - F.col("i"), F.size("b") - F.col("j"))
     pairs = held.join(F.broadcast(wanted), "r").where(
         (F.size("a") >= F.col("need")) & (F.col("i") <= F.size("a") - F.col("need")) & (left >= F.col("need")))
-    shared = F.size(F.array_intersect("a", "b"))
-    pairs = pairs.where(shared >= F.col("need")).where(
-        (F.col("kind") == 0) | _in_a_window(F.col("run"), F.col("own"), 2 * F.size("own"), F.col("need")))
-    return pairs.select("doc_id", "digest", "line", "label", (shared / F.size("b")).alias("score"))
+    pairs = pairs.where(F.size(F.array_intersect("a", "b")) >= F.col("need")).select(
+        "doc_id", "digest", "block", "label", "need", "own", _best_window(F.col("run"), F.col("own"), 2 * F.size("own")).alias("held"))
+    return pairs.where(F.col("held") >= F.col("need")).select("doc_id", "digest", "block", "label", (F.col("held") / F.size("own")).alias("score"))
 
 
 def scan(docs: DataFrame, **options) -> DataFrame:
