@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from versespark.llm import common, passages, simhash
@@ -76,6 +77,40 @@ def test_similar_documents_against_brute_force(spark):
     assert sum(got[i] == got[j] for i, j in links) >= 0.97 * len(links)
 
 
+@pytest.mark.parametrize("block", [1 << 17, 8, 3])
+def test_chains_over_block_borders(spark, block):
+    """A chain of rows that drifts away from its first stays one component, wherever the blocks of its key end; unlike rows stay apart."""
+    draw = np.random.default_rng(15)
+    rows = []
+    for chain in range(2):
+        bits = draw.integers(0, 2, 512, dtype=np.uint8)
+        for _ in range(40):
+            bits[draw.choice(512, 10, replace=False)] ^= 1
+            rows.append((7, len(rows), *np.packbits(bits, bitorder="little").view(np.int64).tolist()))
+    rows += [(9, i, *draw.integers(-2**62, 2**62, 8).tolist()) for i in range(100, 140)]
+    frame = spark.createDataFrame(rows, ["key", "node", *[f"s{i}" for i in range(8)]]).coalesce(1)
+    sure, most = simhash.differing_bits(0.8)
+    edges = simhash.candidate_pairs(frame, sure, most, pairwise=4, block=block).collect()
+    root = list(range(140))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b, d in edges:
+        assert d <= most
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    assert {find(i) for i in range(40)} == {0} and {find(i) for i in range(40, 80)} == {40} and len({find(i) for i in range(100, 140)}) == 40
+
+
+def test_rows_without_an_id_stay(spark):
+    rows = [(None, "a b c d e f g", 1), (None, "a b c d e f g", 1), (3, "h i j k l m n", 2), (3, "h i j k l m n", 2), (3, "other words stand in here now", 2), (4, "h i j k l m n", 5), (5, "p q r s t u v", 6)]
+    left = simhash.first_of_each(spark.createDataFrame(rows, "doc_id long, text string, _again int"))
+    assert left.columns == ["doc_id", "text", "_again"]
+    assert sorted(map(tuple, left.collect()), key=str) == sorted([rows[0], rows[1], rows[2], rows[4], rows[6]], key=str)
+
+
 def test_passages_against_brute_force(spark):
     """Passages that stand whole, edited once, or behind two documents that hold a half each."""
     draw, rows, planted = random.Random(12), [], []

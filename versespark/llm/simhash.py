@@ -313,9 +313,19 @@ def _pairs(keys: np.ndarray, nodes: np.ndarray, sketches: np.ndarray, sure: int,
                 yield np.array([[nodes[at]], [nodes[others[k]]], [d[k]]])
 
 
-def candidate_pairs(rows: DataFrame, sure: int, most: int, pairwise: int = PAIRWISE) -> DataFrame:
-    """Pairs (a, b, d) from rows (key, node, s0, s1, ...). A task streams the rows of a key in blocks; of a block, the first
-    row of each part goes on to the next."""
+def _cover(sketches: np.ndarray, radius: int) -> np.ndarray:
+    """Places of rows of which every row is within ``radius`` bits of one; earlier rows first."""
+    waiting, kept = np.arange(len(sketches)), []
+    while waiting.size:
+        kept.append(int(waiting[0]))
+        d = np.bitwise_count(sketches[waiting] ^ sketches[waiting[0]]).sum(axis=1, dtype=np.int32)
+        waiting = waiting[d > radius]
+    return np.array(kept, np.int64)
+
+
+def candidate_pairs(rows: DataFrame, sure: int, most: int, pairwise: int = PAIRWISE, block: int = BLOCK) -> DataFrame:
+    """Pairs (a, b, d) from rows (key, node, s0, s1, ...). A task streams the rows of a key in blocks. Of a block, rows go on to the next that cover the
+    others within ``most`` - ``sure`` bits, so a later row that is surely similar to any row before is within ``most`` bits of one that went on."""
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []  # the last key's rows, of which more may come
 
@@ -327,7 +337,7 @@ def candidate_pairs(rows: DataFrame, sure: int, most: int, pairwise: int = PAIRW
                 low, high = np.minimum(a, b), np.maximum(a, b)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (low, high)] + [pa.array(d, pa.int32())], names=["a", "b", "d"])
             if more:
-                held.append(data[:, np.unique(parts)])
+                held.append(data[:, _cover(np.ascontiguousarray(data[2:].T).view(np.uint64), most - sure)])
 
         for batch in batches:
             if not batch.num_rows:
@@ -339,7 +349,7 @@ def candidate_pairs(rows: DataFrame, sure: int, most: int, pairwise: int = PAIRW
             elif cut:
                 yield from edges_of([data[:, :cut]])
             held.append(data[:, cut:])
-            if sum(x.shape[1] for x in held[1:]) >= BLOCK:
+            if sum(x.shape[1] for x in held[1:]) >= block:
                 yield from edges_of([*held], more=True)
         if held:
             yield from edges_of([*held])
@@ -405,7 +415,10 @@ def first_of_each(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """
     from .passages import sized
 
-    rows, ids = docs.agg(F.count("*"), F.countDistinct("doc_id")).first()
-    unlike = docs if rows == ids else docs.distinct()  # equal rows share their doc_id
-    gone = similar_documents(docs, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return unlike.join(sized(written(gone, "similar-gone")), F.col("doc_id") == F.col("_gone"), "left_anti")
+    repeats = written(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
+    unlike = docs
+    if not repeats.isEmpty():  # only rows that share their doc_id with others are compared as a whole
+        again = sized(repeats)
+        unlike = docs.join(again, "doc_id", "left_anti").unionByName(docs.join(again, "doc_id", "left_semi").distinct()).select(docs.columns)
+    gone = similar_documents(docs, similarity).where("doc_id <> component_id").select("doc_id").distinct()
+    return unlike.join(sized(written(gone, "similar-gone")), "doc_id", "left_anti").select(docs.columns)
