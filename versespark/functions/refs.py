@@ -7,15 +7,16 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Characters cut from both ends of a source token, and the patterns of canonical and free-form references.
+#: The characters of white space in Unicode, those cut from both ends of a source token, and the patterns of canonical and free-form references.
+WHITE = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 TOKEN_EDGES = r""" ,;:.()\[\]{}<>"'"""
 CANONICAL = r"^([1-3]?[a-z]+)_(\d+):(\d+)$"
 FREE_FORM = r"^([1-3]?[a-z]+)(?:[_\s-]?)(\d+):(\d+)(?:-(\d+))?$"
 
 
 def strip(text: Column) -> Column:
-    """Cut Unicode white space from both ends (``trim`` cuts blanks only)."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Cut Unicode white space from both ends (``trim`` alone cuts blanks only)."""
+    return F.btrim(text, F.lit(WHITE))
 
 
 def normalize_reference(ref: Column) -> Column:

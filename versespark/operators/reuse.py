@@ -302,6 +302,13 @@ def align(hits: DataFrame, rows: DataFrame, options: ReuseOptions) -> DataFrame:
     return kept.select("verse", "chunk", "alg", "alg2", "begin", "begin2", "matches")
 
 
+def records_of(chunks: DataFrame, verses: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The records that stand in ``pairs`` (verse, chunk). Chunks are made only of the problems that have one in a pair."""
+    ids = pairs.select(F.col("verse").alias("id")).unionByName(pairs.select(F.col("chunk").alias("id"))).distinct()
+    problems = pairs.select(parse_chunk_id(F.col("chunk"))["problem_id"].alias("problem_id")).distinct()
+    return records(chunks.join(problems, "problem_id", "left_semi"), verses).join(ids, "id", "left_semi")
+
+
 def nested_output(aligned: DataFrame, rows: DataFrame) -> DataFrame:
     """One document per chunk: its text and one line with all witnesses."""
     texts = rows.select("id", "text")
@@ -362,11 +369,8 @@ def _some(chunks: DataFrame) -> None:
 def detect(chunks: DataFrame, verses: DataFrame, options: ReuseOptions) -> DataFrame:
     """The whole job up to nested output: n-grams, hits of candidate pairs, chains, alignment. No chunk at all is an error."""
     _some(chunks)
-    rows = records(chunks, verses)
-    hits = written(pair_hits(written(verse_grams(rows, options.n), "verse-grams"), options), "reuse-hits")
-    # Chunks are made twice in all: for their n-grams, and those of some pair for their texts.
-    ids = hits.select(F.col("verse").alias("id")).unionByName(hits.select(F.col("chunk").alias("id"))).distinct()
-    held = written(rows.join(ids, "id", "left_semi"), "reuse-rows")
+    hits = written(pair_hits(written(verse_grams(records(chunks, verses), options.n), "verse-grams"), options), "reuse-hits")
+    held = written(records_of(chunks, verses, hits), "reuse-rows")
     return nested_output(written(align(hits, held, options), "alignments"), held)
 
 

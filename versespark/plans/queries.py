@@ -120,8 +120,10 @@ def reuse_best(spark, d):
 
 
 def _inspected(spark, d, output):
-    chunks = v.chunks(spark, d).withColumn("chunk_id", refs.chunk_id(F.col("problem_id"), F.col("chunk_index")))
-    return reuse.match_inspection(reuse.flatten_output(output), chunks, v.verses(spark, d), evaluate.truth_pairs(v.gold_spans(spark, d)))
+    found = reuse.flatten_output(output)
+    chunks = v.chunks(spark, d).join(found.select("problem_id").distinct(), "problem_id", "left_semi").withColumn(
+        "chunk_id", refs.chunk_id(F.col("problem_id"), F.col("chunk_index")))
+    return reuse.match_inspection(found, chunks, v.verses(spark, d), evaluate.truth_pairs(v.gold_spans(spark, d)))
 
 
 @query

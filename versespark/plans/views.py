@@ -45,9 +45,11 @@ def gold_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = texts.select(F.col("problem_id").alias("id"), F.lit("task").alias("group"), "text").unionByName(
         first(SEED).where(F.length("verse") >= SEED).select(F.col("reference").alias("id"), F.lit("bible").alias("group"), F.col("gram").alias("text")))
     long = reuse.verse_grams(rows, SEED).where("group = 'task'").select(F.col("id").alias("problem_id"), "gram").distinct()
-    short = texts.select("problem_id", F.explode(F.array_distinct(F.split("text", ""))).alias("gram"))
-    pairs = long.join(first(SEED).where(F.length("verse") >= SEED), "gram").unionByName(
-        short.join(first(1).where(F.length("verse") < SEED), "gram")).select("problem_id", "reference", "verse")
+    pairs = long.join(first(SEED).where(F.length("verse") >= SEED), "gram")
+    brief = first(1).where(F.length("verse") < SEED)
+    if not brief.isEmpty():  # else no text is taken apart into characters
+        pairs = pairs.unionByName(texts.select("problem_id", F.explode(F.array_distinct(F.split("text", ""))).alias("gram")).join(brief, "gram"))
+    pairs = pairs.select("problem_id", "reference", "verse")
     quoted = F.concat(F.lit("\\Q"), F.replace("verse", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
     found = pairs.join(texts, "problem_id").where(F.contains("text", "verse")).withColumn("parts", F.split("text", quoted, -1))
     starts = F.transform(F.sequence(F.lit(1), F.size("parts") - 1), lambda k: F.aggregate(
@@ -95,8 +97,9 @@ def reuse_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def exact_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested output whose alignments are the longest runs in common."""
-    rows = reuse_records(spark, sf_dir)
-    return reuse.nested_output(reuse.exact_runs(shared(spark, sf_dir), rows, OPTIONS.n, OPTIONS.min_align), rows)
+    places = written(shared(spark, sf_dir), "shared-grams")
+    rows = written(reuse.records_of(chunks(spark, sf_dir), verses(spark, sf_dir), places.select("verse", "chunk").distinct()), "reuse-rows")
+    return reuse.nested_output(reuse.exact_runs(places, rows, OPTIONS.n, OPTIONS.min_align), rows)
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
