@@ -58,6 +58,11 @@ def span_preview(spans: DataFrame, problems: DataFrame, context: int = 50) -> Da
     return rows.withColumn("visual_snippet", empty(F.concat("left_context", F.lit("["), "quote_text", F.lit("]"), "right_context")))
 
 
+def skipped_spans(spans: DataFrame, problems: DataFrame) -> DataFrame:
+    """(problem_id, spans): the problems without text that spans name, whose spans no preview shows, and how many they are."""
+    return spans.join(problems.select("problem_id").distinct(), "problem_id", "left_anti").groupBy("problem_id").agg(F.count("*").alias("spans"))
+
+
 def verse_text_pairs(spans: DataFrame, verses: DataFrame) -> DataFrame:
     """(problem_id, span_index, pairs): ``ref :: text`` of each reference in order, ``[MISSING]`` if unknown."""
     rows = spans.select("problem_id", "span_index", F.posexplode("resolved_references").alias("pos", "reference"))

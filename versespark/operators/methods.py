@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.chunking import chunked, chunked_with_offsets
@@ -43,6 +43,30 @@ def run_user_method(problems: DataFrame, fn: Callable[[str, str, dict], list[dic
     return problems.select("problem_id", "text").mapInPandas(run, PREDICTION)
 
 
+def register_method(spark: SparkSession, name: str, fn: Callable[[str, str, dict], list[dict]], context: dict,
+                    setup: Callable[[dict], dict] | None = None) -> None:
+    """Make ``fn(problem_id, text, context)`` the SQL table function ``name``:
+
+    ``SELECT * FROM name(TABLE(problems) PARTITION BY problem_id)``, where the table has problem_id and text, gives (problem_id, reference, score,
+    method, error); a prediction that names no problem is of the one at hand. ``setup(context)`` gives the context that ``fn`` gets and runs once in a task, at its first problem. A problem
+    that fails is one row with its error, and the others go on.
+    """
+    ready: dict[str, dict] = {}
+
+    class Method:
+        def eval(self, row: Row) -> Iterator[tuple]:
+            try:
+                if "context" not in ready:
+                    ready["context"] = setup(context) if setup else context
+                found = [[x.get("problem_id", row["problem_id"]), *[x.get(n) for n in ("reference", "score", "method")]] for x in fn(row["problem_id"], row["text"], ready["context"])]
+                found = [(problem, ref, None if score is None else float(score), name, None) for problem, ref, score, name in found]
+            except Exception as e:  # noqa: BLE001  whatever the method raises
+                found = [(row["problem_id"], None, None, None, str(e))]
+            yield from found
+
+    spark.udtf.register(name, F.udtf(Method, returnType=f"{PREDICTION}, error string"))
+
+
 @method("embedding")
 def embedding_method(problems: DataFrame, collection: DataFrame, embed: Callable, mode: str = "sentence", k: int = 5,
                      threshold: float = 0.45, **chunking) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain, groupby
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +15,6 @@ from ..sources.files import write_dataset
 from ..sources.shared import written
 
 TEI = "{http://www.tei-c.org/ns/1.0}"
-SPAN = "array<struct<start:int,end:int,source:string>>"
 
 
 def _local(tag: object) -> str:
@@ -45,12 +44,78 @@ def _walk(element: ElementTree.Element) -> list:
     return pieces
 
 
-def paragraph(element: ElementTree.Element, marked: set[str]) -> tuple[str, list[tuple[int, int, str]]]:
-    """(text with white space collapsed, spans). Quotes whose source is in ``marked`` part words and give spans.
+#: What a document is parsed to: a row a paragraph, its text in pieces with the marks where quotes with a source open and close, and one row with
+#: ``para_no`` -1 with the sources of all quotes, the error, and the number of paragraphs of the document.
+PARSED = "problem_id string, para_no int, pieces array<struct<mark:string,number:int,text:string>>, sources array<string>, error string, paragraphs int"
+Parsed = tuple[str, int, list[tuple[str | None, int | None, str]] | None, list[str] | None, str | None, int | None]
+
+
+def _pieces(element: ElementTree.Element) -> list[tuple[str | None, int | None, str]]:
+    out: list[tuple[str | None, int | None, str]] = []
+    for text, group in groupby(_walk(element), lambda x: isinstance(x, str)):
+        out += [(None, None, "".join(group))] if text else list(group)
+    return out
+
+
+def parse(problem: str, blocks: Iterable[bytes | str]) -> Iterator[Parsed]:
+    """The ``PARSED`` rows of one document, given in blocks, in one pass; only the paragraph that is open is held.
+
+    Paragraphs are those of the first body, a paragraph within another one after it. A document that does not parse gives its paragraphs up to
+    there and the row with the error.
+    """
+    parser = ElementTree.XMLPullParser(("start", "end"))
+    open_: list[ElementTree.Element] = []
+    body, depth, number, sources = None, 0, 0, []
+    try:
+        for block in chain(blocks, [None]):
+            parser.feed(block) if block is not None else parser.close()
+            for event, element in parser.read_events():
+                if event == "start":
+                    if element.tag == f"{TEI}body" and body is None and open_:
+                        body = element
+                    depth += element.tag == f"{TEI}p" and body is not None and (depth > 0 or body in open_)
+                    if element.tag == f"{TEI}quote" and element.get("source") is not None:
+                        sources.append(element.get("source"))
+                    open_.append(element)
+                    continue
+                open_.pop()
+                if element.tag == f"{TEI}p" and depth:
+                    depth -= 1
+                    if not depth:
+                        for p in element.iter(f"{TEI}p"):
+                            yield problem, number, _pieces(p), None, None, None
+                            number += 1
+                if not depth and open_:
+                    open_[-1].remove(element)
+    except (ElementTree.ParseError, ValueError) as e:
+        yield problem, -1, None, [], str(e), number
+        return
+    yield problem, -1, None, sources, None, number
+
+
+def parsed_documents(documents: DataFrame) -> DataFrame:
+    """``PARSED`` rows of (problem_id, xml); a document that does not parse, or is null, is its error only."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece = pa.struct([("mark", pa.string()), ("number", pa.int32()), ("text", pa.string())])
+        kinds = (pa.string(), pa.int32(), pa.list_(piece), pa.list_(pa.string()), pa.string(), pa.int32())
+        for batch in batches:
+            for row in range(batch.num_rows):  # a document may be large
+                problem, xml = (batch.column(c)[row].as_py() for c in ("problem_id", "xml"))
+                rows = list(parse(problem, [xml])) if xml is not None else [(problem, -1, None, [], "no document", 0)]
+                rows = rows if rows[-1][4] is None else rows[-1:]
+                columns = list(zip(*rows, strict=True))
+                columns[2] = [None if x is None else [dict(zip(("mark", "number", "text"), y, strict=True)) for y in x] for x in columns[2]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
+                                                 names=["problem_id", "para_no", "pieces", "sources", "error", "paragraphs"])
+
+    return documents.select("problem_id", "xml").mapInArrow(run, PARSED)
+
+
+def paragraph(pieces: list[dict]) -> tuple[str, list[tuple[int, int, list[str]]]]:
+    """(text with white space collapsed, spans with their references). Quotes with references part words and give spans.
 
     A span starts at the length of the text so far, so the blank that joins it to the text before is inside.
     """
-    pieces = _walk(element)
     words, size, open_at, spans, glued = [], 0, {}, [], ""
 
     def flush(text: str) -> None:
@@ -60,67 +125,50 @@ def paragraph(element: ElementTree.Element, marked: set[str]) -> tuple[str, list
             words.append(word)
 
     for piece in pieces:
-        if isinstance(piece, str):
-            glued += piece
-        elif piece[2] in marked:
+        if piece["mark"] is None:
+            glued += piece["text"]
+        elif piece["references"]:
             flush(glued)
             glued = ""
-            kind, number, source = piece
-            if kind == "open":
-                open_at[number] = size
-            elif open_at[number] < size:
-                spans.append((open_at[number], size, source))
+            if piece["mark"] == "open":
+                open_at[piece["number"]] = size
+            elif open_at[piece["number"]] < size:
+                spans.append((open_at[piece["number"]], size, piece["text"], piece["references"]))
     flush(glued)
-    return " ".join(words), sorted(spans)
-
-
-def _parsed(sources_only: bool, marks: dict[str, list[str]] | None):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for problem, xml, *marked in frame.itertuples(index=False, name=None):
-                try:
-                    tree = ElementTree.fromstring(xml)
-                except (ElementTree.ParseError, ValueError, TypeError, RecursionError) as e:
-                    rows.append((problem, -1, None, [], str(e)))
-                    continue
-                if sources_only:
-                    found = [q.get("source") for q in tree.iter(f"{TEI}quote") if q.get("source") is not None]
-                    rows.append((problem, 0, None, [(0, 0, s) for s in found], None))
-                    continue
-                known = set(marked[0]) if marked and marked[0] is not None else set()
-                body = tree.find(f".//{TEI}body")
-                texts = [paragraph(p, known) for p in (body.iter(f"{TEI}p") if body is not None else [])]
-                rows += [(problem, i, text, spans, None) for i, (text, spans) in enumerate(texts)] or [(problem, -1, None, [], None)]
-            out = pd.DataFrame(rows, columns=["problem_id", "para_no", "text", "spans", "error"])
-            out["spans"] = pd.Series([[{"start": a, "end": b, "source": s} for a, b, s in x] for x in out["spans"]], dtype=object)
-            yield out
-    return run
-
-
-_SCHEMA = f"problem_id string, para_no int, text string, spans {SPAN}, error string"
+    return " ".join(words), [(a, b, refs) for a, b, _, refs in sorted(spans)]
 
 
 def quote_sources(documents: DataFrame) -> DataFrame:
-    """(problem_id, spans, error): the ``source`` of every TEI quote that has one; one row per document."""
-    return documents.select("problem_id", "xml").mapInPandas(_parsed(True, None), _SCHEMA).select("problem_id", "spans", "error")
+    """(problem_id, sources, error): the ``source`` of every TEI quote that has one; one row per document."""
+    return parsed_documents(documents).where("para_no < 0").select("problem_id", "sources", "error")
 
 
 def paragraphs(documents: DataFrame, books: dict[str, str], codes: list[str], on_error: str = "fail") -> DataFrame:
-    """(problem_id, para_no, text, spans, error); spans carry their resolved references. A file without paragraphs, or one
-    that does not parse, is one row with ``para_no`` -1 and no text.
+    """(problem_id, para_no, text, spans, error) of (problem_id, xml) documents, or of ``PARSED`` rows; spans carry their resolved references. A file
+    without paragraphs, or one that does not parse, is one row with ``para_no`` -1 and no text; other files have no such row.
 
-    Only quotes whose source resolves to references are marked, so sources are resolved first, once per distinct one.
+    A document is parsed once: the sources of its quotes are resolved as expressions on the parsed pieces, and text and spans are made of these.
     """
-    found = quote_sources(documents)
-    sources = found.select(F.explode("spans.source").alias("source")).distinct().withColumn(
-        "references", resolve_source(F.col("source"), books, codes, on_error)["references"]).where(F.size("references") > 0)
-    marked = found.select("problem_id", F.explode(F.array_distinct("spans.source")).alias("source")).join(sources, "source").groupBy(
-        "problem_id").agg(F.collect_list("source").alias("marked"))
-    parsed = documents.select("problem_id", "xml").join(marked, "problem_id", "left").mapInPandas(_parsed(False, None), _SCHEMA)
-    resolved = F.transform("spans", lambda s: F.struct(
-        s["start"].alias("start"), s["end"].alias("end"), resolve_source(s["source"], books, codes, on_error)["references"].alias("references")))
-    return parsed.withColumn("spans", resolved)
+    parsed = parsed_documents(documents) if "xml" in documents.columns else documents
+    references = lambda p: F.when(p["mark"].isNotNull(), resolve_source(p["text"], books, codes, on_error)["references"])
+    rows = parsed.withColumn("pieces", F.transform("pieces", lambda p: F.struct(p["mark"], p["number"], p["text"], references(p).alias("references"))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("references", pa.list_(pa.string()))])
+        for batch in batches:
+            out = []
+            for problem, number, pieces, error, count in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if number >= 0:
+                    text, spans = paragraph(pieces)
+                    out.append((problem, number, text, [{"start": a, "end": b, "references": r} for a, b, r in spans], None))
+                elif error is not None or not count:
+                    out.append((problem, -1, None, [], error))
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.list_(span), pa.string()), strict=True)],
+                                             names=["problem_id", "para_no", "text", "spans", "error"])
+
+    return rows.select("problem_id", "para_no", "pieces", "error", "paragraphs").mapInArrow(
+        run, "problem_id string, para_no int, text string, spans array<struct<start:int,end:int,references:array<string>>>, error string")
 
 
 def paragraph_offsets(rows: DataFrame) -> DataFrame:
@@ -149,8 +197,8 @@ def quote_statistics(documents: DataFrame, books: dict[str, str]) -> DataFrame:
     """(problem_id, quotes, mapped, error) per file: quotes with a source, and those with a token whose part before ``_`` is mapped."""
     edges = " ,;:.()\\[\\]{}<>\"'"
     token = lambda t: F.substring_index(F.regexp_replace(t, f"^[{edges}]+|[{edges}]+$", ""), "_", 1)
-    mapped = F.filter("spans", lambda s: F.exists(F.split(s["source"], r"(?U)\s+"), lambda t: token(t).isin(*books)))
-    return quote_sources(documents).select("problem_id", F.size("spans").alias("quotes"), F.size(mapped).alias("mapped"), "error")
+    mapped = F.filter("sources", lambda s: F.exists(F.split(s, r"(?U)\s+"), lambda t: token(t).isin(*books)))
+    return quote_sources(documents).select("problem_id", F.size("sources").alias("quotes"), F.size(mapped).alias("mapped"), "error")
 
 
 def quote_totals(documents: DataFrame, books: dict[str, str]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import refs
 from ..functions.chunking import chunked, chunked_with_offsets, token_budget_split
-from ..operators import annotations, evaluate, knn, responses, reuse, tei
+from ..operators import annotations, evaluate, knn, methods, responses, reuse, tei
 from ..sources import files
 from ..sources.shared import written
 from . import views as v
@@ -285,6 +285,26 @@ def span_preview(spark, d):
                        annotations.mark_snippet(F.col("visual_snippet")).alias("marked"))
 
 
+@query
+def skipped_spans(spark, d):
+    """Spans of a corpus of which every third text is gone."""
+    return annotations.skipped_spans(v.base_entries(spark, d), v.problems(spark, d).where("int(substring(problem_id, 5)) % 3 <> 0"))
+
+
+def _words_method(problem_id: str, text: str, context: dict) -> list[dict]:
+    if " " not in (text or ""):
+        raise ValueError("no words")
+    return [{"reference": f"bench_{len(text) % 20 + 1}:{text.count(' ') % 10 + 1}", "score": context["score"], "method": "words"}]
+
+
+@query
+def user_method_table(spark, d):
+    """A user's method as a table function in SQL; a problem that fails is a row."""
+    methods.register_method(spark, "run_method", _words_method, {"score": 0.5})
+    v.problems(spark, d).createOrReplaceTempView("method_problems")
+    return spark.sql("SELECT * FROM run_method(TABLE(method_problems) PARTITION BY problem_id)")
+
+
 @query
 def verse_text_pairs(spark, d):
     spans = v.table(spark, d, "documents").select(

@@ -118,6 +118,10 @@ SELECT problem_id, 0 AS chunk_index, (generate_subscripts(parts, 1) - 1)::INT AS
     "reuse_candidates_unbounded": f"""{_REUSE} SELECT b.id AS verse, t.id AS chunk, count(DISTINCT b.gram) AS shared FROM grams b JOIN grams t ON b.gram = t.gram
   WHERE b.grp = 'bible' AND t.grp = 'task' GROUP BY 1, 2 HAVING count(DISTINCT b.gram) >= 3""",
     "knn_index_recall": """SELECT count(*) FILTER (vec_id % 100 = 0) * least(10, count(*)) AS neighbours, true AS reached, true AS less_work FROM embeddings""",
+    "skipped_spans": "SELECT 'doc-' || doc_id AS problem_id, count(*) AS spans FROM documents WHERE doc_id % 3 = 0 GROUP BY 1",
+    "user_method_table": """WITH t AS (SELECT 'doc-' || doc_id AS problem_id, text, coalesce(contains(text, ' '), false) AS good FROM documents)
+SELECT problem_id, CASE WHEN good THEN 'bench_' || (length(text) % 20 + 1) || ':' || ((length(text) - length(replace(text, ' ', ''))) % 10 + 1) END AS reference,
+  CASE WHEN good THEN 0.5::DOUBLE END AS score, CASE WHEN good THEN 'words' END AS method, CASE WHEN NOT good THEN 'no words' END AS error FROM t""",
     "verse_intervals": """WITH known AS (SELECT DISTINCT item_id // 10 + 1 AS chapter, item_id % 10 + 1 AS verse FROM benchmark WHERE item_id % 7 <> 3),
 r AS (SELECT doc_id, doc_id % 30 + 1 AS chapter, n_chars % 12 + 1 AS s, CASE WHEN doc_id % 50 = 0 THEN 2000000000 ELSE n_chars % 12 + 4 END AS e FROM documents),
 k AS (SELECT doc_id, r.chapter, verse, verse - row_number() OVER (PARTITION BY doc_id ORDER BY verse) AS island FROM r JOIN known ON r.chapter = known.chapter WHERE verse BETWEEN s AND e)

@@ -120,9 +120,9 @@ def per_problem(predictions: DataFrame) -> DataFrame:
         x["reference"].alias("reference"), x["score"].alias("score"), x["method"].alias("method"))).alias("predictions"))
 
 
-def write_results(predictions: DataFrame, matches: DataFrame | None, folder: str) -> None:
-    """Predictions in their order, and matches as they come."""
-    in_prediction_order(predictions).write.mode("overwrite").json(f"{folder}/predictions")
+def write_results(predictions: DataFrame, matches: DataFrame | None, folder: str, by_score: bool = True) -> None:
+    """Predictions in their order, which for the reuse method is not ``by_score`` but by problem and reference, and matches as they come."""
+    in_prediction_order(predictions, by_score).write.mode("overwrite").json(f"{folder}/predictions")
     if matches is not None:
         matches.write.mode("overwrite").json(f"{folder}/matches")
 
