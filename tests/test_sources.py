@@ -5,10 +5,11 @@ from __future__ import annotations
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from versespark.operators import annotations, methods, tei
-from versespark.sources import files, tei_files
+from versespark.sources import collections, files, tei_files
 
 NS = 'xmlns="http://www.tei-c.org/ns/1.0"'
 BOOKS, CODES = {"Gen": "gen"}, ["gen"]
@@ -90,3 +91,30 @@ def test_writers(spark, tmp_path):
     spans = spark.createDataFrame([("p", 0), ("p", 1), ("q", 0), ("gone", 0), ("gone", 9)], "problem_id string, span_start int")
     problems = spark.createDataFrame([("p",), ("q",), ("q",)], "problem_id string")
     assert [tuple(r) for r in annotations.skipped_spans(spans, problems).collect()] == [("gone", 2)]
+
+
+def test_upsert_of_buckets(spark, tmp_path, monkeypatch):
+    """Only touched buckets are read and written; a stop before the manifest leaves the version before; two writers cannot both succeed."""
+    row, folder = "collection_name string, id string, row_index long, document string", str(tmp_path / "c")
+    table = lambda rows: spark.createDataFrame(rows, row)
+    assert collections.read_collections(spark, folder, row).count() == 0
+    old = [(f"c{i % 3}", f"v{i}", i, "old") for i in range(200)] + [("c0", "v0", 500, "newer old"), ("c0", None, 7, None)]
+    assert collections.upsert_into(table(old), folder, 16) == list(range(16))
+    first = collections.manifest(spark, folder)
+    new = [("c1", "v1", 1000, "new"), ("c2", "v2", 1001, "new"), ("c1", "v1", 1002, "newest")]
+    touched = collections.upsert_into(table(new), folder)
+    second = collections.manifest(spark, folder)
+    assert len(touched) <= 2 and all((second["places"][str(b)] == first["places"][str(b)]) == (b not in touched) for b in range(16))
+    key = lambda df: sorted(map(tuple, df.collect()), key=str)
+    want = key(files.upsert(files.upsert(table([]), table(old)), table(new)))
+    assert key(collections.read_collections(spark, folder).select("collection_name", "id", "row_index", "document")) == want
+    with monkeypatch.context() as m:
+        m.setattr(collections, "_commit", lambda *a: (_ for _ in ()).throw(RuntimeError("stopped")))
+        with pytest.raises(RuntimeError):
+            collections.upsert_into(table([("c1", "v1", 9000, "lost")]), folder)
+    assert collections.manifest(spark, folder) == second
+    with pytest.raises(RuntimeError, match="another job"):
+        collections._commit(spark, folder, second)
+    assert collections.upsert_into(table([]), folder) == []
+    assert collections.vacuum(spark, folder) == len(touched) + 1
+    assert key(collections.read_collections(spark, folder).select("collection_name", "id", "row_index", "document")) == want

@@ -12,6 +12,7 @@ from ..functions.chunking import chunked, chunked_with_offsets
 from ..functions.refs import chunk_id
 from ..sources.files import PREDICTION
 from .knn import embed_texts, embedding_pairs, top_k
+from .ledger import call_model_once, embed_texts_once
 from .responses import call_model, prompts, score_responses, verse_index
 from .reuse import ReuseOptions, best_pairs, detect, flatten_output
 
@@ -69,10 +70,12 @@ def register_method(spark: SparkSession, name: str, fn: Callable[[str, str, dict
 
 @method("embedding")
 def embedding_method(problems: DataFrame, collection: DataFrame, embed: Callable, mode: str = "sentence", k: int = 5,
-                     threshold: float = 0.45, **chunking) -> DataFrame:
-    """Chunk, embed, take the nearest verses, keep the best score per pair. ``collection``: (reference, embedding)."""
+                     threshold: float = 0.45, ledger: str | None = None, model: str = "", **chunking) -> DataFrame:
+    """Chunk, embed, take the nearest verses, keep the best score per pair. ``collection``: (reference, embedding). ``ledger`` names a
+    table of vectors of ``model``, so that no text is embedded twice."""
     chunks = chunked(problems, mode, **chunking).withColumn("query_id", chunk_id(F.col("problem_id"), F.col("chunk_index")))
-    near = top_k(embed_texts(chunks, embed).select("query_id", "embedding"), collection, k, threshold)
+    vectors = embed_texts_once(chunks, embed, ledger, model) if ledger else embed_texts(chunks, embed)
+    near = top_k(vectors.select("query_id", "embedding"), collection, k, threshold)
     return embedding_pairs(near.join(chunks.select("query_id", "problem_id"), "query_id"))
 
 
@@ -85,6 +88,9 @@ def reuse_method(problems: DataFrame, verses: DataFrame, mode: str = "sentence_w
 
 @method("prompting")
 def prompting_method(problems: DataFrame, verses: DataFrame, aliases: dict[str, str], codes: list[str], complete: Callable,
-                     instruction: str = "Name every verse that the text quotes, as JSON.", mode: str = "full", **chunking) -> DataFrame:
-    answers = call_model(prompts(chunked(problems, mode, **chunking), codes, instruction), complete)
+                     instruction: str = "Name every verse that the text quotes, as JSON.", mode: str = "full", ledger: str | None = None,
+                     model: str = "", **chunking) -> DataFrame:
+    """``ledger`` names a table of answers of ``model``, so that none is asked for twice."""
+    asked = prompts(chunked(problems, mode, **chunking), codes, instruction)
+    answers = call_model_once(asked, complete, ledger, model) if ledger else call_model(asked, complete)
     return score_responses(answers.where("error IS NULL"), verse_index(verses), aliases, codes)

@@ -375,8 +375,17 @@ def detect(chunks: DataFrame, verses: DataFrame, options: ReuseOptions) -> DataF
 
 
 def run_counts(chunks: DataFrame, verses: DataFrame, pairs: DataFrame, matches: DataFrame) -> DataFrame:
-    """(name, n): chunks, verses, distinct pairs, matches and selected problems of a run."""
-    one = lambda name, df, count=F.count("*"): df.agg(count.alias("n")).select(F.lit(name).alias("name"), "n")
-    parts = [one("chunks", chunks), one("verses", verses), one("pairs", pairs.select(*PAIR).distinct()), one("matches", matches),
-             one("selected_problems", chunks, F.countDistinct("problem_id"))]
+    """(name, n): chunks, verses, distinct pairs, matches and selected problems of a run; each table is read once.
+
+    Counted after the writes: a metric observed on the way would count a lost executor's rows twice.
+    """
+    def counted(df: DataFrame, keys: list[str], **names: str) -> DataFrame:
+        sums = {"rows": F.coalesce(F.sum("n"), F.lit(0)), "groups": F.count(keys[0])}
+        wanted = F.array(*[F.struct(F.lit(name).alias("name"), sums[what].alias("n")) for what, name in names.items()])
+        return df.groupBy(*keys).agg(F.count("*").alias("n")).agg(wanted.alias("x")).select(F.inline("x"))
+
+    parts = [counted(chunks, ["problem_id"], rows="chunks", groups="selected_problems"),
+             verses.agg(F.count("*").alias("n")).select(F.lit("verses").alias("name"), "n")]
+    parts += [counted(matches, PAIR, rows="matches", groups="pairs")] if pairs is matches else [
+        counted(pairs, PAIR, groups="pairs"), matches.agg(F.count("*").alias("n")).select(F.lit("matches").alias("name"), "n")]
     return reduce(DataFrame.unionByName, parts)

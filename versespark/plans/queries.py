@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import refs
 from ..functions.chunking import chunked, chunked_with_offsets, token_budget_split
 from ..operators import annotations, evaluate, knn, methods, responses, reuse, tei
-from ..sources import files
-from ..sources.shared import written
+from ..sources import collections, files
+from ..sources.shared import shared_dir, written
 from . import views as v
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -355,6 +356,16 @@ def vector_upsert(spark, d):
     return files.upsert(rows, rows.where("row_index % 3 = 0").withColumn("document", F.lit("new")))
 
 
+@query
+def vector_upsert_buckets(spark, d):
+    """The same by way of a table in buckets, of which an upsert rewrites those that it touches."""
+    folder = f"{shared_dir(spark)}/collections-{uuid.uuid4().hex}"
+    rows = v.vectors(spark, d).select(F.expr("concat('c', label)").alias("collection_name"), F.col("reference").alias("id"), F.col("vec_id").alias("row_index"), F.lit("old").alias("document"))
+    collections.upsert_into(rows, folder)
+    collections.upsert_into(rows.where("row_index % 3 = 0").withColumn("document", F.lit("new")), folder)
+    return collections.read_collections(spark, folder)
+
+
 @query
 def llm_extract(spark, d):
     return responses.extract_matches(v.responses(spark, d))

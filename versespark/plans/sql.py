@@ -228,6 +228,8 @@ SELECT row_index, reference, CASE WHEN n = 0 THEN base ELSE base || '__' || n EN
     "collection_name": """WITH n AS (SELECT doc_id, lower(source) || '__' || lower(lang) || '__' || lower('org_model_' || n_chars || repeat('_x', (doc_id % 40)::INT)) AS name FROM documents)
 SELECT doc_id, CASE WHEN length(name) <= 63 THEN name ELSE rtrim(left(name, 51), '_-') || '__' || left(sha1(name), 10) END AS name FROM n""",
     "vector_upsert": """SELECT 'c' || label AS collection_name, 'v-' || vec_id AS id, vec_id AS row_index,
+  CASE WHEN vec_id % 3 = 0 THEN 'new' ELSE 'old' END AS document FROM embeddings""",
+    "vector_upsert_buckets": """SELECT 'c' || label AS collection_name, 'v-' || vec_id AS id, vec_id AS row_index,
   CASE WHEN vec_id % 3 = 0 THEN 'new' ELSE 'old' END AS document FROM embeddings""",
     "llm_extract": f"WITH {_RESPONSES} SELECT problem_id, chunk_index, raw_reference, confidence FROM found",
     "llm_best": rf"""WITH {_VERSES}, {_RESPONSES}, c AS (SELECT problem_id, confidence, unnest(regexp_split_to_array(raw_reference, '[;,|]\s*')) AS raw FROM found),

@@ -20,10 +20,15 @@ def _stem(extension: str):
     return F.regexp_extract("_metadata.file_name", rf"^(.*)\.{extension}$", 1)
 
 
+def exists(spark: SparkSession, folder: str) -> bool:
+    """Is there a file or folder at that place of Spark's stores?"""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
 def _whole_files(spark: SparkSession, folder: str, extension: str, may_miss: bool = False) -> DataFrame:
     """One row per file; a folder without such files has none, a missing one is an error unless ``may_miss``."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    if may_miss and not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+    if may_miss and not exists(spark, folder):
         return spark.createDataFrame([], "value STRING, _metadata STRUCT<file_name: STRING>")
     return spark.read.text(folder, wholetext=True, pathGlobFilter=f"*.{extension}")
 
