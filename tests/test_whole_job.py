@@ -165,6 +165,10 @@ def test_nearest_in_blocks(spark):
     for block in (1000, 7):
         got = knn.top_k(asked, rows, k=3, threshold=-2.0, block_rows=block, query_rows=block).collect()
         assert {(r["query_id"], r["rank"]): r["reference"] for r in got} == want
+        others = {(q, k - 1): ref for (q, k), ref in want.items() if k > 1}
+        got = knn.self_top_k(rows, k=2, threshold=-2.0, block_rows=block).collect()
+        assert {(r["query_id"], r["rank"]): r["reference"] for r in got} == others
+    assert knn.self_top_k(rows.limit(0)).count() == 0 and knn.self_top_k(rows.limit(1)).count() == 0
     assert knn.top_k(asked.limit(0), rows).count() == 0 and knn.top_k(asked, rows.limit(0)).count() == 0
 
 

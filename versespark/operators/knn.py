@@ -16,6 +16,7 @@ from .evaluate import best_scores
 BLOCK_ROWS, QUERY_ROWS = 50_000, 2_000
 #: Scores that a task computes at once.
 SCORES = 1 << 23
+NEIGHBOUR = "query_id string, reference string, similarity double"
 
 
 def _stacked(column: pd.Series) -> np.ndarray:
@@ -30,11 +31,23 @@ def _dealt(df: DataFrame, column: str, own: str, blocks: int, other: str, copies
         {own: F.pmod(F.xxhash64(column), F.lit(blocks)).cast("int"), other: F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))})
 
 
+def _best(scores: np.ndarray, ids: np.ndarray, names: np.ndarray, k: int) -> pd.DataFrame:
+    """The ``k`` best columns of each row; ties at the border are ordered by name."""
+    edge = np.partition(scores, max(0, scores.shape[1] - k), axis=1)[:, max(0, scores.shape[1] - k)]
+    at, columns = np.nonzero(scores >= edge[:, None] - 1e-12)
+    out = pd.DataFrame({"query_id": ids[at], "reference": names[columns], "similarity": scores[at, columns]})
+    out = out[np.isfinite(out["similarity"])].sort_values(["query_id", "similarity", "reference"], ascending=[True, False, True])
+    return out.groupby("query_id", sort=False).head(k)
+
+
+def _none() -> pd.DataFrame:
+    return pd.DataFrame({"query_id": [], "reference": [], "similarity": []}).astype({"query_id": str, "reference": str, "similarity": float})
+
+
 def _searcher(k: int, exclude_self: bool) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
     """The ``k`` best rows of a block for each query of a block, by exact cosine; ties go to the smaller reference."""
     def search(part: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        found = [pd.DataFrame({"query_id": [], "reference": [], "similarity": []}).astype({"query_id": str, "reference": str, "similarity": float})]
-        names = rows["reference"].to_numpy()
+        found, names = [_none()], rows["reference"].to_numpy()
         vectors = _stacked(rows["embedding"]) if len(rows) else None
         step = max(1, SCORES // max(1, len(rows)))
         for start in range(0, len(part) if len(rows) else 0, step):
@@ -43,17 +56,43 @@ def _searcher(k: int, exclude_self: bool) -> Callable[[pd.DataFrame, pd.DataFram
             scores = _stacked(asked["embedding"]) @ vectors.T
             if exclude_self:
                 scores[ids[:, None] == names[None, :]] = -np.inf
-            # Ties at the border: everything not below the k-th score is ordered by reference.
-            edge = np.partition(scores, max(0, scores.shape[1] - k), axis=1)[:, max(0, scores.shape[1] - k)]
-            at, columns = np.nonzero(scores >= edge[:, None] - 1e-12)
-            out = pd.DataFrame({"query_id": ids[at], "reference": names[columns], "similarity": scores[at, columns]})
-            out = out[np.isfinite(out["similarity"])].sort_values(["query_id", "similarity", "reference"], ascending=[True, False, True])
-            found.append(out.groupby("query_id", sort=False).head(k))
+            found.append(_best(scores, ids, names, k))
         return pd.concat(found, ignore_index=True)
 
     return search
 
 
+def self_top_k(rows: DataFrame, k: int = 2, threshold: float = 0.45, threshold_first: bool = True, block_rows: int = QUERY_ROWS * 2) -> DataFrame:
+    """(query_id, reference, similarity, rank): the ``k`` nearest other rows of each row (reference, embedding), as ``top_k`` of a table with itself.
+
+    Rows are dealt into blocks by a hash; each pair of blocks is multiplied once, in one task, which keeps k rows for the rows of both.
+    """
+    k = max(1, k)
+    blocks = max(1, -(-rows.count() // block_rows))
+
+    def search(frame: pd.DataFrame) -> pd.DataFrame:
+        low, high = int(frame["low"].iloc[0]), int(frame["high"].iloc[0])
+        part, others = frame[frame["block"] == low], frame[frame["block"] == high]
+        found, names = [_none()], others["reference"].to_numpy()
+        vectors = _stacked(others["embedding"]) if len(others) else None
+        step = max(1, SCORES // max(1, len(others)))
+        for start in range(0, len(part) if len(others) else 0, step):
+            asked = part.iloc[start:start + step]
+            ids = asked["reference"].to_numpy()
+            scores = _stacked(asked["embedding"]) @ vectors.T
+            scores[ids[:, None] == names[None, :]] = -np.inf
+            found.append(_best(scores, ids, names, k))
+            if low < high:
+                found.append(_best(np.ascontiguousarray(scores.T), names, ids, k))
+        return pd.concat(found, ignore_index=True)
+
+    dealt = rows.select(F.col("reference").cast("string").alias("reference"), "embedding").where("embedding IS NOT NULL").withColumn(
+        "block", F.pmod(F.xxhash64("reference"), F.lit(blocks)).cast("int"))
+    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(
+        "reference", "embedding", "block", F.least("block", "_other").alias("low"), F.greatest("block", "_other").alias("high"))
+    return _ranked(dealt.groupBy("low", "high").applyInPandas(search, NEIGHBOUR), k, threshold, threshold_first)
+
+
 def _ranked(found: DataFrame, k: int, threshold: float, threshold_first: bool) -> DataFrame:
     near = F.col("similarity") >= threshold
     found = found.where(near) if threshold_first else found
@@ -61,9 +100,6 @@ def _ranked(found: DataFrame, k: int, threshold: float, threshold_first: bool) -
     return found.withColumn("rank", F.row_number().over(order)).where((F.col("rank") <= k) & near)
 
 
-NEIGHBOUR = "query_id string, reference string, similarity double"
-
-
 def top_k(queries: DataFrame, side: DataFrame, k: int = 5, threshold: float = 0.45, exclude_self: bool = False,
           threshold_first: bool = False, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """(query_id, reference, similarity, rank): the ``k`` nearest rows of ``side`` of each query.

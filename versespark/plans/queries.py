@@ -211,8 +211,7 @@ def knn_index_recall(spark, d):
 
 @query
 def knn_self(spark, d):
-    rows = v.vectors(spark, d)
-    return _rounded(knn.top_k(rows.withColumn("query_id", F.col("reference")), rows, k=2, threshold=0.3, exclude_self=True, threshold_first=True))
+    return _rounded(knn.self_top_k(v.vectors(spark, d), k=2, threshold=0.3))
 
 
 @query
@@ -474,6 +473,5 @@ def predictions_per_problem(spark, d):
 @query
 def similar_verse_text(spark, d):
     """The preview's column of similar verses."""
-    rows = v.vectors(spark, d)
-    near = knn.top_k(rows.withColumn("query_id", F.col("reference")), rows, k=2, threshold=0.3, exclude_self=True, threshold_first=True)
+    near = knn.self_top_k(v.vectors(spark, d), k=2, threshold=0.3)
     return annotations.similar_text(near).select("reference", F.regexp_replace("similar", r" \(\d\.\d{3}\)", "").alias("similar"))
