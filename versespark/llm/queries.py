@@ -10,7 +10,8 @@ from .common import read
 
 
 def op1_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.extract(read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+    return html.extract(read(spark, sf_dir, "pages")).select(
+        "page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_recurring", "n_signed")
 
 
 def op2_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
