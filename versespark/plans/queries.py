@@ -285,6 +285,16 @@ def span_preview(spark, d):
                        annotations.mark_snippet(F.col("visual_snippet")).alias("marked"))
 
 
+@query
+def span_validity(spark, d):
+    """Spans that fit their text, that begin before it, go beyond it, or have no length; only the fitting ones have a snippet."""
+    spans = v.table(spark, d, "documents").select(
+        F.expr("concat('doc-', doc_id)").alias("problem_id"), F.lit(0).alias("span_index"), F.expr("int(doc_id % 7 - 2)").alias("span_start"),
+        F.expr("int(CASE doc_id % 3 WHEN 0 THEN doc_id % 7 + 5 WHEN 1 THEN length(text) + doc_id % 2 ELSE doc_id % 7 - 2 END)").alias("span_end"),
+        F.array().cast("array<string>").alias("resolved_references"))
+    return annotations.span_preview(spans, v.problems(spark, d), 20).select("problem_id", "span_start", "span_end", "span_length", "valid_span", "visual_snippet")
+
+
 @query
 def skipped_spans(spark, d):
     """Spans of a corpus of which every third text is gone."""

@@ -118,6 +118,11 @@ SELECT problem_id, 0 AS chunk_index, (generate_subscripts(parts, 1) - 1)::INT AS
     "reuse_candidates_unbounded": f"""{_REUSE} SELECT b.id AS verse, t.id AS chunk, count(DISTINCT b.gram) AS shared FROM grams b JOIN grams t ON b.gram = t.gram
   WHERE b.grp = 'bible' AND t.grp = 'task' GROUP BY 1, 2 HAVING count(DISTINCT b.gram) >= 3""",
     "knn_index_recall": """SELECT count(*) FILTER (vec_id % 100 = 0) * least(10, count(*)) AS neighbours, true AS reached, true AS less_work FROM embeddings""",
+    "span_validity": """WITH s AS (SELECT 'doc-' || doc_id AS problem_id, text, (doc_id % 7 - 2)::INT AS a,
+  (CASE doc_id % 3 WHEN 0 THEN doc_id % 7 + 5 WHEN 1 THEN length(text) + doc_id % 2 ELSE doc_id % 7 - 2 END)::INT AS b FROM documents),
+v AS (SELECT *, coalesce(a >= 0 AND a < b AND b <= length(text), false) AS good FROM s)
+SELECT problem_id, a AS span_start, b AS span_end, CASE WHEN good THEN b - a END AS span_length, good AS valid_span, CASE WHEN good THEN
+  substring(text, greatest(a - 20, 0) + 1, a - greatest(a - 20, 0)) || '[' || substring(text, a + 1, b - a) || ']' || substring(text, b + 1, 20) ELSE '' END AS visual_snippet FROM v""",
     "skipped_spans": "SELECT 'doc-' || doc_id AS problem_id, count(*) AS spans FROM documents WHERE doc_id % 3 = 0 GROUP BY 1",
     "user_method_table": """WITH t AS (SELECT 'doc-' || doc_id AS problem_id, text, coalesce(contains(text, ' '), false) AS good FROM documents)
 SELECT problem_id, CASE WHEN good THEN 'bench_' || (length(text) % 20 + 1) || ':' || ((length(text) - length(replace(text, ' ', ''))) % 10 + 1) END AS reference,
