@@ -158,6 +158,35 @@ def test_a_hash_in_many_blocks(spark, monkeypatch):
     assert results[0] == results[1] and {r[0] for r in results[0]} == set(range(1, 300)) and {r[2] for r in results[0]} == {0}
 
 
+@pytest.mark.parametrize("kind", ["alike", "pairs", "drift"])
+def test_windows_of_a_hash_against_brute_force(kind):
+    """Windows unlike the first that resemble each other, in pairs, or each the one before it: all that repeat an earlier one are found, with the first of them."""
+    draw, n = np.random.default_rng(16), 90
+    fresh = lambda k: draw.integers(1, 2**32, k, dtype=np.uint64).astype(np.uint32)
+    grid, filled = np.zeros((n, passages.REACH), np.uint32), np.ones((n, passages.REACH), bool)
+    base = fresh(passages.REACH)
+    for k in range(n):
+        grid[k] = {"alike": base, "pairs": grid[k - 1] if k % 2 == 0 else fresh(passages.REACH),
+                   "drift": np.roll(grid[k - 1], int(draw.integers(0, 2))) if k > 1 else base}[kind] if k else fresh(passages.REACH)
+        grid[k, draw.integers(0, passages.REACH, 6 if kind == "drift" else 12)] = fresh(1)
+        filled[k, :draw.integers(0, 40)] = False
+        filled[k, passages.REACH - draw.integers(1, 40):] = False
+    grid[:, passages.SPAN - 1], filled[:, passages.SPAN - 1] = 5, True
+    rows = passages._Rows(np.full(n, 9), np.arange(n) // 2 if kind == "alike" else np.arange(n), np.zeros(n, np.int64), np.full(n, 100, np.int32), grid, filled)
+
+    def good(j, i):
+        held = set(grid[i][filled[i]].tolist())
+        hit = [bool(f) and int(x) in held for x, f in zip(grid[j], filled[j], strict=True)]
+        return any(sum(hit[k:k + passages.SPAN]) >= passages.NEED for k in range(passages.REACH - passages.SPAN + 1))
+
+    want = {j: next((i for i in range(j) if rows.docs[i] < rows.docs[j] and good(j, i) and good(i, j)), None) for j in range(n)}
+    found = np.concatenate([np.stack(x) for x in passages.repeats(rows)], axis=1)
+    assert dict(zip(found[0].tolist(), found[1].tolist(), strict=True)) == {j: i for j, i in want.items() if i is not None}
+    assert 0 < found.shape[1] < n
+    again = [np.stack(x) for x in passages.repeats(rows, n)]
+    assert not again or not np.concatenate(again, axis=1).size  # known firsts are not compared again
+
+
 def test_strip_keeps_columns_of_any_name(spark):
     docs = spark.createDataFrame([(1, "a " * 60, 5, 6, 7), (2, "a " * 60, 5, 6, 7), (None, None, None, None, None)],
                                  "doc_id long, text string, spans int, digest int, _doc int")
