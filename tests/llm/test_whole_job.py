@@ -158,6 +158,29 @@ def test_a_hash_in_many_blocks(spark, monkeypatch):
     assert results[0] == results[1] and {r[0] for r in results[0]} == set(range(1, 300)) and {r[2] for r in results[0]} == {0}
 
 
+def test_windows_that_repeat_others_go_on(monkeypatch):
+    """Wherever the blocks of a hash end, each window meets all before it: also those that repeat an earlier one, and for a document's later windows those of its first ones."""
+    draw, n = np.random.default_rng(17), 96
+    grid = np.zeros((n, passages.REACH), np.uint32)
+    for k in range(n):
+        # Documents 4g to 4g + 3 drift away from each other; every document has its window three times.
+        doc = k // 3
+        grid[k] = draw.integers(1, 2**32, passages.REACH, dtype=np.uint64) if k % 12 == 0 else grid[k - 1]
+        if k % 12 and k % 3 == 0:
+            grid[k, 4 * (doc % 4):passages.REACH:16] = draw.integers(1, 2**32, grid[k, 4 * (doc % 4):passages.REACH:16].size, dtype=np.uint64)
+    grid[:, passages.SPAN - 1] = 5
+    table = pa.table({"key": np.full(n, 9), "doc": np.arange(n) // 3, "digest": np.zeros(n, np.int64), "c": (100 + 1000 * (np.arange(n) % 3)).astype(np.int32),
+                      "left": np.full(n, passages.SPAN - 1, np.int8), "content": pa.array([g.tobytes() for g in grid], pa.binary())})
+    results = []
+    for block in (1 << 15, 32, 8, 4):
+        monkeypatch.setattr(passages, "BLOCK", block)
+        out = pa.Table.from_batches(list(passages._verified(iter(table.to_batches(max_chunksize=5)))))
+        results.append({tuple(r.values()) for r in out.to_pylist()})
+    repeated = {(r[0], r[2]) for r in results[0] if r[2] is not None}
+    assert any(i % 4 for _, i in repeated) and any(i % 4 == 0 for _, i in repeated)  # some repeat only a window that itself repeats one
+    assert all(r == results[0] for r in results[1:])
+
+
 @pytest.mark.parametrize("kind", ["alike", "pairs", "drift"])
 def test_windows_of_a_hash_against_brute_force(kind):
     """Windows unlike the first that resemble each other, in pairs, or each the one before it: all that repeat an earlier one are found, with the first of them."""

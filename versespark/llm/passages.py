@@ -15,7 +15,8 @@ a shingle beside the anchor, which all that it can match do. The verified runs o
 Documents of equal text are one class: its first document alone is searched, the others repeat it as a whole.
 
 The hash counts are pre-aggregated and joined back by plain joins, which adaptive execution may split. A task streams
-the windows of a hash in blocks of ``BLOCK`` rows and carries on only those that repeat no earlier one.
+the windows of a hash in blocks of ``BLOCK`` rows and carries on the first row of every class with what it repeats, so that
+results do not depend on where blocks end.
 
 Defined cases: null, empty and short texts have no windows; rows with a null doc_id are not compared; rows that
 share a doc_id are one document and not copies of each other; ties go to the smallest doc_id, then place; an empty
@@ -204,19 +205,28 @@ def _compared(rows: _Rows, j: np.ndarray, i: np.ndarray, step: int = 1 << 13) ->
         yield x, y, *runs_of((rows.grid[x] == rows.grid[y]) & rows.filled[x] & rows.filled[y])
 
 
-def repeats(rows: _Rows, known: int = 0) -> Iterator[tuple[np.ndarray, ...]]:
-    """(j, i, first and past the last column in j, the same in i): window j repeats the earlier document's window i of its hash.
-    The first ``known`` rows repeat none of each other."""
-    if not rows.keys.size:
-        return
-    # Windows of equal shingles are a class, led by its first row; only the leaders are compared further.
+def leaders_of(rows: _Rows) -> tuple[np.ndarray, np.ndarray]:
+    """The first rows of the classes of windows of equal shingles, and each row's one."""
     salt = mixed(np.arange(REACH, dtype=np.uint64), 201)
     content = mixed((mixed(rows.grid + salt, 202) * rows.filled).sum(axis=1, dtype=np.uint64) ^ rows.keys.view(np.uint64), 203)
     _, lead, index = np.unique(content, return_index=True, return_inverse=True)
-    leader = lead[index]
+    return lead, lead[index]
+
+
+def repeats(rows: _Rows, known: int = 0, links: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, ...]]:
+    """(j, i, first and past the last column in j, the same in i): window j repeats the earlier document's window i of its hash.
+    The first ``known`` rows lead a class each and were compared before; ``links`` has what each of them repeats, as a column (i, ...), i < 0 for none."""
+    if not rows.keys.size:
+        return
+    # Only the leaders of classes are compared further.
+    lead, leader = leaders_of(rows)
     alien = rows.docs != rows.docs[leader]
     for j, i, ok, a, b in _compared(rows, np.flatnonzero(alien), leader[alien]):
         yield j[ok], i[ok], a[ok], b[ok], a[ok], b[ok]
+    if links is not None:  # more rows of a document that the last block ended in
+        more = np.flatnonzero(~alien & (leader < known) & (np.arange(leader.size) >= known))
+        more = more[links[0, leader[more]] >= 0]
+        yield more, *links[:, leader[more]]
     own = np.flatnonzero(~alien)
     own = own[np.argsort(leader[own], kind="stable")]
     begin, past = np.searchsorted(leader[own], lead), np.searchsorted(leader[own], lead, "right")
@@ -332,40 +342,45 @@ def _first_alike(rows: _Rows, firsts: np.ndarray, later: np.ndarray) -> Iterator
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The spans of repeats (first_doc_id set) and of what they repeat (null) from windows that stand by hash."""
-    def spans_of(rows: _Rows, known: int = 0) -> tuple[pa.RecordBatch, np.ndarray]:
-        found, linked = [], np.zeros(rows.keys.size, bool)
-        for part in repeats(rows, known):
-            found.append(np.stack(part))
+    def spans_of(rows: _Rows, known: int = 0, links: np.ndarray | None = None) -> tuple[pa.Table, np.ndarray]:
+        found = [np.stack(part) for part in repeats(rows, known, links)]
         j, i, a, b, c, d = np.concatenate(found, axis=1) if found else np.zeros((6, 0), np.int64)
-        linked[j] = True
         at, low, past = np.concatenate([j, i]), np.concatenate([a, c]), np.concatenate([b, d])
         base = rows.places[at].astype(np.int64) - (SPAN - 1)
         table = pa.table({"doc_id": rows.docs[at], "digest": rows.digests[at],
                           "first_doc_id": pa.array(np.concatenate([rows.docs[i], rows.docs[i]]), mask=np.arange(at.size) >= j.size),
                           "start_word": (base + low).astype(np.int32), "end_word": (base + past + WIDTH - 1).astype(np.int32)})
-        return table.group_by(table.column_names, use_threads=False).aggregate([]), ~linked
+        return table.group_by(table.column_names, use_threads=False).aggregate([]), np.stack([j, i, a, b, c, d])
 
-    held: list[_Rows] = []  # of the last key, of which more may come: firsts of earlier blocks, then the last rows
-    waiting = known = 0
+    held: list[_Rows] = []  # of the last key, of which more may come: leaders of earlier blocks, then the last rows
+    waiting, known, links = 0, 0, None
     for batch in batches:
         for k in range(0, batch.num_rows, BLOCK // 4):
             part = batch.slice(k, BLOCK // 4)
             keys = part.column("key").to_numpy()
             cut = int(np.searchsorted(keys, keys[-1]))
             if held and (cut or held[0].keys[0] != keys[-1]):
-                yield from spans_of(_Rows.joined([*held, _Rows.of(part.slice(0, cut))]) if cut else _Rows.joined(held), known)[0].to_batches()
-                held, waiting, known = [], 0, 0
+                yield from spans_of(_Rows.joined([*held, _Rows.of(part.slice(0, cut))]) if cut else _Rows.joined(held), known, links)[0].to_batches()
+                held, waiting, known, links = [], 0, 0, None
             elif cut:
                 yield from spans_of(_Rows.of(part.slice(0, cut)))[0].to_batches()
             held.append(_Rows.of(part.slice(cut)))
             waiting += len(keys) - cut
             if waiting >= BLOCK:
                 block = _Rows.joined(held)
-                spans, firsts = spans_of(block, known)
+                spans, found = spans_of(block, known, links)
                 yield from spans.to_batches()
-                held, waiting, known = [block.take(firsts)], 0, int(firsts.sum())
+                # A window that repeats an earlier one may be the only one that a later window resembles, so it goes on too.
+                lead = np.sort(leaders_of(block)[0])
+                repeated = np.full((5, block.keys.size), -1)
+                if links is not None:
+                    repeated[:, :known] = links
+                repeated[:, found[0]] = found[1:]
+                links = repeated[:, lead]
+                links[0] = np.where(links[0] < 0, -1, np.searchsorted(lead, links[0]))
+                held, waiting, known = [block.take(lead)], 0, lead.size
     if held:
-        yield from spans_of(_Rows.joined(held), known)[0].to_batches()
+        yield from spans_of(_Rows.joined(held), known, links)[0].to_batches()
 
 
 def windows_of(docs: DataFrame) -> DataFrame:
