@@ -104,6 +104,40 @@ def test_chains_over_block_borders(spark, block):
     assert {find(i) for i in range(40)} == {0} and {find(i) for i in range(40, 80)} == {40} and len({find(i) for i in range(100, 140)}) == 40
 
 
+@pytest.mark.parametrize("block", [1 << 15, 16])
+def test_every_close_pair_of_a_large_key(spark, block):
+    """A row's nearest partner may fail the exact similarity where another does not: all pairs between parts are given, wherever a key's blocks end."""
+    draw = np.random.default_rng(18)
+    base, sketches = draw.integers(0, 2, 512, dtype=np.uint8), []
+    for k in range(40):
+        bits = base.copy()
+        bits[draw.choice(512, 43, replace=False)] ^= 1  # two of them differ in about 79 bits
+        sketches += [np.packbits(bits, bitorder="little").view(np.uint64)] if k % 8 else [np.packbits(bits, bitorder="little").view(np.uint64)] * 2
+    frame = spark.createDataFrame([(7, i, *s.view(np.int64).tolist()) for i, s in enumerate(sketches)], ["key", "node", *[f"s{i}" for i in range(8)]])
+    sure, most = simhash.differing_bits(0.8)
+    apart = np.bitwise_count(np.array(sketches)[:, None] ^ np.array(sketches)[None]).sum(axis=2)
+    found = {(r["a"], r["b"]): r["d"] for r in simhash.candidate_pairs(frame, sure, most, pairwise=4, block=block).collect()}
+    close = {(a, b) for a in range(len(sketches)) for b in range(a + 1, len(sketches)) if sure < apart[a, b] <= most}
+    assert len(close) > 500 and close <= set(found)
+    assert all(d == apart[p] for p, d in found.items())
+
+
+@pytest.mark.parametrize("cell_bytes", [1 << 18, 500])
+def test_similar_pairs_in_cells(spark, cell_bytes):
+    """Pairs are decided by the exact similarity, however their cells are cut; of rows that share a doc_id any may be the similar one."""
+    draw = random.Random(19)
+    base = [f"w{draw.randrange(10 ** 6)}" for _ in range(80)]
+    texts = [" ".join([*base[:k], *(f"x{draw.randrange(10 ** 6)}" for _ in range(80 - k))]) for k in range(60, 81, 2)]
+    rows = [*enumerate(texts), (0, texts[-1])]
+    sets = {i: [] for i in range(len(texts))}
+    for i, t in rows:
+        sets[i].append({tuple(t.split()[k:k + 5]) for k in range(76)})
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts))]
+    want = {(a, b) for a, b in pairs if any(len(x & y) >= 0.8 * len(x | y) for x in sets[a] for y in sets[b])}
+    got = simhash.similar_pairs(spark.createDataFrame(pairs, "a long, b long"), spark.createDataFrame(rows, "doc_id long, text string"), 0.8, cell_bytes)
+    assert sorted(map(tuple, got.collect())) == sorted(want) and 0 < len(want) < len(pairs)
+
+
 def test_rows_without_an_id_stay(spark):
     rows = [(None, "a b c d e f g", 1), (None, "a b c d e f g", 1), (3, "h i j k l m n", 2), (3, "h i j k l m n", 2), (3, "other words stand in here now", 2), (4, "h i j k l m n", 5), (5, "p q r s t u v", 6)]
     left = simhash.first_of_each(spark.createDataFrame(rows, "doc_id long, text string, _again int"))

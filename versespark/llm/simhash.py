@@ -136,8 +136,10 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFra
 #: its whole set of five-word shingles, decides all but the close cases, and those are decided by the sets themselves.
 SHINGLE, WINDOWS, AROUND = 5, 6, 3
 SKETCH_WORDS, DEVIATIONS = 8, 2.5
-#: Rows of a key that a task compares at once.
-BLOCK = 1 << 17
+#: Rows of a key that a task compares with as many others at once.
+BLOCK = 1 << 15
+#: Bytes of shingle sets that stand on either side of a cell of close pairs.
+CELL_BYTES = 1 << 18
 
 
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
@@ -254,27 +256,28 @@ def differing_bits(similarity: float) -> tuple[int, int]:
     return int(bits * share - spread), int(bits * share + spread)
 
 
-def candidate_keys(nodes: DataFrame, bits: int = BITS, radius: int = 2) -> DataFrame:
-    """(key, node): the keys that ``nodes`` (node, fps) share with others. Nodes with an equal fingerprint share its own key;
-    fingerprints within the radius, the key of a covering mask. Masks are searched over distinct fingerprints only."""
+def candidate_keys(nodes: DataFrame, bits: int = BITS, radius: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(key, node): the keys that ``nodes`` (node, fps) share with others, and (key, n): how many nodes have each. Nodes with an equal fingerprint
+    share its own key; fingerprints within the radius, the key of a covering mask. Masks are searched over distinct fingerprints only."""
     each = nodes.select("node", F.posexplode("fps").alias("print", "fp"))
     values = written(each.groupBy("print", "fp").agg(F.count("*").alias("n")), "print-values")
     masked = F.explode(F.array(*[F.xxhash64("print", F.lit(j), F.col("fp").bitwiseAND(F.lit(signed(m))))
                                  for j, m in enumerate(masks(bits, radius))]))
-    keyed = values.select("print", "fp", masked.alias("key"))
+    keyed = values.select("print", "fp", masked.alias("key"), "n")
     shared = written(keyed.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key"), "print-keys")
-    near = keyed.join(shared, "key").select("print", "fp", "key")
-    same = values.where("n > 1").select("print", "fp", F.xxhash64("print", F.lit(-1), "fp").alias("key"))
-    return each.join(written(same.unionByName(near), "print-buckets"), ["print", "fp"]).select("key", "node")
+    near = keyed.join(shared, "key").select("print", "fp", "key", "n")
+    same = values.where("n > 1").select("print", "fp", F.xxhash64("print", F.lit(-1), "fp").alias("key"), "n")
+    buckets = written(same.unionByName(near), "print-buckets")
+    return each.join(buckets, ["print", "fp"]).select("key", "node"), buckets.groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def _pairs(keys: np.ndarray, nodes: np.ndarray, sketches: np.ndarray, sure: int, most: int, pairwise: int,
-           parts: np.ndarray) -> Iterator[np.ndarray]:
+def _pairs(keys: np.ndarray, nodes: np.ndarray, sides: np.ndarray, sketches: np.ndarray, sure: int, most: int,
+           pairwise: int) -> Iterator[np.ndarray]:
     """(a, b, d): pairs of rows of a key that differ in d <= ``most`` bits.
 
     Rows of a key stand together. Small keys give all such pairs. In a larger one a row that is surely similar to one
-    that was reached is reached from it, so that chains of sure pairs are parts; each row outside the largest part
-    is then tied to its nearest row of another part. ``parts`` gets the first row of each row's part.
+    that was reached is reached from it, so that chains of sure pairs are parts; of rows of different parts all pairs
+    are given, where a key has two sides only those between them.
     """
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     ends = np.concatenate([starts[1:], [keys.size]])
@@ -287,6 +290,7 @@ def _pairs(keys: np.ndarray, nodes: np.ndarray, sketches: np.ndarray, sure: int,
             break
         d = differing(sketches[i], sketches[i + step])
         yield np.stack([nodes[i], nodes[i + step], d])[:, d <= most]
+    parts = np.arange(keys.size)
     for start, end in zip(starts[sizes > pairwise].tolist(), ends[sizes > pairwise].tolist(), strict=True):
         waiting, reached = np.arange(start, end), []
         while waiting.size:
@@ -303,41 +307,32 @@ def _pairs(keys: np.ndarray, nodes: np.ndarray, sketches: np.ndarray, sure: int,
                 reached += found.tolist()
                 yield np.stack([np.full(found.size, nodes[at]), nodes[found], d[hit]])
                 waiting = waiting[~hit]
-        own = parts[start:end]
-        largest = np.argmax(np.bincount(own - start))
-        for at in (start + np.flatnonzero(own != start + largest)).tolist():
-            others = start + np.flatnonzero(own != parts[at])
+        own, side = parts[start:end], sides[start:end]
+        largest, two = start + np.argmax(np.bincount(own - start)), side.min() < side.max()
+        for at in (start + np.flatnonzero(own != largest)).tolist():
+            others = (own != parts[at]) & ((own == largest) | (np.arange(start, end) > at))
+            others = start + np.flatnonzero(others & (side != sides[at]) if two else others)
             d = differing(sketches[others], sketches[at])
-            k = int(np.argmin(d)) if d.size else 0
-            if d.size and d[k] <= most:
-                yield np.array([[nodes[at]], [nodes[others[k]]], [d[k]]])
+            near = d <= most
+            if near.any():
+                yield np.stack([np.full(near.sum(), nodes[at]), nodes[others[near]], d[near]])
 
 
-def _cover(sketches: np.ndarray, radius: int) -> np.ndarray:
-    """Places of rows of which every row is within ``radius`` bits of one; earlier rows first."""
-    waiting, kept = np.arange(len(sketches)), []
-    while waiting.size:
-        kept.append(int(waiting[0]))
-        d = np.bitwise_count(sketches[waiting] ^ sketches[waiting[0]]).sum(axis=1, dtype=np.int32)
-        waiting = waiting[d > radius]
-    return np.array(kept, np.int64)
+def candidate_pairs(rows: DataFrame, sure: int, most: int, pairwise: int = PAIRWISE, block: int = BLOCK, sizes: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b, d) from rows (key, node, s0, s1, ...): rows of a key with d <= ``most`` differing bits, all of them but those that chains of pairs
+    with d <= ``sure`` join. ``sizes`` has the rows of each key, (key, n), and is counted if it is not given.
 
-
-def candidate_pairs(rows: DataFrame, sure: int, most: int, pairwise: int = PAIRWISE, block: int = BLOCK) -> DataFrame:
-    """Pairs (a, b, d) from rows (key, node, s0, s1, ...). A task streams the rows of a key in blocks. Of a block, rows go on to the next that cover the
-    others within ``most`` - ``sure`` bits, so a later row that is surely similar to any row before is within ``most`` bits of one that went on."""
+    Keys of more than ``block`` rows are dealt into blocks by a hash, and each pair of blocks is a key of its own, with two sides.
+    """
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []  # the last key's rows, of which more may come
 
-        def edges_of(pieces: list[np.ndarray], more: bool = False) -> Iterator[pa.RecordBatch]:
+        def edges_of(pieces: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             data = np.concatenate(pieces, axis=1)
             held.clear()
-            parts = np.arange(data.shape[1])
-            for a, b, d in _pairs(data[0], data[1], np.ascontiguousarray(data[2:].T).view(np.uint64), sure, most, pairwise, parts):
+            for a, b, d in _pairs(*data[:3], np.ascontiguousarray(data[3:].T).view(np.uint64), sure, most, pairwise):
                 low, high = np.minimum(a, b), np.maximum(a, b)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (low, high)] + [pa.array(d, pa.int32())], names=["a", "b", "d"])
-            if more:
-                held.append(data[:, _cover(np.ascontiguousarray(data[2:].T).view(np.uint64), most - sure)])
 
         for batch in batches:
             if not batch.num_rows:
@@ -349,16 +344,25 @@ def candidate_pairs(rows: DataFrame, sure: int, most: int, pairwise: int = PAIRW
             elif cut:
                 yield from edges_of([data[:, :cut]])
             held.append(data[:, cut:])
-            if sum(x.shape[1] for x in held[1:]) >= block:
-                yield from edges_of([*held], more=True)
         if held:
             yield from edges_of([*held])
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(linked, "a long, b long, d int").groupBy("a", "b").agg(F.min("d").alias("d"))
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n")) if sizes is None else sizes
+    # Of all keys' rows, one large key for every ``block`` of them at most.
+    large = F.broadcast(written(sizes.where(F.col("n") > block).select("key", F.ceil(F.col("n") / block).alias("blocks")), "large-keys"))
+    blocks = F.coalesce("blocks", F.lit(1)).cast("long")
+    dealt = rows.join(large, "key", "left").withColumns({"blocks": blocks, "side": F.pmod(F.xxhash64("node"), blocks)})
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    cell = F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("side", "other"), F.greatest("side", "other")))
+    dealt = dealt.select(cell.alias("key"), "node", "side", *[c for c in rows.columns if c not in ("key", "node")])
+    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(linked, "a long, b long, d int").groupBy("a", "b").agg(F.min("d").alias("d"))
+
 
+def similar_pairs(pairs: DataFrame, docs: DataFrame, similarity: float, cell_bytes: int = CELL_BYTES) -> DataFrame:
+    """The pairs (a, b) of doc_ids whose sets of five-word shingles have the Jaccard similarity.
 
-def similar_pairs(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose sets of five-word shingles have the Jaccard similarity."""
+    Both ends of a pair are dealt by hash, and their numbers make its cell; a set goes once to each cell that has a pair of it.
+    """
     from .passages import sized
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -368,21 +372,36 @@ def similar_pairs(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataF
                         for x in shingle_sets([t.as_buffer().to_pybytes() if t.is_valid else b"" for t in part.column("text")])]
                 yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.binary())], names=["node", "items"])
 
+    def alike(x: np.ndarray, y: np.ndarray) -> bool:
+        if min(x.size, y.size) < similarity * max(x.size, y.size) - 1e-9:
+            return False
+        both = np.intersect1d(x, y, assume_unique=True).size
+        return both >= similarity * (x.size + y.size - both) - 1e-9
+
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets: dict[int, list[np.ndarray]] = {}  # of one cell; rows that share a doc_id have one each
+        last = None
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)
-                both = np.intersect1d(x, y, assume_unique=True).size
-                keep.append(both >= similarity * (x.size + y.size - both) - 1e-9)
+            keep, items = np.zeros(batch.num_rows, bool), batch.column("items")
+            for k, (cell, is_pair, a, b) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("cell", "is_pair", "a", "b")], strict=True)):
+                if cell != last:
+                    sets, last = {}, cell
+                if is_pair:
+                    keep[k] = any(alike(x, y) for x in sets.get(a, ()) for y in sets.get(b, ()))
+                else:
+                    sets.setdefault(a, []).append(np.frombuffer(items[k].as_py(), np.uint32))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
     sets = written(texts.join(sized(ends), "node").mapInArrow(sets_of, "node long, items binary"), "close-sets")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a").join(
-        sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(compared, "a long, b long").distinct()
+    side = max(1, -(-(sets.agg(F.sum(F.length("items"))).first()[0] or 0) // cell_bytes))
+    number = lambda c: F.pmod(F.xxhash64(c), F.lit(side))
+    dealt = pairs.select((number("a") * side + number("b")).alias("cell"), "a", "b")
+    needed = dealt.select("cell", F.explode(F.array("a", "b")).alias("node")).distinct().join(sets, "node")
+    rows = needed.select("cell", F.lit(False).alias("is_pair"), F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "items").unionByName(
+        dealt.select("cell", F.lit(True).alias("is_pair"), "a", "b", F.lit(None).cast("binary").alias("items")))
+    return rows.repartition("cell").sortWithinPartitions("cell", "is_pair").mapInArrow(compared, "a long, b long").distinct()
 
 
 def similar_documents(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
@@ -391,7 +410,7 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
 
     At the similarity a candidate window stands in both texts in 4 of 5 cases for each of the six functions; where it
     does, an edit beside it must not change more than two bits of its fingerprint. Sketches decide outside
-    ``DEVIATIONS`` standard deviations; the pairs between are decided by the exact similarity.
+    ``DEVIATIONS`` standard deviations; the pairs between are decided by the exact similarity, all whose ends are not joined already.
     """
     known = docs.where("doc_id IS NOT NULL")
     prints = written(similarity_prints(known), "similarity-prints")
@@ -399,12 +418,18 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     nodes = written(nodes, "similarity-nodes")
     sure, most = differing_bits(similarity)
     sketches = nodes.select("node", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH_WORDS)])
-    rows = candidate_keys(nodes).join(sketches, "node").select("key", "node", *[f"s{i}" for i in range(SKETCH_WORDS)])
-    pairs = written(candidate_pairs(rows, sure, most), "similar-candidates")
-    close = similar_pairs(pairs.where(F.col("d") > sure).select("a", "b"), known, similarity)
-    edges = pairs.where(F.col("d") <= sure).select("a", "b").unionByName(close)
-    parts = nodes.join(components(edges), "node", "left").select(
-        "fps", "sketch", F.coalesce("component", "node").alias("component_id"))
+    keys, sizes = candidate_keys(nodes)
+    rows = keys.join(sketches, "node").select("key", "node", *[f"s{i}" for i in range(SKETCH_WORDS)])
+    pairs = written(candidate_pairs(rows, sure, most, sizes=sizes), "similar-candidates")
+    joined = components(pairs.where(F.col("d") <= sure).select("a", "b"), "sure-components")
+    of = lambda node: joined.select(F.col("node").alias(node), F.col("component").alias(f"{node}_part"))
+    open_ = pairs.where(F.col("d") > sure).join(of("a"), "a", "left").join(of("b"), "b", "left").select(
+        "a", "b", F.coalesce("a_part", "a").alias("a_part"), F.coalesce("b_part", "b").alias("b_part")).where("a_part <> b_part")
+    open_ = written(open_, "open-pairs")
+    edges = open_.join(similar_pairs(open_.select("a", "b"), known, similarity), ["a", "b"]).select(F.col("a_part").alias("a"), F.col("b_part").alias("b"))
+    whole = components(edges).select(F.col("node").alias("part"), "component")
+    parts = nodes.join(joined.withColumnRenamed("component", "part"), "node", "left").withColumn("part", F.coalesce("part", "node")).join(
+        whole, "part", "left").select("fps", "sketch", F.coalesce("component", "part").alias("component_id"))
     return prints.join(parts, ["fps", "sketch"]).select("doc_id", "component_id")
 
 
