@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from versespark.llm import bpe, common, decontaminate, html, language, licenses, queries, simhash
+from versespark.llm import bpe, common, decontaminate, html, language, licenses, queries, sharding, simhash
 from versespark.llm.queries import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -69,6 +69,18 @@ def test_op4_law(rows):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
 
 
+def test_op4_moves_whole_documents(spark, monkeypatch):
+    """Both passes hold the documents themselves, a bucket in each task of pass two."""
+    tables, scatter = [], sharding.scatter
+    monkeypatch.setattr(sharding, "scatter", lambda *a: tables.append(scatter(*a[:3], 1 << 16)) or tables[-1])
+    out = queries.op4_two_pass_shuffle(spark, SMALL)
+    table, n = tables[0]
+    docs = common.read(spark, SMALL, "documents")
+    assert sorted(map(tuple, table.select("item.record.*").select(docs.columns).collect()), key=str) == sorted(map(tuple, docs.collect()), key=str)
+    slots = {(r["doc_id"], r["shard"], r["slot"]) for r in out.collect()}
+    assert n >= 8 and len(slots) == docs.count() and {s for _, s, _ in slots} == set(range(24))
+
+
 def test_op5_against_the_definition(rows, spark):
     items = {r["item_id"]: re.findall(r"[a-z0-9\x80-\U0010ffff]+", (r["text"] or "").lower()) for r in common.read(spark, SMALL, "benchmark").collect()}
     got = {(r["doc_id"], r["item_id"]) for r in rows["op5_string_tiling"]}

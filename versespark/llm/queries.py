@@ -30,12 +30,12 @@ def op3_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.coalesce("text", F.lit(""))
-    records = read(spark, sf_dir, "documents").select(
-        "doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    return sharding.shuffled(records, ["doc_id", "text_crc32"]).select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
-        F.lit(None).cast("int").alias("grown_shard"))
+    """Whole documents go through both passes; the digests are of the texts that came out in the shards."""
+    docs, text = read(spark, sf_dir, "documents"), F.coalesce("text", F.lit(""))
+    records = docs.select(*[c for c in ("doc_id", "text", "lang", "source", "n_chars") if c in docs.columns])
+    return sharding.shuffled(records, ["doc_id"]).select(
+        "doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"),
+        "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,13 +1,13 @@
 """Two-pass external shuffle of records into shards, in DataFrame expressions only.
 
 Pass one scatters records into buckets of about ``bucket_bytes`` by a seeded hash and writes them to
-the shared folder. Pass two gathers each bucket, which fits in a task's memory by construction,
+the shared folder. Pass two gathers each bucket in a task of its own, whose memory it fits by construction,
 shuffles it (Spark's ``shuffle`` is a Fisher-Yates shuffle of the array) and deals the whole
 permuted sequence out to the shards in turn, so the shards' row counts are at most one apart.
 
 The hash covers the key columns and the row's place in the scan, so repeated keys and
-repeated rows, even a third of the table, spread over all buckets. Buckets are sorted before they are shuffled
-and partitions are sorted by bucket, so a retried task draws the same permutation.
+repeated rows, even a third of the table, spread over all buckets. Buckets are sorted before they are shuffled,
+so a retried task draws the same permutation.
 
 Defined cases: null keys hash like any value; an empty table gives no rows; every other column,
 of any sortable type, is carried in a struct, so names cannot clash with ``bucket``.
@@ -66,9 +66,8 @@ def shuffled(records: DataFrame, keys: list[str], n_shards: int = 24, seed: int
     """``records`` with ``shard`` (0 to n_shards - 1) and ``slot`` (gapless from 0 in each shard)."""
     table, n = scatter(records, keys, seed, bucket_bytes)
     offsets = offsets_of(table.groupBy("bucket").agg(F.count("*").alias("n")), n)
-    buckets = table.groupBy("bucket").agg(F.sort_array(F.collect_list("item")).alias("items"))
-    mixed = (buckets.join(offsets, "bucket").sortWithinPartitions("bucket")
-             .select("offset", F.shuffle("items", seed).alias("items")))
+    buckets = table.repartitionById(n, "bucket").groupBy("bucket").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    mixed = buckets.join(F.broadcast(offsets), "bucket").select("offset", F.shuffle("items", seed).alias("items"))  # a row a bucket
     dealt = mixed.select("offset", F.posexplode("items").alias("at", "item"))
     rank = F.col("offset") + F.col("at")
     return dealt.select(
