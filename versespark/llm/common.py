@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,8 +33,15 @@ def row_key(*columns: str) -> Column:
     return F.unhex(F.md5(whole))
 
 
+def give_back() -> None:
+    """Return memory that is held and not used to the system: executors keep their Python workers from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 1 << 21) -> Iterator[pa.RecordBatch]:
-    """Cut a batch into runs of rows with about ``most_bytes`` of ``column`` each, one row at least."""
+    """Cut a batch into runs of rows with about ``most_bytes`` of ``column`` each, one row at least; unused memory is given back after the last."""
     sizes = batch.column(column)
     start, held = 0, 0
     for i, value in enumerate(sizes):
@@ -44,6 +52,7 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 1 << 21) -> Ite
         held += n
     if batch.num_rows > start:
         yield batch.slice(start)
+    give_back()
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:

@@ -392,13 +392,13 @@ def similar_pairs(pairs: DataFrame, docs: DataFrame, similarity: float, cell_byt
                     sets.setdefault(a, []).append(np.frombuffer(items[k].as_py(), np.uint32))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    ends = pairs.select(F.col("a").alias("node")).distinct().unionByName(pairs.select(F.col("b").alias("node")).distinct()).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
     sets = written(texts.join(sized(ends), "node").mapInArrow(sets_of, "node long, items binary"), "close-sets")
     side = max(1, -(-(sets.agg(F.sum(F.length("items"))).first()[0] or 0) // cell_bytes))
     number = lambda c: F.pmod(F.xxhash64(c), F.lit(side))
     dealt = pairs.select((number("a") * side + number("b")).alias("cell"), "a", "b")
-    needed = dealt.select("cell", F.explode(F.array("a", "b")).alias("node")).distinct().join(sets, "node")
+    needed = dealt.select("cell", F.col("a").alias("node")).distinct().unionByName(dealt.select("cell", F.col("b").alias("node")).distinct()).distinct().join(sets, "node")
     rows = needed.select("cell", F.lit(False).alias("is_pair"), F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "items").unionByName(
         dealt.select("cell", F.lit(True).alias("is_pair"), "a", "b", F.lit(None).cast("binary").alias("items")))
     return rows.repartition("cell").sortWithinPartitions("cell", "is_pair").mapInArrow(compared, "a long, b long").distinct()
@@ -421,16 +421,30 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     keys, sizes = candidate_keys(nodes)
     rows = keys.join(sketches, "node").select("key", "node", *[f"s{i}" for i in range(SKETCH_WORDS)])
     pairs = written(candidate_pairs(rows, sure, most, sizes=sizes), "similar-candidates")
-    joined = components(pairs.where(F.col("d") <= sure).select("a", "b"), "sure-components")
-    of = lambda node: joined.select(F.col("node").alias(node), F.col("component").alias(f"{node}_part"))
-    open_ = pairs.where(F.col("d") > sure).join(of("a"), "a", "left").join(of("b"), "b", "left").select(
-        "a", "b", F.coalesce("a_part", "a").alias("a_part"), F.coalesce("b_part", "b").alias("b_part")).where("a_part <> b_part")
-    open_ = written(open_, "open-pairs")
-    edges = open_.join(similar_pairs(open_.select("a", "b"), known, similarity), ["a", "b"]).select(F.col("a_part").alias("a"), F.col("b_part").alias("b"))
-    whole = components(edges).select(F.col("node").alias("part"), "component")
-    parts = nodes.join(joined.withColumnRenamed("component", "part"), "node", "left").withColumn("part", F.coalesce("part", "node")).join(
-        whole, "part", "left").select("fps", "sketch", F.coalesce("component", "part").alias("component_id"))
-    return prints.join(parts, ["fps", "sketch"]).select("doc_id", "component_id")
+    led = [components(pairs.where(F.col("d") <= sure).select("a", "b"), "sure-components")]
+    open_ = pairs.where(F.col("d") > sure).withColumns({"a_part": F.col("a"), "b_part": F.col("b")})
+    # A row's nearest pairs join most of what there is to join, and all that are left between parts are decided after them.
+    for nearest in (True, False):
+        open_ = written(_led(_led(open_, "a_part", led[-1]), "b_part", led[-1]).where("a_part <> b_part"), "open-pairs")
+        asked = _nearest(open_) if nearest else open_.select("a", "b")
+        alike = written(similar_pairs(asked, known, similarity), "alike-pairs")
+        led.append(components(open_.join(alike, ["a", "b"]).select(F.col("a_part").alias("a"), F.col("b_part").alias("b"))))
+    parts = nodes.withColumn("component_id", F.col("node"))
+    for leaders in led:
+        parts = _led(parts, "component_id", leaders)
+    return prints.join(parts.drop("node"), ["fps", "sketch"]).select("doc_id", "component_id")
+
+
+def _led(df: DataFrame, column: str, parts: DataFrame) -> DataFrame:
+    """``df`` with the component of its ``column`` in ``parts`` (node, component), if it has one, in its place."""
+    to = parts.select(F.col("node").alias(column), F.col("component").alias("leader"))
+    return df.join(to, column, "left").withColumn(column, F.coalesce("leader", column)).drop("leader")
+
+
+def _nearest(pairs: DataFrame) -> DataFrame:
+    """(a, b): the nearest of the pairs (a, b, d) of each of their ends."""
+    ends = pairs.select(F.col("a").alias("node"), "d", "a", "b").unionByName(pairs.select(F.col("b").alias("node"), "d", "a", "b"))
+    return ends.groupBy("node").agg(F.min(F.struct("d", "a", "b")).alias("pair")).select("pair.a", "pair.b").distinct()
 
 
 def first_of_each(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
