@@ -138,6 +138,89 @@ def test_similar_pairs_in_cells(spark, cell_bytes):
     assert sorted(map(tuple, got.collect())) == sorted(want) and 0 < len(want) < len(pairs)
 
 
+def joined(edges, rows):
+    """The smallest of the rows that edges join with each."""
+    root = list(range(rows))
+    for _ in range(rows):
+        before = list(root)
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+        if root == before:
+            return root
+    return root
+
+
+@pytest.mark.parametrize("block", [1 << 15, 16])
+def test_spanning_pairs_of_a_large_key(spark, block):
+    """Spanning pairs connect the rows that all close pairs connect, hold each row's nearest, and grow with the rows."""
+    draw, sketches = np.random.default_rng(18), []
+    for group in range(3):
+        base = draw.integers(0, 2, 512, dtype=np.uint8)
+        for k in range(40):
+            bits = base.copy()
+            bits[draw.choice(512, 43, replace=False)] ^= 1
+            sketches += [np.packbits(bits, bitorder="little").view(np.uint64)] * (1 if k % 8 else 2)
+    frame = spark.createDataFrame([(7, i, *s.view(np.int64).tolist()) for i, s in enumerate(sketches)], ["key", "node", *[f"s{i}" for i in range(8)]])
+    sure, most = simhash.differing_bits(0.8)
+    apart = np.bitwise_count(np.array(sketches)[:, None] ^ np.array(sketches)[None]).sum(axis=2)
+    found = {(r["a"], r["b"]): r["d"] for r in simhash.candidate_pairs(frame, sure, most, pairwise=4, block=block, spanning=True).collect()}
+    close = [(a, b) for a in range(len(sketches)) for b in range(a + 1, len(sketches)) if apart[a, b] <= most]
+    assert all(d == apart[p] <= most for p, d in found.items())
+    assert joined(found, len(sketches)) == joined(close, len(sketches))
+    for i in {x for p in close for x in p if apart[p] > sure}:
+        assert min(d for p, d in found.items() if i in p and d > sure) == min(apart[p] for p in close if i in p and apart[p] > sure)
+    if block > len(sketches):
+        assert len(found) <= 3 * len(sketches) < len(close) / 4
+
+
+@pytest.mark.parametrize("cell_bytes", [1 << 19, 4000, 300])
+def test_joined_parts_in_cells(spark, cell_bytes):
+    """All pairs of different parts of a group are decided by the exact similarity, however a group is cut; of rows that share a doc_id any may be the similar one."""
+    draw, rows, members = random.Random(21), [], []
+    for group in range(4):
+        base = [f"w{draw.randrange(10 ** 6)}" for _ in range(60)]
+        for i in range(25 * group, 25 * group + 25):
+            words = list(base)
+            for place in draw.sample(range(60), draw.choice((1, 1, 2, 3))):
+                words[place] = f"x{draw.randrange(10 ** 6)}"
+            rows.append((i, " ".join(words[:draw.choice((50, 60, 60))])))
+            # Half of the first two groups are one part; in the last group all are parts of their own.
+            members.append((25 * group, 25 * group if i % 2 and group < 2 else i, i))
+    rows += [(3, ""), (4, None), (3, rows[20][1]), (99, rows[80][1])]
+    sets = {}
+    for i, t in rows:
+        sets.setdefault(i, []).append({tuple((t or "").split()[k:k + 5]) for k in range(len((t or "").split()) - 4)})
+    alike = lambda x, y: len(x & y) >= 0.8 * len(x | y) - 1e-9
+    links = [(a, b) for a in range(100) for b in range(a + 1, 100) if a // 25 == b // 25 and any(alike(x, y) for x in sets[a] for y in sets[b])]
+    part = {i: p for _, p, i in members}
+    frame = spark.createDataFrame(members, "group long, part long, node long")
+    got = [tuple(r) for r in simhash.joined_parts(frame, spark.createDataFrame(rows, "doc_id long, text string"), 0.8, cell_bytes).collect()]
+    want = joined([(part[a], part[b]) for a, b in links], 100)
+    assert joined(got, 100) == want and 4 < len({want[part[i]] for i in range(100)}) < len(set(part.values()))
+    assert cell_bytes < 1 << 19 or len(got) < 100
+
+
+def test_a_large_group_at_the_similarity_lists_no_pairs(spark, monkeypatch):
+    """Near copies of one text, each two similar at about 0.8: tables grow with the rows and not with their pairs, and every link is found."""
+    draw, counts, written = random.Random(22), {}, simhash.written
+    base = [f"w{draw.randrange(10 ** 6)}" for _ in range(150)]
+    texts = [" ".join(f"x{draw.randrange(10 ** 6)}" if i in places else w for i, w in enumerate(base))
+             for places in (set(draw.sample(range(40, 110), draw.choice((2, 3, 3, 4, 4)))) for _ in range(400))]
+
+    def counted(df, label):
+        out = written(df, label)
+        counts[label] = max(counts.get(label, 0), out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "written", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs).collect()}
+    sets = [{tuple(t.split()[k:k + 5]) for k in range(146)} for t in texts]
+    links = [(a, b) for a in range(400) for b in range(a + 1, 400) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9]
+    assert len(links) > 1000 and [got[i] for i in range(400)] == joined(links, 400) and len(set(got.values())) > 10
+    assert max(counts[t] for t in ("similar-candidates", "open-pairs", "alike-pairs", "group-members")) <= 10 * 400
+
+
 def test_rows_without_an_id_stay(spark):
     rows = [(None, "a b c d e f g", 1), (None, "a b c d e f g", 1), (3, "h i j k l m n", 2), (3, "h i j k l m n", 2), (3, "other words stand in here now", 2), (4, "h i j k l m n", 5), (5, "p q r s t u v", 6)]
     left = simhash.first_of_each(spark.createDataFrame(rows, "doc_id long, text string, _again int"))

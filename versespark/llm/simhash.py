@@ -138,8 +138,8 @@ SHINGLE, WINDOWS, AROUND = 5, 6, 3
 SKETCH_WORDS, DEVIATIONS = 8, 2.5
 #: Rows of a key that a task compares with as many others at once.
 BLOCK = 1 << 15
-#: Bytes of shingle sets that stand on either side of a cell of close pairs.
-CELL_BYTES = 1 << 18
+#: Bytes of shingle sets that stand on either side of a cell of close pairs, and of a cell of a group of parts.
+CELL_BYTES, GROUP_BYTES = 1 << 18, 1 << 19
 
 
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
@@ -272,12 +272,13 @@ def candidate_keys(nodes: DataFrame, bits: int = BITS, radius: int = 2) -> tuple
 
 
 def _pairs(keys: np.ndarray, nodes: np.ndarray, sides: np.ndarray, sketches: np.ndarray, sure: int, most: int,
-           pairwise: int) -> Iterator[np.ndarray]:
+           pairwise: int, spanning: bool = False) -> Iterator[np.ndarray]:
     """(a, b, d): pairs of rows of a key that differ in d <= ``most`` bits.
 
     Rows of a key stand together. Small keys give all such pairs. In a larger one a row that is surely similar to one
     that was reached is reached from it, so that chains of sure pairs are parts; of rows of different parts all pairs
-    are given, where a key has two sides only those between them.
+    are given, where a key has two sides only those between them. ``spanning`` gives of these each row's nearest and as many as
+    join what all of them join: at most two for each row.
     """
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     ends = np.concatenate([starts[1:], [keys.size]])
@@ -309,18 +310,38 @@ def _pairs(keys: np.ndarray, nodes: np.ndarray, sides: np.ndarray, sketches: np.
                 waiting = waiting[~hit]
         own, side = parts[start:end], sides[start:end]
         largest, two = start + np.argmax(np.bincount(own - start)), side.min() < side.max()
+        nearest, partner, groups = np.full(own.size, most + 1), np.full(own.size, -1), own.copy()
         for at in (start + np.flatnonzero(own != largest)).tolist():
             others = (own != parts[at]) & ((own == largest) | (np.arange(start, end) > at))
             others = start + np.flatnonzero(others & (side != sides[at]) if two else others)
             d = differing(sketches[others], sketches[at])
             near = d <= most
-            if near.any():
-                yield np.stack([np.full(near.sum(), nodes[at]), nodes[others[near]], d[near]])
-
-
-def candidate_pairs(rows: DataFrame, sure: int, most: int, pairwise: int = PAIRWISE, block: int = BLOCK, sizes: DataFrame | None = None) -> DataFrame:
+            if not near.any():
+                continue
+            others, d = others[near], d[near]
+            if not spanning:
+                yield np.stack([np.full(others.size, nodes[at]), nodes[others], d])
+                continue
+            row, rows = at - start, others - start
+            nearer = d < nearest[rows]
+            nearest[rows[nearer]], partner[rows[nearer]] = d[nearer], row
+            if d.min() < nearest[row]:
+                nearest[row], partner[row] = d.min(), rows[d.argmin()]
+            met, first_met = np.unique(groups[rows], return_index=True)
+            met, first_met = met[met != groups[row]], first_met[met != groups[row]]
+            if met.size:
+                yield np.stack([np.full(met.size, nodes[at]), nodes[others[first_met]], d[first_met]])
+                groups[np.isin(groups, met)] = groups[row]
+        some = np.flatnonzero(partner >= 0)
+        if some.size:
+            yield np.stack([nodes[start + some], nodes[start + partner[some]], nearest[some]])
+
+
+def candidate_pairs(rows: DataFrame, sure: int, most: int, pairwise: int = PAIRWISE, block: int = BLOCK, sizes: DataFrame | None = None,
+                    spanning: bool = False) -> DataFrame:
     """Pairs (a, b, d) from rows (key, node, s0, s1, ...): rows of a key with d <= ``most`` differing bits, all of them but those that chains of pairs
-    with d <= ``sure`` join. ``sizes`` has the rows of each key, (key, n), and is counted if it is not given.
+    with d <= ``sure`` join. ``sizes`` has the rows of each key, (key, n), and is counted if it is not given. With ``spanning`` the number of pairs grows
+    with the rows: a large key gives of those with d > ``sure`` each row's nearest and a forest that joins the same rows as all of them.
 
     Keys of more than ``block`` rows are dealt into blocks by a hash, and each pair of blocks is a key of its own, with two sides.
     """
@@ -330,7 +351,7 @@ def candidate_pairs(rows: DataFrame, sure: int, most: int, pairwise: int = PAIRW
         def edges_of(pieces: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             data = np.concatenate(pieces, axis=1)
             held.clear()
-            for a, b, d in _pairs(*data[:3], np.ascontiguousarray(data[3:].T).view(np.uint64), sure, most, pairwise):
+            for a, b, d in _pairs(*data[:3], np.ascontiguousarray(data[3:].T).view(np.uint64), sure, most, pairwise, spanning):
                 low, high = np.minimum(a, b), np.maximum(a, b)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (low, high)] + [pa.array(d, pa.int32())], names=["a", "b", "d"])
 
@@ -358,20 +379,26 @@ def candidate_pairs(rows: DataFrame, sure: int, most: int, pairwise: int = PAIRW
     return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(linked, "a long, b long, d int").groupBy("a", "b").agg(F.min("d").alias("d"))
 
 
-def similar_pairs(pairs: DataFrame, docs: DataFrame, similarity: float, cell_bytes: int = CELL_BYTES) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose sets of five-word shingles have the Jaccard similarity.
-
-    Both ends of a pair are dealt by hash, and their numbers make its cell; a set goes once to each cell that has a pair of it.
-    """
+def sets_of(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, items): the set of five-word shingles of each text whose doc_id is in ``nodes`` (node), written."""
     from .passages import sized
 
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = [np.unique(x.astype(np.uint32)).tobytes()
                         for x in shingle_sets([t.as_buffer().to_pybytes() if t.is_valid else b"" for t in part.column("text")])]
                 yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.binary())], names=["node", "items"])
 
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
+    return written(texts.join(sized(nodes), "node").mapInArrow(made, "node long, items binary"), "close-sets")
+
+
+def similar_pairs(pairs: DataFrame, docs: DataFrame, similarity: float, cell_bytes: int = CELL_BYTES) -> DataFrame:
+    """The pairs (a, b) of doc_ids whose sets of five-word shingles have the Jaccard similarity.
+
+    Both ends of a pair are dealt by hash, and their numbers make its cell; a set goes once to each cell that has a pair of it.
+    """
     def alike(x: np.ndarray, y: np.ndarray) -> bool:
         if min(x.size, y.size) < similarity * max(x.size, y.size) - 1e-9:
             return False
@@ -392,9 +419,7 @@ def similar_pairs(pairs: DataFrame, docs: DataFrame, similarity: float, cell_byt
                     sets.setdefault(a, []).append(np.frombuffer(items[k].as_py(), np.uint32))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    ends = pairs.select(F.col("a").alias("node")).distinct().unionByName(pairs.select(F.col("b").alias("node")).distinct()).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
-    sets = written(texts.join(sized(ends), "node").mapInArrow(sets_of, "node long, items binary"), "close-sets")
+    sets = sets_of(_ends(pairs), docs)
     side = max(1, -(-(sets.agg(F.sum(F.length("items"))).first()[0] or 0) // cell_bytes))
     number = lambda c: F.pmod(F.xxhash64(c), F.lit(side))
     dealt = pairs.select((number("a") * side + number("b")).alias("cell"), "a", "b")
@@ -404,13 +429,90 @@ def similar_pairs(pairs: DataFrame, docs: DataFrame, similarity: float, cell_byt
     return rows.repartition("cell").sortWithinPartitions("cell", "is_pair").mapInArrow(compared, "a long, b long").distinct()
 
 
+def _joined(parts: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """(a, b): parts to join, so that rows of a cell whose sets have the similarity are in one; where a cell has two sides, rows of different sides.
+
+    A row is compared with all rows at once that are not joined to it yet and whose size does not rule the similarity out.
+    """
+    sizes, found = np.array([x.size for x in sets]), []
+    order = np.lexsort((sizes, sides))
+    labels, sizes, sets = parts[order], sizes[order], [sets[i] for i in order]
+    first = int((sides == sides.min()).sum()) % sides.size  # rows of the first of two sides, 0 if there is one
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    words, items = np.unique(np.concatenate(sets), return_inverse=True)
+    items, held = items.astype(np.int32), np.zeros(words.size, bool)
+    for at in range(first or sizes.size):
+        low = max(at + 1, first + int(np.searchsorted(sizes[first:], similarity * sizes[at] - 1e-9)))
+        high = first + int(np.searchsorted(similarity * sizes[first:] - 1e-9, sizes[at], "right"))
+        others = low + np.flatnonzero(labels[low:high] != labels[at])
+        if not others.size:
+            continue
+        own, start = items[bounds[at]:bounds[at + 1]], bounds[others[0]]
+        held[own] = True
+        counts = np.concatenate([[0], np.cumsum(held[items[start:bounds[others[-1] + 1]]], dtype=np.int32)])
+        held[own] = False
+        both = counts[bounds[others + 1] - start] - counts[bounds[others] - start]
+        met = np.unique(labels[others[both >= similarity * (sizes[at] + sizes[others] - both) - 1e-9]])
+        found += [(int(labels[at]), x) for x in met.tolist()]
+        labels[np.isin(labels, met)] = labels[at]
+    return found
+
+
+def joined_parts(members: DataFrame, docs: DataFrame, similarity: float, cell_bytes: int = GROUP_BYTES) -> DataFrame:
+    """(a, b): parts to join, from ``members`` (group, part, node), so that documents of a group whose sets of five-word shingles have
+    the Jaccard similarity are in one part.
+
+    All pairs of different parts are decided where their sets meet, and only what joins parts is given. A group's sets are dealt into blocks of
+    ``cell_bytes``, and each pair of blocks is a cell; rows of its largest part only meet those of the others.
+    """
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []  # the last cell's rows, of which more may come
+
+        def decided() -> list[tuple[int, int]]:
+            _, parts, sides, items = zip(*held, strict=True)
+            held.clear()
+            if min(parts) == max(parts):
+                return []
+            return _joined(np.array(parts), np.array(sides), [np.frombuffer(x, np.uint32) for x in items], similarity)
+
+        def batch_of(found: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(2)], names=["a", "b"])
+
+        for batch in batches:
+            found = []
+            for row in zip(*[batch.column(c).to_pylist() for c in ("cell", "part", "side", "items")], strict=True):
+                if held and held[0][0] != row[0]:
+                    found += decided()
+                held.append(row)
+            yield batch_of(found)
+        if held:
+            yield batch_of(decided())
+
+    rows = members.join(sets_of(members.select("node").distinct(), docs), "node")
+    sizes = rows.groupBy("group", "part").agg(F.sum(F.length("items")).alias("bytes")).groupBy("group").agg(
+        F.sum("bytes").alias("bytes"), F.max(F.struct("bytes", "part")).alias("largest"))
+    blocks = lambda c: F.greatest(F.lit(1), F.ceil(c / cell_bytes)).cast("long")
+    # Of all sets, one large group for every ``cell_bytes`` of them at most.
+    large = F.broadcast(written(sizes.where(F.col("bytes") > cell_bytes).select(
+        "group", F.col("largest.part").alias("largest"), blocks(F.col("bytes") - F.col("largest.bytes")).alias("first"),
+        blocks(F.col("largest.bytes")).alias("rest")), "large-groups"))
+    first, rest, number = F.coalesce("first", F.lit(1).cast("long")), F.coalesce("rest", F.lit(0).cast("long")), F.xxhash64("node")
+    in_largest = F.coalesce(F.col("part") == F.col("largest"), F.lit(False))
+    dealt = rows.join(large, "group", "left").select(
+        "group", "part", "items", F.when(in_largest, first + F.pmod(number, F.greatest(rest, F.lit(1)))).otherwise(F.pmod(number, first)).alias("side"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.when(in_largest, first).otherwise(first + rest) - 1)).alias("other"))
+    dealt = dealt.select(F.xxhash64("group", F.least("side", "other"), F.greatest("side", "other")).alias("cell"), "part", "side", "items")
+    return dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(joined, "a long, b long").distinct()
+
+
 def similar_documents(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id) of every document with a doc_id; documents link from the Jaccard similarity of their
     five-word shingles on.
 
     At the similarity a candidate window stands in both texts in 4 of 5 cases for each of the six functions; where it
     does, an edit beside it must not change more than two bits of its fingerprint. Sketches decide outside
-    ``DEVIATIONS`` standard deviations; the pairs between are decided by the exact similarity, all whose ends are not joined already.
+    ``DEVIATIONS`` standard deviations; the pairs between are decided by the exact similarity, all whose ends are not joined already:
+    they are not listed, as their number grows with the square of a group; what they connect is a group, and its sets meet in blocks.
     """
     known = docs.where("doc_id IS NOT NULL")
     prints = written(similarity_prints(known), "similarity-prints")
@@ -420,15 +522,19 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     sketches = nodes.select("node", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH_WORDS)])
     keys, sizes = candidate_keys(nodes)
     rows = keys.join(sketches, "node").select("key", "node", *[f"s{i}" for i in range(SKETCH_WORDS)])
-    pairs = written(candidate_pairs(rows, sure, most, sizes=sizes), "similar-candidates")
+    pairs = written(candidate_pairs(rows, sure, most, sizes=sizes, spanning=True), "similar-candidates")
+    close = pairs.where(F.col("d") > sure)
     led = [components(pairs.where(F.col("d") <= sure).select("a", "b"), "sure-components")]
-    open_ = pairs.where(F.col("d") > sure).withColumns({"a_part": F.col("a"), "b_part": F.col("b")})
-    # A row's nearest pairs join most of what there is to join, and all that are left between parts are decided after them.
-    for nearest in (True, False):
-        open_ = written(_led(_led(open_, "a_part", led[-1]), "b_part", led[-1]).where("a_part <> b_part"), "open-pairs")
-        asked = _nearest(open_) if nearest else open_.select("a", "b")
-        alike = written(similar_pairs(asked, known, similarity), "alike-pairs")
-        led.append(components(open_.join(alike, ["a", "b"]).select(F.col("a_part").alias("a"), F.col("b_part").alias("b"))))
+    # A row's nearest pairs join most of what there is to join; then all pairs are decided between parts that close pairs connect.
+    open_ = close.withColumns({"a_part": F.col("a"), "b_part": F.col("b")})
+    open_ = written(_led(_led(open_, "a_part", led[0]), "b_part", led[0]).where("a_part <> b_part"), "open-pairs")
+    alike = written(similar_pairs(_nearest(open_), known, similarity), "alike-pairs")
+    led.append(components(open_.join(alike, ["a", "b"]).select(F.col("a_part").alias("a"), F.col("b_part").alias("b"))))
+    left = _led(_led(open_, "a_part", led[1]), "b_part", led[1]).select(F.col("a_part").alias("a"), F.col("b_part").alias("b"))
+    groups = components(left, "open-groups").select(F.col("node").alias("part"), F.col("component").alias("group"))
+    members = _led(_led(_ends(close).withColumn("part", F.col("node")), "part", led[0]), "part", led[1]).join(groups, "part")
+    members = written(members.select("group", "part", "node"), "group-members")
+    led.append(components(joined_parts(members, known, similarity)))
     parts = nodes.withColumn("component_id", F.col("node"))
     for leaders in led:
         parts = _led(parts, "component_id", leaders)
@@ -441,6 +547,11 @@ def _led(df: DataFrame, column: str, parts: DataFrame) -> DataFrame:
     return df.join(to, column, "left").withColumn(column, F.coalesce("leader", column)).drop("leader")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    """(node): the ends of pairs (a, b)."""
+    return pairs.select(F.col("a").alias("node")).distinct().unionByName(pairs.select(F.col("b").alias("node")).distinct()).distinct()
+
+
 def _nearest(pairs: DataFrame) -> DataFrame:
     """(a, b): the nearest of the pairs (a, b, d) of each of their ends."""
     ends = pairs.select(F.col("a").alias("node"), "d", "a", "b").unionByName(pairs.select(F.col("b").alias("node"), "d", "a", "b"))
