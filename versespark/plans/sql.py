@@ -44,8 +44,73 @@ flat AS (SELECT c.problem_id, r.chunk AS chunk_id, c.chunk_index, c.chunk_start,
   c.text AS chunk_text, v.text AS verse_text, vp, cp, size, replace(substring(v.text, vp + 1, size), '-', ' ') AS alg
   FROM (SELECT *, row_number() OVER (PARTITION BY verse, chunk ORDER BY size DESC, vp, cp) AS k FROM runs) r
   JOIN chunks c ON r.chunk = 'task::' || c.problem_id || '::chunk::' || c.chunk_index JOIN verses v ON verse = 'bible::' || v.reference WHERE k = 1)"""
-_EVAL = f"""{_REUSE}, {_SPANS}, pred AS (SELECT DISTINCT c.problem_id, substr(verse, 8) AS reference FROM cand
-  JOIN chunks c ON cand.chunk = 'task::' || c.problem_id || '::chunk::' || c.chunk_index WHERE shared >= 20),
+# The rule of operators.reuse.align for chunks of 100 characters: hits in colinear chains, all local alignments in a chain's window, passages that cover enough.
+_HIT, _AT = "STRUCT(k INT, c INT, v INT, p INT, b INT)", "STRUCT(i INT, j INT)"
+_LINK, _BEST = f"STRUCT(k INT, c INT, v INT, l {_HIT}[])", "STRUCT(p INT, i INT, j INT, f BIGINT)"
+_FILL, _BAND = f"STRUCT(d INT, s BIGINT[], t BIGINT[], best {_BEST})", f"STRUCT(d INT, s INT[], g {_AT}[][])"
+# A cell of a score table is one number: points, then which step is preferred among equals, then the cell where its path begins.
+_ONE, _WAY, _ROW = 1 << 42, 1 << 40, 1 << 20
+_X = "(y.d + x - w - 1 + i0 - j0)"  # twice the row of an entry of a band, _Y twice its column
+_Y = "(y.d - x + w + 1 - i0 + j0)"
+_INSIDE = f"({_X} % 2 = 0 AND {_X} // 2 BETWEEN i0 AND best.i AND {_Y} // 2 BETWEEN j0 AND best.j)"
+_STEP = f"CASE WHEN a[{_X} // 2] = b[{_Y} // 2] THEN 2 ELSE -1 END"
+_HERE = f"{{'i': {_X} // 2, 'j': {_Y} // 2}}::{_AT}"
+_CHAINS = f"""linked AS (SELECT verse, chunk, list_reduce(list_transform(h, lambda x, k: {{'k': k, 'c': x.c, 'v': x.v, 'l': []}}::{_LINK}), lambda o, x: {{'k': x.k, 'c': x.c, 'v': x.v,
+    'l': list_append(o.l, list_transform([list_max(list_transform(list_filter(o.l, lambda y: y.v < x.v), lambda y: {{'m': y.p + y.c + y.v, 'k': y.k}}))],
+      lambda z: {{'k': x.k, 'c': x.c, 'v': x.v, 'p': 700 + greatest(coalesce(z.m - x.c - x.v, 0), 0), 'b': CASE WHEN z.m > x.c + x.v THEN z.k ELSE 0 END}}::{_HIT})[1])}}::{_LINK},
+    {{'k': 0, 'c': 0, 'v': 0, 'l': []}}::{_LINK}).l AS l
+  FROM (SELECT verse, chunk, list({{'c': cp, 'v': vp}} ORDER BY cp, vp DESC) AS h FROM hits JOIN cand USING (verse, chunk) GROUP BY 1, 2)),
+links AS (SELECT verse, chunk, x.k AS k, x.c AS c, x.v AS v, x.b AS b, row_number() OVER (PARTITION BY verse, chunk ORDER BY x.p DESC, x.c, x.v) AS rank
+  FROM (SELECT verse, chunk, unnest(l) AS x FROM linked)),
+taken AS (SELECT verse, chunk, k, b, rank AS chain FROM links l WHERE NOT EXISTS (
+    SELECT 1 FROM links n WHERE n.verse = l.verse AND n.chunk = l.chunk AND n.b = l.k AND n.rank < l.rank)
+  UNION ALL SELECT verse, chunk, l.k, l.b, chain FROM taken t JOIN links l USING (verse, chunk) WHERE l.k = t.b),
+parts AS (SELECT *, sum(cut) OVER (PARTITION BY verse, chunk, chain ORDER BY c) AS part FROM (
+  SELECT *, coalesce((c - lag(c) OVER (PARTITION BY verse, chunk, chain ORDER BY c) > 350)::INT, 0) AS cut
+  FROM links JOIN (SELECT verse, chunk, k, min(chain) AS chain FROM taken GROUP BY 1, 2, 3) USING (verse, chunk, k))),
+windows AS (SELECT verse, chunk, low, l, list_transform(string_split(a, ''), lambda x: unicode(x)) AS a,
+  list_transform(string_split(substring(b, low + 1, high - low), ''), lambda x: unicode(x)) AS b
+  FROM (SELECT verse, chunk, l, a, b, greatest(c1 - 2 * v1, 0) AS low, c2 + 16 + 2 * greatest(length(a) - v2 - 16, 0) AS high
+    FROM (SELECT verse, chunk, min(c) AS c1, min(v) AS v1, max(c) AS c2, max(v) AS v2, list({{'c': c, 'v': v}}) AS l FROM parts GROUP BY verse, chunk, chain, part HAVING count(*) >= 3)
+    JOIN (SELECT id AS verse, replace(text, '-', ' ') AS a FROM records) USING (verse) JOIN (SELECT id AS chunk, replace(text, '-', ' ') AS b FROM records) USING (chunk)))"""
+# A turn fills the table of each window by its anti-diagonals (``best``: the first best cell and where its path begins), then the band around that path
+# once more with the paths (``g``: a path's first cell and those that a gap leads to), whose cells the next turn leaves out. What falls short goes by unnesting
+# nothing: a WHERE would be computed apart, and the tables twice.
+_FILLED = f"""SELECT * EXCLUDE (r), unnest(list_filter([list_reduce(list_transform(range(2, len(a) + len(b) + 1), lambda d: {{'d': d, 's': [], 't': [], 'best': {{'p': 0, 'i': 0, 'j': 0, 'f': 0}}}}::{_FILL}),
+  lambda o, y: list_transform([list_transform(list_zip(b, r[len(a) + len(b) + 2 - y.d:len(a) + 2 * len(b) + 1 - y.d], o.s, list_prepend(0, o.s), list_prepend(0, o.t), true),
+      lambda z, j: CASE WHEN len(used) > 0 AND list_contains(used, (y.d * 256 + j)::INT) THEN 0 ELSE greatest(0, CASE WHEN z[5] > 0 THEN z[5] ELSE (y.d - j) * {_ROW} + j END
+        + CASE WHEN z[1] = z[2] THEN {2 * _ONE + 2 * _WAY} ELSE {2 * _WAY - _ONE} END, z[3] - {2 * _ONE - _WAY}, z[4] - {2 * _ONE}) END)],
+    lambda v: list_transform([list_max(v) // {_ONE}], lambda p: {{'d': y.d, 's': list_transform(v, lambda z: CASE WHEN z < {_ONE} THEN 0 ELSE z & {~(3 * _WAY)} END), 't': o.s,
+      'best': CASE WHEN p >= greatest(o.best.p, 20) THEN list_transform([list_max(list_transform(v, lambda z, j: CASE WHEN z // {_ONE} = p THEN j END))],
+        lambda j: CASE WHEN p > o.best.p OR y.d - j < o.best.i OR y.d - j = o.best.i AND j < o.best.j
+          THEN {{'p': p, 'i': y.d - j, 'j': j, 'f': v[j] % {_WAY}}}::{_BEST} ELSE o.best END)[1] ELSE o.best END}}::{_FILL})[1])[1],
+  {{'d': 1, 's': list_transform(b, lambda z: 0), 't': list_transform(b, lambda z: 0), 'best': {{'p': 0, 'i': 0, 'j': 0, 'f': 0}}}}::{_FILL}).best], lambda x: x.p >= 20)) AS best
+  FROM (SELECT *, list_concat(list_transform(b, lambda x: -1), list_reverse(a), list_transform(b, lambda x: -1)) AS r FROM turns)"""
+_TRACED = f"""SELECT *, list_reduce(list_transform(range(i0 + j0, best.i + best.j + 1), lambda d: {{'d': d, 's': [], 'g': []}}::{_BAND}),
+  lambda o, y: list_transform([list_transform(o.s, lambda z, x: CASE WHEN {_INSIDE} THEN CASE WHEN list_contains(used, y.d * 256 + {_Y} // 2) THEN 0
+      ELSE greatest(0, z + {_STEP}, o.s[x - 1] - 2, o.s[x + 1] - 2) END::INT ELSE z END)],
+    lambda s: {{'d': y.d, 's': s, 'g': list_transform(o.g, lambda g, x: CASE WHEN NOT {_INSIDE} THEN g WHEN s[x] = 0 THEN []
+        WHEN s[x] = o.s[x] + {_STEP} THEN CASE WHEN o.s[x] = 0 THEN [{_HERE}] ELSE g END
+        ELSE list_append(CASE WHEN s[x] = o.s[x - 1] - 2 THEN o.g[x - 1] ELSE o.g[x + 1] END, {_HERE}) END)}}::{_BAND})[1],
+  {{'d': 0, 's': list_transform(range(2 * w + 1), lambda x: 0), 'g': list_transform(range(2 * w + 1), lambda x: [])}}::{_BAND}).g[best.i - best.j - i0 + j0 + w + 1] AS g
+  FROM (SELECT *, (best.i - i0 + best.j - j0 + 2 - best.p) // 3 AS w FROM (
+    SELECT *, (best.f // {_ROW})::INT AS i0, (best.f % {_ROW})::INT AS j0 FROM ({_FILLED})))"""
+_ALIGNED = f"""{_CHAINS},
+turns AS (SELECT *, []::INT[] AS used, NULL::{_AT} AS head, NULL::{_AT} AS tail FROM windows
+  UNION ALL SELECT verse, chunk, low, l, a, b, list_concat(used, list_transform(cells, lambda x: (x.i + x.j) * 256 + x.j)), cells[1], cells[-1]
+  FROM (SELECT *, unnest(list_filter([flatten(list_transform(g, lambda x, k: list_transform(range(least(coalesce(g[k + 1].i, best.i) - x.i, coalesce(g[k + 1].j, best.j) - x.j) + 1),
+    lambda t: {{'i': x.i + t, 'j': x.j + t}}::{_AT})))], lambda x: len(x) >= 20)) AS cells FROM ({_TRACED}))),
+aligned AS (SELECT DISTINCT problem_id, reference, t.chunk, head.i - 1 AS vp, tail.i AS v_end, chunk_start + low + head.j - 1 AS place, chunk_start + low + tail.j AS past,
+    length(v.text) AS n, chunk_start, chunk_start + length(c.text) AS c_end
+  FROM turns t JOIN chunks c ON t.chunk = 'task::' || c.problem_id || '::chunk::' || c.chunk_index JOIN verses v ON t.verse = 'bible::' || v.reference
+  WHERE len(list_filter(l, lambda x: x.v >= head.i - 1 AND x.v < tail.i AND x.c - low >= head.j - 1 AND x.c - low < tail.j)) > 0),
+opened AS (SELECT *, coalesce(place - max(past) OVER (PARTITION BY problem_id, reference ORDER BY place, chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 350, false)::INT AS opens FROM aligned),
+passages AS (SELECT *, sum(opens) OVER (PARTITION BY problem_id, reference ORDER BY place, chunk) AS passage FROM opened),
+fresh AS (SELECT *, greatest(v_end - greatest(vp, coalesce(max(v_end) OVER (PARTITION BY problem_id, reference, passage ORDER BY vp, v_end, chunk
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)), 0) AS fresh FROM passages)"""
+_EVAL = f"""WITH RECURSIVE {_REUSE.removeprefix('WITH ')}, {_SPANS}, {_ALIGNED},
+pred AS (SELECT DISTINCT problem_id, reference FROM (SELECT problem_id, reference, n, sum(fresh) AS covered, max(c_end) - min(chunk_start) AS stretch FROM fresh GROUP BY 1, 2, passage, 3)
+  WHERE covered >= 0.7::DOUBLE * least(n, stretch) AND covered >= 0.5::DOUBLE * n),
 truth AS (SELECT DISTINCT problem_id, reference FROM spans),
 kinds AS (SELECT coalesce(p.problem_id, t.problem_id) AS problem_id, coalesce(p.reference, t.reference) AS reference,
   CASE WHEN p.reference IS NULL THEN 'fn' WHEN t.reference IS NULL THEN 'fp' ELSE 'tp' END AS kind
