@@ -53,3 +53,8 @@ def test_error_sets_by_the_alignments(spark, tmp_path):
     ours, theirs = both(spark, tmp_path, "error_sets", **reuse_tables(1))
     assert ours == theirs
     assert {r[0] for r in ours} == {"tp", "fp"}
+
+
+def test_scores_by_the_alignments(spark, tmp_path):
+    ours, theirs = both(spark, tmp_path, "score_predictions", **reuse_tables(2))
+    assert ours == theirs and ours[0][2] > 0
