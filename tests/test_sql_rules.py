@@ -17,7 +17,8 @@ def both(spark, folder, name: str, **tables) -> tuple[list, list]:
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet/*.parquet'")
     df = entry.queries()[name](spark, str(folder))
     names = sorted(df.columns)
-    theirs = con.execute(f"SELECT {', '.join(names)} FROM ({entry.oracle_sql()[name]})").fetchall()
+    quoted = ", ".join(f'"{n}"' for n in names)
+    theirs = con.execute(f"SELECT {quoted} FROM ({entry.oracle_sql()[name]})").fetchall()
     return sorted(map(tuple, df.select(*names).collect())), sorted(theirs)
 
 
@@ -58,3 +59,17 @@ def test_error_sets_by_the_alignments(spark, tmp_path):
 def test_scores_by_the_alignments(spark, tmp_path):
     ours, theirs = both(spark, tmp_path, "score_predictions", **reuse_tables(2))
     assert ours == theirs and ours[0][2] > 0
+
+
+def vector_tables(distinct: int, copies: int) -> dict:
+    """Vectors of which each stands ``copies`` times, the first neighbours of each other."""
+    draw = random.Random(3)
+    vectors = [[draw.gauss(0, 1) for _ in range(64)] for _ in range(distinct)]
+    rows = [(i, vectors[i % distinct], 0) for i in range(distinct * copies)]
+    return {"embeddings": ("vec_id long, embedding array<float>, label int", rows)}
+
+
+def test_predictions_equally_near(spark, tmp_path):
+    """Equal scores are listed by reference, though their last digits differ."""
+    ours, theirs = both(spark, tmp_path, "predictions_per_problem", **vector_tables(1300, 2))
+    assert ours == theirs
