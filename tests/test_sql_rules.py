@@ -5,8 +5,10 @@ from __future__ import annotations
 import random
 
 import duckdb
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from versespark.operators import knn
 
 
 def both(spark, folder, name: str, **tables) -> tuple[list, list]:
@@ -73,3 +75,21 @@ def test_predictions_equally_near(spark, tmp_path):
     """Equal scores are listed by reference, though their last digits differ."""
     ours, theirs = both(spark, tmp_path, "predictions_per_problem", **vector_tables(1300, 2))
     assert ours == theirs
+
+
+def test_every_vector_is_asked(spark, tmp_path):
+    """All vectors are queries, against all others; equally near ones are taken by reference."""
+    tables = vector_tables(300, 7)
+    ours, theirs = both(spark, tmp_path, "knn_topk", **tables)
+    assert ours == theirs and len(ours) == 2100 * 5
+
+
+def test_copies_are_taken_by_reference(spark):
+    """Wherever they stand in their blocks, copies of a vector are equally near to it."""
+    schema, rows = vector_tables(300, 7)["embeddings"]
+    vectors = spark.createDataFrame(rows, schema).select(F.concat(F.lit("v-"), F.col("vec_id").cast("string")).alias("reference"), "embedding")
+    want = {(f"v-{i}", k + 1): name for i in range(2100) for k, name in enumerate(sorted(f"v-{j}" for j in range(i % 300, 2100, 300) if j != i)[:5])}
+    found = [knn.self_top_k(vectors, k=5, threshold=0.3, block_rows=97), knn.top_k(
+        vectors.withColumn("query_id", F.col("reference")), vectors, k=5, threshold=0.3, exclude_self=True, block_rows=501, query_rows=93)]
+    for near in found:
+        assert {(r["query_id"], r["rank"]): r["reference"] for r in near.collect()} == want

@@ -16,6 +16,8 @@ from .evaluate import best_scores
 BLOCK_ROWS, QUERY_ROWS = 50_000, 2_000
 #: Scores that a task computes at once.
 SCORES = 1 << 23
+#: Pairs that it multiplies one by one at once.
+PAIRS = 1 << 16
 NEIGHBOUR = "query_id string, reference string, similarity double"
 
 
@@ -31,12 +33,14 @@ def _dealt(df: DataFrame, column: str, own: str, blocks: int, other: str, copies
         {own: F.pmod(F.xxhash64(column), F.lit(blocks)).cast("int"), other: F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))})
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, names: np.ndarray, k: int) -> pd.DataFrame:
-    """The ``k`` best columns of each row; ties at the border are ordered by name."""
+def _best(scores: np.ndarray, ids: np.ndarray, names: np.ndarray, asked: np.ndarray, vectors: np.ndarray, k: int) -> pd.DataFrame:
+    """The ``k`` best columns of each row; ties are ordered by name. The last digits of a product of matrices depend on a vector's place
+    in it, so what may be among the best is multiplied again pair by pair: equal vectors are equally near."""
     edge = np.partition(scores, max(0, scores.shape[1] - k), axis=1)[:, max(0, scores.shape[1] - k)]
-    at, columns = np.nonzero(scores >= edge[:, None] - 1e-12)
-    out = pd.DataFrame({"query_id": ids[at], "reference": names[columns], "similarity": scores[at, columns]})
-    out = out[np.isfinite(out["similarity"])].sort_values(["query_id", "similarity", "reference"], ascending=[True, False, True])
+    at, columns = np.nonzero((scores >= edge[:, None] - 1e-12) & np.isfinite(scores))
+    near = [(asked[at[i:i + PAIRS]] * vectors[columns[i:i + PAIRS]]).sum(axis=1) for i in range(0, len(at), PAIRS)]
+    out = pd.DataFrame({"query_id": ids[at], "reference": names[columns], "similarity": np.concatenate(near) if near else np.zeros(0)})
+    out = out.sort_values(["query_id", "similarity", "reference"], ascending=[True, False, True])
     return out.groupby("query_id", sort=False).head(k)
 
 
@@ -53,10 +57,11 @@ def _searcher(k: int, exclude_self: bool) -> Callable[[pd.DataFrame, pd.DataFram
         for start in range(0, len(part) if len(rows) else 0, step):
             asked = part.iloc[start:start + step]
             ids = asked["query_id"].to_numpy()
-            scores = _stacked(asked["embedding"]) @ vectors.T
+            own = _stacked(asked["embedding"])
+            scores = own @ vectors.T
             if exclude_self:
                 scores[ids[:, None] == names[None, :]] = -np.inf
-            found.append(_best(scores, ids, names, k))
+            found.append(_best(scores, ids, names, own, vectors, k))
         return pd.concat(found, ignore_index=True)
 
     return search
@@ -79,11 +84,12 @@ def self_top_k(rows: DataFrame, k: int = 2, threshold: float = 0.45, threshold_f
         for start in range(0, len(part) if len(others) else 0, step):
             asked = part.iloc[start:start + step]
             ids = asked["reference"].to_numpy()
-            scores = _stacked(asked["embedding"]) @ vectors.T
+            own = _stacked(asked["embedding"])
+            scores = own @ vectors.T
             scores[ids[:, None] == names[None, :]] = -np.inf
-            found.append(_best(scores, ids, names, k))
+            found.append(_best(scores, ids, names, own, vectors, k))
             if low < high:
-                found.append(_best(np.ascontiguousarray(scores.T), names, ids, k))
+                found.append(_best(np.ascontiguousarray(scores.T), names, ids, vectors, own, k))
         return pd.concat(found, ignore_index=True)
 
     dealt = rows.select(F.col("reference").cast("string").alias("reference"), "embedding").where("embedding IS NOT NULL").withColumn(

@@ -122,7 +122,7 @@ _COSINE = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
 _PAIRS = """SELECT query_id, reference, problem_id, round(sim, 6) AS similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id
   ORDER BY sim DESC, reference)::INT AS rank FROM (SELECT 'v-' || a.vec_id AS query_id, 'v-' || b.vec_id AS reference,
   'p-' || (a.vec_id // 100 % 7) AS problem_id, {cos} AS sim FROM embeddings a JOIN embeddings b ON {on})) WHERE rank <= {k}"""
-_TOP = _PAIRS.format(cos=_COSINE, on="a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id", k=5) + " AND sim >= 0.3"
+_TOP = _PAIRS.format(cos=_COSINE, on="a.vec_id <> b.vec_id", k=5) + " AND sim >= 0.3"
 
 _TURNS = r"""turns AS (SELECT conv_id, turn, 'conv-' || conv_id AS problem_id,
   list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> '') AS w FROM conversations),
