@@ -109,7 +109,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(
         "vec_id", F.concat(F.lit("v-"), F.col("vec_id").cast("string")).alias("reference"),
-        F.expr("concat('p-', vec_id div 100 % 7)").alias("problem_id"), "embedding", "label")
+        F.expr("concat('p-', vec_id % 50)").alias("problem_id"), "embedding", "label")
 
 
 RESPONSE = """CASE conv_id % 4
