@@ -89,6 +89,11 @@ def test_every_problem_has_its_pairs(spark, tmp_path):
     assert ours == theirs and len({r[1] for r in ours}) == 50
 
 
+def test_every_problem_is_listed(spark, tmp_path):
+    ours, theirs = both(spark, tmp_path, "predictions_per_problem", **vector_tables(300, 7))
+    assert ours == theirs and len(ours) == 50
+
+
 def test_copies_are_taken_by_reference(spark):
     """Wherever they stand in their blocks, copies of a vector are equally near to it."""
     schema, rows = vector_tables(300, 7)["embeddings"]
