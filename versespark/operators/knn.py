@@ -36,12 +36,18 @@ def _dealt(df: DataFrame, column: str, own: str, blocks: int, other: str, copies
 def _best(scores: np.ndarray, ids: np.ndarray, names: np.ndarray, asked: np.ndarray, vectors: np.ndarray, k: int) -> pd.DataFrame:
     """The ``k`` best columns of each row; ties are ordered by name. The last digits of a product of matrices depend on a vector's place
     in it, so what may be among the best is multiplied again pair by pair: equal vectors are equally near."""
-    edge = np.partition(scores, max(0, scores.shape[1] - k), axis=1)[:, max(0, scores.shape[1] - k)]
-    at, columns = np.nonzero((scores >= edge[:, None] - 1e-12) & np.isfinite(scores))
+    starts = np.arange(0, scores.shape[1], max(1, scores.shape[1] // 64))
+    tops = np.maximum.reduceat(scores, starts, axis=1)
+    tops[np.isnan(tops)] = -np.inf
+    # k stretches of columns have a score that high, so the k best have.
+    edge = np.partition(tops, -k, axis=1)[:, -k] if tops.shape[1] >= k else np.full(len(scores), -np.inf)
+    at, columns = np.nonzero((scores >= edge[:, None] - 1e-12) & (scores > -np.inf))
     near = [(asked[at[i:i + PAIRS]] * vectors[columns[i:i + PAIRS]]).sum(axis=1) for i in range(0, len(at), PAIRS)]
-    out = pd.DataFrame({"query_id": ids[at], "reference": names[columns], "similarity": np.concatenate(near) if near else np.zeros(0)})
-    out = out.sort_values(["query_id", "similarity", "reference"], ascending=[True, False, True])
-    return out.groupby("query_id", sort=False).head(k)
+    near = np.concatenate(near) if near else np.zeros(0)
+    order = np.lexsort((pd.factorize(names, sort=True)[0][columns], -near, at))
+    at, columns, near = at[order], columns[order], near[order]
+    kept = np.arange(len(at)) - np.searchsorted(at, at) < k
+    return pd.DataFrame({"query_id": ids[at[kept]], "reference": names[columns[kept]], "similarity": near[kept]})
 
 
 def _none() -> pd.DataFrame:
@@ -89,7 +95,7 @@ def self_top_k(rows: DataFrame, k: int = 2, threshold: float = 0.45, threshold_f
             scores[ids[:, None] == names[None, :]] = -np.inf
             found.append(_best(scores, ids, names, own, vectors, k))
             if low < high:
-                found.append(_best(np.ascontiguousarray(scores.T), names, ids, vectors, own, k))
+                found.append(_best(scores.T, names, ids, vectors, own, k))
         return pd.concat(found, ignore_index=True)
 
     dealt = rows.select(F.col("reference").cast("string").alias("reference"), "embedding").where("embedding IS NOT NULL").withColumn(
